@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fingerprint, licenses, line_dedup, mixing, packing, quality, sharding, url_filter
+from starloom.llm import fingerprint, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, url_filter
 from starloom.llm.common import read_table, shared_dir, text_of, written
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "n_docs", "keep")
+
+
 def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     kept = sharding.shard_by_arrival(docs, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
@@ -62,6 +67,7 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_dart_minhash,
         op2_size_tiered_shards,
         op3_weighted_url_vocabulary,
         op5_hash_threshold_mix,
