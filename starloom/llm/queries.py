@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fingerprint, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, url_filter
+from starloom.llm import fingerprint, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
 from starloom.llm.common import read_table, shared_dir, text_of, written
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -32,6 +32,11 @@ def op3_weighted_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.array_join("strict_terms", ",").alias("strict_terms"), F.array_join("soft_terms", ",").alias("soft_terms"))
 
 
+def op4_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -70,6 +75,7 @@ QUERIES = {
         op1_dart_minhash,
         op2_size_tiered_shards,
         op3_weighted_url_vocabulary,
+        op4_fm_index_repeats,
         op5_hash_threshold_mix,
         op6_line_runs,
         op7_host_quality,
