@@ -1,4 +1,10 @@
 """All named queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from starloom.plans import feeds, mosaic, rollups
+
+_MODULES = (rollups, feeds, mosaic)
+
+QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
