@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from starloom.plans import feeds, mosaic, rollups
+from starloom.plans import feeds, jobs, mosaic, rollups, texts
 
-_MODULES = (rollups, feeds, mosaic)
+_MODULES = (rollups, feeds, mosaic, jobs, texts)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
