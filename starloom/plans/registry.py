@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from starloom.plans import astro, feeds, jobs, mosaic, rollups, texts
+from starloom.plans import astro, feeds, jobs, mosaic, raster, rollups, streams, texts
 
-_MODULES = (rollups, feeds, mosaic, jobs, texts, astro)
+_MODULES = (rollups, feeds, mosaic, jobs, texts, astro, raster, streams)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
