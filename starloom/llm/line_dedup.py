@@ -85,7 +85,7 @@ def line_table(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFram
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """docs with the text without its dropped lines, n_lines (before) and n_dropped."""
-    docs = docs.drop(*({"n_lines", "n_dropped", "_hash", "_drop"} - {text, key}))
+    docs = docs.drop(*({"n_lines", "n_dropped"} - {text, key}))
     table = written(line_table(docs, text, key, min_chars), "lines")
     cuts = table.select(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)], 1000)).first()[0] or []
     runs = LineRuns(docs.sparkSession, min_docs)
@@ -99,11 +99,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
         runs.add(part.select(*_KEY, "doc_id"))
     often = runs.state().where(F.col("n_docs") >= min_docs).select(*_KEY, "last_id")
     loses = F.col("doc_id").isNull() & F.col("last_id").isNotNull() | (F.col("doc_id") < F.col("last_id"))
-    drop = table.join(often, _KEY).where(loses).groupBy(F.col("doc_id").alias("_id"), F.col("row_hash").alias("_row")).agg(F.flatten(F.collect_list("places")).alias("_drop"))
-    own = docs.withColumn("_hash", F.xxhash64(text_of(text)))
-    out = own.join(drop, (F.col("_hash") == F.col("_row")) & F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id", "_row", "_hash")
+    drop = table.join(often, _KEY).where(loses).groupBy(F.col("doc_id").alias("__line_id"), F.col("row_hash").alias("__line_row")).agg(F.flatten(F.collect_list("places")).alias("__line_drop"))
+    own = docs.withColumn("__line_hash", F.xxhash64(text_of(text)))
+    out = own.join(drop, (F.col("__line_hash") == F.col("__line_row")) & F.col(key).eqNullSafe(F.col("__line_id")), "left").drop("__line_id", "__line_row", "__line_hash")
     lines = F.split(text_of(text), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    dropped = F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay))
-    kept = F.when(F.col("_drop").isNull(), text_of(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": dropped.cast("long"), text: kept}).drop("_drop")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__line_drop"))
+    dropped = F.when(F.col("__line_drop").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(stay))
+    kept = F.when(F.col("__line_drop").isNull(), text_of(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    return out.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": dropped.cast("long"), text: kept}).drop("__line_drop")

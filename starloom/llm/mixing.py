@@ -80,17 +80,17 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key
 
     A source takes floor(target / size) copies of all its documents, and one more of those under its hash threshold.
     """
-    own = {"size", "source_size", "target", "copies", "taken", "_hash", "_source", "_id"}
+    own = {"size", "source_size", "target", "copies", "taken"}
     docs = docs.drop(*(own - {text, source, key}))
-    sized = docs.withColumns({"size": word_count(F.col(text)), "_hash": draw(F.col(key)), "_source": F.col(source)})
-    slim = written(sized.select(F.col("_source").alias("source"), "size", F.col("_hash").alias("hash")), "mixing-sizes")
+    sized = docs.withColumns({"size": word_count(F.col(text)), "__mix_hash": draw(F.col(key)), "__mix_source": F.col(source)})
+    slim = written(sized.select(F.col("__mix_source").alias("source"), "size", F.col("__mix_hash").alias("hash")), "mixing-sizes")
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = written(source_targets(sizes, weights, cap), "mixing-targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budgets = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     cut = thresholds(slim, budgets.where(F.col("source_size") > 0))
-    plan = budgets.alias("b").join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")), "left").select(F.col("b.source").alias("_plan_source"), "source_size", "target", "whole", "threshold")
+    plan = budgets.alias("b").join(cut.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")), "left").select(F.col("b.source").alias("__mix_plan_source"), "source_size", "target", F.col("whole").alias("__mix_whole"), F.col("threshold").alias("__mix_threshold"))
     plan = written(plan, "mixing-plan")
-    out = sized.join(plan, F.col("_source").eqNullSafe(F.col("_plan_source")), "left")
-    copies = F.col("whole") + F.when(F.col("_hash") < F.col("threshold"), 1).otherwise(0)
-    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("_hash", "_source", "_plan_source", "whole", "threshold")
+    out = sized.join(plan, F.col("__mix_source").eqNullSafe(F.col("__mix_plan_source")), "left")
+    copies = F.col("__mix_whole") + F.when(F.col("__mix_hash") < F.col("__mix_threshold"), 1).otherwise(0)
+    return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__mix_hash", "__mix_source", "__mix_plan_source", "__mix_whole", "__mix_threshold")

@@ -218,7 +218,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
     """docs with one document of each class, that of the smallest id; all columns as they are."""
-    kept = classes(docs, text, key, threshold).where("keep").select(F.col("row1").alias("_row1"), F.col("row2").alias("_row2"))
-    own = docs.withColumns({"_row1": F.xxhash64(F.col(key).cast("long"), text_of(text), F.lit(1)), "_row2": F.xxhash64(F.lit(2), text_of(text))})
-    once = F.row_number().over(W.partitionBy("_row1", "_row2").orderBy("_row1"))
-    return own.join(kept, ["_row1", "_row2"]).withColumn("_once", once).where("_once = 1").drop("_row1", "_row2", "_once")
+    kept = classes(docs, text, key, threshold).where("keep").select(F.col("row1").alias("__row1"), F.col("row2").alias("__row2"))
+    own = docs.withColumns({"__row1": F.xxhash64(F.col(key).cast("long"), text_of(text), F.lit(1)), "__row2": F.xxhash64(F.lit(2), text_of(text))})
+    once = F.row_number().over(W.partitionBy("__row1", "__row2").orderBy("__row1"))
+    return own.join(kept, ["__row1", "__row2"]).withColumn("__once", once).where("__once = 1").drop("__row1", "__row2", "__once")

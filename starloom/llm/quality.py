@@ -105,17 +105,17 @@ def host_rates(judged_docs: DataFrame, host: str = "source") -> DataFrame:
 
 def with_verdicts(judged_docs: DataFrame, rates: DataFrame, host: str = "source") -> DataFrame:
     """judged_docs with host_rate and kept."""
-    rates = rates.select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    out = judged_docs.drop("host_rate", "kept").join(rates, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    rates = rates.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
+    out = judged_docs.drop("host_rate", "kept").join(rates, F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
     bad_host = F.coalesce(F.col("host_rate") > HOST_LIMIT, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("severe") & ~((F.col("n_failed") > 0) & bad_host))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The documents kept, with their own columns. Two passes: rates by host, then verdicts; no text is shuffled."""
-    slim = docs.select(F.col(host).alias("_h"), F.col(text).alias("_t"))
-    rates = written(host_rates(judged(measured(slim, "_t")).drop("_t"), "_h"), "host-rates")
+    slim = docs.select(F.col(host).alias("__h"), F.col(text).alias("__t"))
+    rates = written(host_rates(judged(measured(slim, "__t")).drop("__t"), "__h"), "host-rates")
     names = docs.columns
-    renamed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(text).alias("_t"), F.col(host).alias("_h"))
-    verdicts = with_verdicts(judged(measured(renamed, "_t")), rates, "_h")
-    return verdicts.where("kept").select("_row.*")
+    renamed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(text).alias("__t"), F.col(host).alias("__h"))
+    verdicts = with_verdicts(judged(measured(renamed, "__t")), rates, "__h")
+    return verdicts.where("kept").select("__row.*")

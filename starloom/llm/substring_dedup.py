@@ -154,21 +154,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     of_segment = cut.select("k1", "k2", "anchor", "content", "offset").join(found, ["k1", "k2"])
     of_segment = of_segment.select("anchor", "content", (F.col("first") + F.col("offset")).alias("from"), F.col("size").alias("length"))
     spots = places.join(of_segment, ["anchor", "content"]).select("row1", "row2", (F.col("first") + F.col("from")).alias("from"), "length")
-    spots = spots.groupBy(F.col("row1").alias("_row1"), F.col("row2").alias("_row2")).agg(F.collect_list(F.struct("from", "length")).alias("_spots"))
-    own = docs.withColumns({"_r1": row1, "_r2": row2})
-    marked = own.join(spots, (F.col("_r1") == F.col("_row1")) & (F.col("_r2") == F.col("_row2")), "left").drop("_r1", "_r2", "_row1", "_row2")
+    spots = spots.groupBy(F.col("row1").alias("__row1"), F.col("row2").alias("__row2")).agg(F.collect_list(F.struct("from", "length")).alias("__spots"))
+    own = docs.withColumns({"__r1": row1, "__r2": row2})
+    marked = own.join(spots, (F.col("__r1") == F.col("__row1")) & (F.col("__r2") == F.col("__row2")), "left").drop("__r1", "__r2", "__row1", "__row2")
     return without_spots(marked, text)
 
 
 def without_spots(docs: DataFrame, text: str) -> DataFrame:
-    names = [c for c in docs.columns if c != "_spots"]
-    schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name == text else f for f in docs.schema.fields if f.name != "_spots"), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    names = [c for c in docs.columns if c != "__spots"]
+    schema = T.StructType([*(T.StructField(f.name, T.StringType()) if f.name == text else f for f in docs.schema.fields if f.name != "__spots"), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in pieces(batch, text):
                 kept, total, removed = [], [], []
-                for body, spots in zip(texts, part.column("_spots").to_pylist(), strict=True):
+                for body, spots in zip(texts, part.column("__spots").to_pylist(), strict=True):
                     words = body.split()
                     total.append(len(words))
                     if spots:

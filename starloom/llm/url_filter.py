@@ -89,12 +89,12 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, s
     A rule decides where one fits; else one strict term or soft_needed distinct soft terms block.
     """
     host, path = host_and_path(F.col(url))
-    out = pages.withColumns({"host": host, "path": path, "_hits": vocabulary_hits(F.col(url), strict, soft)})
-    out = out.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    block = (F.size("_hits.strict") > 0) | (F.size("_hits.soft") >= soft_needed)
+    out = pages.withColumns({"host": host, "path": path, "__url_hits": vocabulary_hits(F.col(url), strict, soft)})
+    out = out.withColumn("__url_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    block = (F.size("__url_hits.strict") > 0) | (F.size("__url_hits.soft") >= soft_needed)
     return out.withColumns({
-        "rule": F.col("_rule.rule"),
-        "verdict": F.coalesce(F.col("_rule.verdict"), F.when(block, "block").otherwise("allow")),
-        "strict_terms": F.col("_hits.strict"),
-        "soft_terms": F.col("_hits.soft"),
-    }).drop("_hits", "_rule")
+        "rule": F.col("__url_rule.rule"),
+        "verdict": F.coalesce(F.col("__url_rule.verdict"), F.when(block, "block").otherwise("allow")),
+        "strict_terms": F.col("__url_hits.strict"),
+        "soft_terms": F.col("__url_hits.soft"),
+    }).drop("__url_hits", "__url_rule")
