@@ -27,7 +27,7 @@ QUERIES = {
     "d01_day_numbers": lambda s, d: _round(S.observations(s, d).select("observation_id", A.day_number(F.col("observed_at")).alias("day_number"), A.julian_day(F.col("observed_at")).alias("julian_day"), A.sidereal(A.day_number(F.col("observed_at")), LON).alias("sidereal")), 5, "day_number", "julian_day", "sidereal"),
     "m09_sun": lambda s, d: _round(A.with_sun(_dates(s, d)).select("at", "sun_lon", "sun_ra", "sun_dec", "sun_dist"), 6, "sun_lon", "sun_ra", "sun_dec", "sun_dist"),
     "m10_moon": lambda s, d: _round(A.with_moon(A.with_sun(_dates(s, d))).select("at", "moon_ra", "moon_dec", "moon_dist_km", "moon_phase", "moon_illumination"), 5, "moon_ra", "moon_dec", "moon_dist_km", "moon_phase", "moon_illumination"),
-    "m11_planets": lambda s, d: _round(A.with_planets(A.with_sun(_dates(s, d).where(F.day("at") == 1))).select("at", "planet", "planet_ra", "planet_dec", "planet_dist", "magnitude"), 5, "planet_ra", "planet_dec", "planet_dist", "magnitude"),
+    "m11_planets": lambda s, d: _round(A.with_planets(A.with_sun(_dates(s, d))).select("at", "planet", "planet_ra", "planet_dec", "planet_dist", "magnitude"), 5, "planet_ra", "planet_dec", "planet_dist", "magnitude"),
     "m03_altaz": lambda s, d: _round(K.positions_at(S.objects(s, d), NOW, LAT, LON).select("object_id", "alt", "az", "alt_refracted"), 6, "alt", "az", "alt_refracted"),
     "m13_rise_and_set": lambda s, d: K.rise_and_set(S.objects(s, d), NOW.date(), LAT, LON),
     "q32_search_sky": lambda s, d: _round(K.search(S.objects(s, d), NOW, LAT, LON, max_mag=30.0, min_altitude=20.0, text="g").select("object_id", "name", "mag", "alt"), 6, "alt"),
@@ -128,7 +128,7 @@ ORACLES = {
         SELECT observation_id, {_R("d", 5)} AS day_number, {_R("jd", 5)} AS julian_day, {_R(_lst("d"), 5)} AS sidereal FROM x""",
     "m09_sun": f'WITH {_TIMES}, {_SUN} SELECT "at", {_R("sun_lon", 6)} AS sun_lon, {_R("sun_ra", 6)} AS sun_ra, {_R("sun_dec", 6)} AS sun_dec, {_R("sun_dist", 6)} AS sun_dist FROM sun',
     "m10_moon": f'WITH {_TIMES}, {_SUN}, {_MOON} SELECT "at", ' + ", ".join(f"{_R(c, 5)} AS {c}" for c in ("moon_ra", "moon_dec", "moon_dist_km", "moon_phase", "moon_illumination")) + " FROM moon",
-    "m11_planets": f"WITH {_TIMES.replace('FROM orders)', 'FROM orders WHERE day(o_orderdate) = 1)')}, {_SUN}, {_PLANETS} SELECT \"at\", planet, " + ", ".join(f"{_R(c, 5)} AS {c}" for c in ("planet_ra", "planet_dec", "planet_dist", "magnitude")) + " FROM planets",
+    "m11_planets": f"WITH {_TIMES}, {_SUN}, {_PLANETS} SELECT \"at\", planet, " + ", ".join(f"{_R(c, 5)} AS {c}" for c in ("planet_ra", "planet_dec", "planet_dist", "magnitude")) + " FROM planets",
     "m03_altaz": f"""WITH {S.OBJECTS}, {_ALTAZ} SELECT object_id, {_R("alt", 6)} AS alt, {_R("az", 6)} AS az, {_R("alt + CASE WHEN alt < -1 THEN 0 ELSE 0.0167::DOUBLE / tan(radians(alt + 7.31::DOUBLE / (alt + 4.4::DOUBLE))) END", 6)} AS alt_refracted FROM sky""",
     "m13_rise_and_set": f"""WITH {S.OBJECTS}, {_RISE} SELECT e.object_id, {_R("(u.lo + u.hi) / 2", 2)} AS rise_minute, {_R("(d.lo + d.hi) / 2", 2)} AS set_minute, top AS transit_minute, {_R("highest", 6)} AS highest,
         lowest > -0.583 AS always_up, highest < -0.583 AS never_up FROM ends e LEFT JOIN bu12 u USING (object_id) LEFT JOIN bd12 d ON d.object_id = e.object_id""",

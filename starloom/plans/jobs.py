@@ -22,7 +22,7 @@ def _requests(s, d):
 
 def u2_upsert(s, d):
     jobs = S.jobs(s, d).select("job_id", "status", "version")
-    changes = jobs.where("job_id % 3 = 0").select("job_id", F.lit("changed").alias("status"), (F.col("version") + F.when(F.col("job_id") % 2 == 0, 1).otherwise(-1)).alias("version"))
+    changes = jobs.where("status = 'failed'").select("job_id", F.lit("changed").alias("status"), (F.col("version") + F.when(F.col("job_id") % 2 == 0, 1).otherwise(-1)).alias("version"))
     return J.upserted(jobs, changes, "job_id", "version")
 
 
@@ -70,7 +70,7 @@ ORACLES = {
         CASE WHEN attempts < max_attempts THEN TIMESTAMP '1998-06-01' + to_seconds(least(900, pow(2, least(attempts, 8)))) END AS available_at FROM jobs WHERE status = 'failed'""",
     "q20_user_jobs": f"WITH {S.JOBS} SELECT job_id, job_type, status, available_at, status IN ('uploaded', 'awaiting_review') AS cancellable FROM jobs WHERE user_id = 7 ORDER BY available_at DESC, job_id LIMIT 100",
     "j08_latest_job": f"WITH {S.JOBS} SELECT object_id, arg_max(job_id, (available_at, job_id)) AS job_id, arg_max(status, (available_at, job_id)) AS status, max(available_at) AS available_at, count(*) AS n_jobs FROM jobs GROUP BY object_id",
-    "u2_upsert": f"WITH {S.JOBS} SELECT job_id, CASE WHEN job_id % 6 = 0 THEN 'changed' ELSE status END AS status, version + CASE WHEN job_id % 6 = 0 THEN 1 ELSE 0 END AS version FROM jobs",
+    "u2_upsert": f"WITH {S.JOBS} SELECT job_id, CASE WHEN status = 'failed' AND job_id % 2 = 0 THEN 'changed' ELSE status END AS status, version + CASE WHEN status = 'failed' AND job_id % 2 = 0 THEN 1 ELSE 0 END AS version FROM jobs",
     "u1_append": f"WITH {S.JOBS}, a AS (SELECT CASE WHEN job_id % 4 = 0 THEN job_id + 10000000 ELSE job_id END AS job_id, status FROM jobs) SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_id = a.job_id)",
     "o06_differences": f"""WITH {S.JOBS}, x AS (SELECT job_id, concat_ws(',', CASE WHEN job_id % 10 = 0 THEN 'attempts' END, CASE WHEN job_id % 15 = 0 AND lease_until IS NOT NULL THEN 'lease_until' END, CASE WHEN job_id % 6 = 0 THEN 'status' END) AS fields FROM jobs)
         SELECT job_id, fields FROM x WHERE fields <> ''""",

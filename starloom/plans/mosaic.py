@@ -43,7 +43,7 @@ def f12_tile_paths(s, d):
 
 
 def q08_requested_cells(s, d):
-    asked = M.object_cells(S.objects(s, d).where("object_id % 7 = 0"), (8,)).select(F.lit(8).alias("order"), F.col("cell8").alias("index")).distinct()
+    asked = M.object_cells(S.objects(s, d), (8,)).select(F.lit(8).alias("order"), F.col("cell8").alias("index")).distinct()
     more = asked.select("order", (F.col("index") + 5).alias("index"))
     return M.covered(asked.unionByName(more).distinct(), M.best_tiles(M.tiles(S.frames(s, d), S.objects(s, d))))
 
@@ -114,7 +114,7 @@ ORACLES = {
         pts AS (SELECT *, CASE "order" WHEN 6 THEN 2 WHEN 7 THEN 5 WHEN 8 THEN 10 ELSE 20 END AS points FROM won), run AS (SELECT *, CAST(sum(points) OVER (PARTITION BY frame_id ORDER BY "order" DESC, "index") AS BIGINT) AS running FROM pts)
         SELECT frame_id, user_id, "order", "index", points, running, concat_ws(':', 'coverage', frame_id, "order", "index") AS key FROM run WHERE running <= 500""",
     "q13_best_tiles": f"WITH {S.FRAMES}, {_BASE}, {_COVER}, {_TILES} SELECT * FROM best_tiles",
-    "q08_requested_cells": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, {_TILES}, asked AS (SELECT DISTINCT "index" >> 2 AS "index" FROM cell WHERE object_id % 7 = 0), wanted AS (SELECT "index" FROM asked UNION SELECT "index" + 5 FROM asked)
+    "q08_requested_cells": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, {_TILES}, asked AS (SELECT DISTINCT "index" >> 2 AS "index" FROM cell), wanted AS (SELECT "index" FROM asked UNION SELECT "index" + 5 FROM asked)
         SELECT 8 AS "order", w."index", coalesce(slug, 'uncovered') AS slug, coalesce(path, '') AS path FROM wanted w LEFT JOIN best_tiles b ON b."order" = 8 AND b."index" = w."index" """,
     "a25_attribution": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, {_SHARES} SELECT "order", "index", user_id, floor(share * 1e9 + 0.5) / 1e9 AS share FROM shares""",
     "a26_ancestor_shares": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, {_SHARES}, s AS (SELECT "index" >> 6 AS "index", user_id, sum(share) AS s FROM shares GROUP BY ALL)

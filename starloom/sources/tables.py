@@ -103,10 +103,10 @@ POSTS = """posts AS (SELECT o_orderkey AS post_id, o_custkey AS author_id, o_ord
 
 def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    return c.where("c_custkey % 3 = 0").select((F.col("c_custkey") % 50).alias("follower_id"), F.col("c_custkey").alias("following_id"))
+    return c.select((F.col("c_custkey") % 50).alias("follower_id"), F.col("c_custkey").alias("following_id"))
 
 
-FOLLOWS = "follows AS (SELECT c_custkey % 50 AS follower_id, c_custkey AS following_id FROM customer WHERE c_custkey % 3 = 0)"
+FOLLOWS = "follows AS (SELECT c_custkey % 50 AS follower_id, c_custkey AS following_id FROM customer)"
 
 
 def likes(spark: SparkSession, sf_dir: str) -> DataFrame:
