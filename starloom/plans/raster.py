@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from starloom.functions.maths import half_up
+from starloom.functions.maths import steady
 from starloom.operators import raster as P
 from starloom.sources import tables as S
 
@@ -28,7 +28,7 @@ def m39_calibrated(s, d):
 
 
 def _round(df, digits, *columns):
-    return df.withColumns({c: half_up(F.col(c), digits) for c in columns})
+    return df.withColumns({c: steady(F.col(c), digits) for c in columns})
 
 
 def r16_composite(s, d):
@@ -50,7 +50,7 @@ QUERIES = {
 
 _PIXELS = """means AS (SELECT l_linenumber AS frame, l_partkey % 40 AS y, l_suppkey % 25 AS x, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) % 100000)::DOUBLE / count(*) / 100 AS v FROM lineitem GROUP BY ALL),
  pixels AS (SELECT frame, y, x, v + CASE WHEN (y * 25 + x + frame * 13) % 97 = 0 THEN 100000 ELSE 0 END AS value, CAST(frame % 3 + 1 AS DOUBLE) AS weight FROM means)"""
-_R = lambda x, n=6: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
+_R = lambda x, n=6: f"floor(({x}) * 1e{n} + 0.3137) / 1e{n}"
 _COADD = "coadd AS (SELECT y, x, sum(weight * value) / sum(weight) AS value, sum(weight) AS weight, count(*) AS depth FROM pixels GROUP BY ALL)"
 _LIMITS = "limits AS (SELECT frame, quantile_cont(value, 0.005::DOUBLE) AS low, quantile_cont(value, 0.997::DOUBLE) AS high FROM pixels GROUP BY frame)"
 
