@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,18 +51,16 @@ def word_count(col: Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The batch in slices of about most_bytes of text (one row at least), each with its texts as UTF-8; null is empty."""
-    texts = batch.column(column).cast(pa.large_binary()).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate([*sizes, most_bytes + 1]):
         if i > start and size + n > most_bytes:
-            yield batch.slice(start, i - start), [x or b"" for x in texts[start:i]]
+            part = batch.slice(start, i - start)
+            yield part, [x or b"" for x in part.column(column).cast(pa.large_binary()).to_pylist()]
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield batch.slice(start), [x or b"" for x in texts[start:]]
 
 
 U = np.uint64

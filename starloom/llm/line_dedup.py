@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
         if above is not None:
             part = part.where(F.col("doc_id") > above)
         runs.add(part.select(*_KEY, "doc_id"))
-    often = runs.state().where(F.col("n_docs") >= min_docs).select(*_KEY, "last_id")
+    # a written table, not an aggregate, so that the join below can split a line that very many documents hold
+    often = written(runs.state().where(F.col("n_docs") >= min_docs).select(*_KEY, "last_id"), "often")
     loses = F.col("doc_id").isNull() & F.col("last_id").isNotNull() | (F.col("doc_id") < F.col("last_id"))
     drop = table.join(often, _KEY).where(loses).groupBy(F.col("doc_id").alias("__line_id"), F.col("row_hash").alias("__line_row")).agg(F.flatten(F.collect_list("places")).alias("__line_drop"))
     own = docs.withColumn("__line_hash", F.xxhash64(text_of(text)))

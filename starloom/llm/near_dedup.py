@@ -7,10 +7,11 @@ coordinate with the probability of the weighted Jaccard similarity. Only the fir
 document, whatever its length; if a coordinate stays empty the ranks allowed are doubled.
 
 Documents with the same set are one node. Nodes that share a band of ROWS coordinates meet in a bucket. In a bucket no
-pairs are made but with one centre: the node that meets most others over all its bands. Pairs are checked exactly on the
-full sets; those of SIMILARITY or more are links, and classes are the connected components. The following rounds take the
-buckets that still hold more than one class and compare all their nodes with a centre of another class, then with further
-ones, until a round finds nothing to compare (or after ROUNDS rounds; see the README on what that can leave out).
+pairs are made but with one centre: the node that meets most others over all its bands; in a second round, where a bucket
+still holds more than one class, with a centre of another class. Pairs are checked exactly on the full sets; those of
+SIMILARITY or more are links, and classes are the connected components. What a centre can't tell, an exact join does: the
+nodes of buckets that still hold several classes are joined on their rarest elements (prefix and length filter, for nodes
+of different classes only), which finds every link left among them.
 
 Null and empty texts have no words: all of them are one class of their own. A text of one to four words is one run of them
 all. Rows that repeat are in one class. The class id is the smallest doc_id in the class (null if all are null). Extra
@@ -32,7 +33,7 @@ from starloom.llm.common import U, grams, hashed_words, mix, pieces, sequence_ha
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
-ROUNDS = 4
+ROUNDS = 2
 _GOLD, _A, _B = U(0x9E3779B97F4A7C15), U(0x5851F42D4C957F2D), U(0x2545F4914F6CDD1D)
 
 
@@ -151,6 +152,47 @@ def verified(pairs: DataFrame, of_node: DataFrame, threshold: float, weighted: b
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_items", "a_times", "b_items", "b_times").mapInArrow(run, "a long, b long")
 
 
+def unlike_nodes(inside: DataFrame) -> DataFrame:
+    """(node, cls) of all nodes in buckets that hold several classes. inside: bucket, node, cls."""
+    mixed = inside.groupBy("bucket").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low != high")
+    return inside.join(written(mixed.select("bucket"), "mixed"), "bucket").select("node", "cls").distinct()
+
+
+def prefix_pairs(nodes: DataFrame, of_node: DataFrame, threshold: float, weighted: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes that share an element of both prefixes, and whose sizes allow the threshold.
+
+    Elements are ordered by the number of nodes that hold them, rarest first. Of two sets of n and m elements with a Jaccard
+    similarity of t or more, the first n - ceil(t n) + 1 and m - ceil(t m) + 1 share one. Elements of one node alone come
+    first and only fill the prefix. With weights, an element is as many elements as it stands times.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets_ = []
+                for items, times in zip(part.column("items").to_pylist(), part.column("times").to_pylist(), strict=True):
+                    items, times = np.frombuffer(items, np.uint64), np.frombuffer(times, np.uint32)
+                    if weighted and len(times):
+                        copy = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                        items = mix(np.repeat(items, times) + copy.astype(np.uint64) * _GOLD)
+                    sets_.append(items)
+                n = np.array([len(x) for x in sets_], np.int64)
+                columns = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("node", "cls")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets_).view(np.int64))], ["node", "cls", "n", "item"])
+
+    held = of_node.join(nodes, "node").select("node", "cls", "items", "times").mapInArrow(run, "node long, cls long, n long, item long")
+    common = written(held.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "common-elements")
+    of_one = W.partitionBy("node")
+    ranked = held.join(common, "item").withColumns({"place": F.row_number().over(of_one.orderBy("holders", "item")), "shared": F.count(F.lit(1)).over(of_one)})
+    reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    prefix = written(ranked.where(F.col("n") - F.col("shared") + F.col("place") <= reach).select("node", "cls", "n", "item"), "prefixes")
+    a, b = prefix.alias("a"), prefix.alias("b")
+    sizes = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
+    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.cls") != F.col("b.cls")) & (F.col("a.node") < F.col("b.node")) & sizes)
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) to (node, cls): the smallest node of its connected component, by labels passed along links and shortcut."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "links")
@@ -178,7 +220,8 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
     nodes = written(same.select("k1", "k2", F.col("first.rid").alias("node"), F.col("first.row1").alias("row1"), F.col("first.row2").alias("row2")), "nodes")
 
     entries = sketch.where("n > 0").select(F.col("rid").alias("node"), "bands").join(nodes.select("node"), "node").select("node", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    # what is joined to a skewed side is written first: Spark splits hot keys of a join with a table, not with an aggregate
+    shared = written(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("met")).where("met > 1"), "shared")
     met = written(entries.join(shared, "bucket"), "buckets")
     central = met.groupBy("node").agg(F.sum("met").alias("score"))
     met = written(met.select("bucket", "node").join(central, "node"), "buckets-scored")
@@ -187,20 +230,20 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
     labels = met.select("node").limit(0).select("node", F.col("node").alias("cls"))
     tried = None
-    for turn in range(rounds):
+    for turn in range(rounds + 1):
         inside = _class_of(met, labels)
-        rank = F.col("score") if turn < 2 else F.xxhash64("node", F.lit(turn))
-        top = inside.groupBy("bucket").agg(F.max(F.struct("score", "node", "cls")).alias("top"))
-        inside = inside.join(top, "bucket")
-        if turn:
-            second = inside.where("cls != top.cls").groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "node", "cls")).alias("centre"))
-            inside = inside.join(second, "bucket")
+        if turn < rounds:
+            top = written(inside.groupBy("bucket").agg(F.max(F.struct("score", "node", "cls")).alias("centre")), "tops")
+            inside = inside.join(top, "bucket")
+            if turn:
+                others = inside.where("cls != centre.cls").groupBy("bucket").agg(F.max(F.struct("score", "node", "cls")).alias("centre"))
+                inside = inside.drop("centre").join(written(others, "centres"), "bucket")
+            pairs = inside.where("cls != centre.cls").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
         else:
-            inside = inside.withColumn("centre", F.col("top"))
-        pairs = inside.where("cls != centre.cls").select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+            pairs = prefix_pairs(unlike_nodes(inside), of_node, threshold, weighted)
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = written(verified(pairs, of_node, threshold, weighted), "links-found")
         if links.isEmpty():
@@ -213,7 +256,7 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold:
 
     member = _class_of(sketch.select("doc_id", "row1", "row2", "rid", "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]), labels)
     whole = member.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("n_docs"))
-    return member.join(whole, "cls").select("doc_id", F.col("first.doc_id").alias("class_id"), "n_docs", (F.col("rid") == F.col("first.rid")).alias("keep"), "row1", "row2")
+    return member.join(written(whole, "whole"), "cls").select("doc_id", F.col("first.doc_id").alias("class_id"), "n_docs", (F.col("rid") == F.col("first.rid")).alias("keep"), "row1", "row2")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:

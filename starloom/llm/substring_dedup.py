@@ -134,7 +134,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     row1, row2 = F.xxhash64(F.col(key), text_of(text), F.lit(1)), F.xxhash64(F.lit(2), text_of(text))
     slim = docs.select(row1.alias("row1"), row2.alias("row2"), text_of(text).alias("text"))
     table = segment_table(slim, window, gram)
-    again = table.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("anchor")
+    # a written table, not an aggregate, so that the join below can split an anchor that very many segments share
+    again = written(table.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("anchor"), "anchors")
     places = written(table.join(again, "anchor"), "segments")
 
     distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row1", "row2", "first", "size")).alias("one"))
