@@ -34,6 +34,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 42, 6
 K = BANDS * ROWS
 ROUNDS = 2
+SKETCH = 16
 _GOLD, _A, _B = U(0x9E3779B97F4A7C15), U(0x5851F42D4C957F2D), U(0x2545F4914F6CDD1D)
 
 
@@ -164,7 +165,13 @@ def prefix_pairs(nodes: DataFrame, of_node: DataFrame, threshold: float, weighte
     Elements are ordered by the number of nodes that hold them, rarest first. Of two sets of n and m elements with a Jaccard
     similarity of t or more, the first n - ceil(t n) + 1 and m - ceil(t m) + 1 share one. Elements of one node alone come
     first and only fill the prefix. With weights, an element is as many elements as it stands times.
+
+    Two more filters stand in the join's condition, so that what they refuse is never made. Both keep every link. Such sets
+    share at least ``needed = ceil(t (n + m) / (1 + t))`` elements: so many must lie at or behind the first shared one
+    (positions), and n + m - 2 needed at most are in one set alone. Each of these flips one bit between the sets' parity
+    sketches (an element flips one of SKETCH * 64 bits), so the sketches may not differ in more bits than that.
     """
+    sketch = [f"s{j}" for j in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,15 +188,33 @@ def prefix_pairs(nodes: DataFrame, of_node: DataFrame, threshold: float, weighte
                 columns = [pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("node", "cls")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets_).view(np.int64))], ["node", "cls", "n", "item"])
 
-    held = of_node.join(nodes, "node").select("node", "cls", "items", "times").mapInArrow(run, "node long, cls long, n long, item long")
+    def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            node, item = batch.column("node").to_numpy(), batch.column("item").to_numpy().view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            bits = (mix(item ^ _B) % U(SKETCH * 64)).astype(np.int64) + np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node)))) * SKETCH * 64
+            odd = (np.bincount(bits, minlength=len(first) * SKETCH * 64) & 1).astype(np.uint8)
+            words = np.packbits(odd, bitorder="little").view(np.int64).reshape(len(first), SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(node[first]), *(pa.array(words[:, j]) for j in range(SKETCH))], ["node", *sketch])
+
+    chosen = written(of_node.join(nodes, "node").select("node", "cls", "items", "times"), "prefix-sets")
+    held = chosen.mapInArrow(run, "node long, cls long, n long, item long")
     common = written(held.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "common-elements")
     of_one = W.partitionBy("node")
     ranked = held.join(common, "item").withColumns({"place": F.row_number().over(of_one.orderBy("holders", "item")), "shared": F.count(F.lit(1)).over(of_one)})
     reach = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    prefix = written(ranked.where(F.col("n") - F.col("shared") + F.col("place") <= reach).select("node", "cls", "n", "item"), "prefixes")
+    at = F.col("n") - F.col("shared") + F.col("place")
+    prefix = ranked.where(at <= reach).select("node", "cls", "n", "item", (F.col("n") - at + 1).alias("behind"))
+    sketches_ = chosen.mapInArrow(parity, "node long, " + ", ".join(f"{s} long" for s in sketch))
+    prefix = written(prefix.join(sketches_, "node"), "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    needed = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
     sizes = (F.col("a.n") >= F.col("b.n") * threshold - 1e-9) & (F.col("b.n") >= F.col("a.n") * threshold - 1e-9)
-    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.cls") != F.col("b.cls")) & (F.col("a.node") < F.col("b.node")) & sizes)
+    places = F.least("a.behind", "b.behind") >= needed
+    differ = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in sketch), F.lit(0))
+    near = sizes & places & (differ <= both - 2 * needed)
+    met = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.cls") != F.col("b.cls")) & (F.col("a.node") < F.col("b.node")) & near)
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
