@@ -466,6 +466,68 @@ def test_likeness():
     assert set(alone) <= set(inside)
 
 
+def plain_anchors(text):
+    """(hash, place) of every closed syncmer, each k-mer on its own."""
+    out = []
+    for i in range(len(text) - fingerprint.K + 1):
+        hashes, _ = fingerprint.closed_syncmers(np.frombuffer(text[i : i + fingerprint.K].encode("utf-32-le"), np.uint32))
+        out += [(int(h) >> 32, i) for h in hashes]
+    return out or ([(int(hashlib.sha256(text.encode()).hexdigest()[:8], 16), 0)] if text else [])
+
+
+def plain_likeness(a, b):
+    """Longest common subsequence of all anchors by a whole table, over the union that counts repeats."""
+    x, y = ([h for h, _ in plain_anchors(t)] for t in (a, b))
+    if plain_anchors(a) == plain_anchors(b):
+        return 1.0
+    row = [0] * (len(y) + 1)
+    for h in x:
+        above, row = row, [0] * (len(y) + 1)
+        for j, k in enumerate(y):
+            row[j + 1] = above[j] + 1 if h == k else max(above[j + 1], row[j])
+    return row[-1] / (Counter(x) | Counter(y)).total()
+
+
+def test_fingerprint_has_every_anchor():
+    for t in (prose(1, 800), "abcdefghij" * 60 + prose(2, 90) + "abcdefghij" * 30, "x" * 300, "short", "é" * 24):
+        mark = fingerprint.fingerprint(t)
+        assert [(int(mark[i : i + 8], 16), int(mark[i + 8 : i + 16], 16)) for i in range(0, len(mark), 16)] == plain_anchors(t)
+    mark = fingerprint.fingerprint(LONG)
+    assert len(mark) // 16 == len(fingerprint.closed_syncmers(np.frombuffer(LONG.encode("utf-32-le"), np.uint32))[0]) > 20_000
+
+
+def test_likeness_sees_a_short_passage_of_long_texts():
+    a, b, shared = prose(11, 20_000), prose(12, 20_000), "".join(chr(97 + i * i % 23 + i // 40 % 3) for i in range(330))
+    mark = fingerprint.fingerprint
+    far = fingerprint.likeness(mark(a), mark(b))
+    near = fingerprint.likeness(mark(a[:9000] + shared + a[9000:]), mark(b[:70_000] + shared + b[70_000:]))
+    assert near > far
+
+
+def test_likeness_against_a_plain_table(monkeypatch):
+    r = random.Random(6)
+    parts = [prose(200 + i, 12) for i in range(8)] + ["abcdefghij" * 9, "x" * 60]
+    mixed = ["\n".join(r.choices(parts, k=r.randrange(1, 9))) for _ in range(12)]
+    mixed += [prose(1, 150), fingerprint.edited(prose(1, 150), prose(2, 150)), "short", ""]
+    want = {(a, b): plain_likeness(a, b) for i, a in enumerate(mixed) for b in mixed[:i]}
+    marks = {t: fingerprint.fingerprint(t) for t in mixed}
+    by_meetings, by_bits = fingerprint._by_meetings, fingerprint._by_bits
+    for other in (lambda x, y, each: by_meetings(x, y, each), lambda x, y, each: by_bits(x, y)):
+        monkeypatch.setattr(fingerprint, "_by_meetings", other)
+        monkeypatch.setattr(fingerprint, "_by_bits", lambda x, y, other=other: other(x, y, np.bincount(x, minlength=int(y.max()) + 1)))
+        assert {(a, b): fingerprint.likeness(marks[a], marks[b]) for a, b in want} == want
+
+
+def test_compared_to_next_against_a_plain_table(spark):
+    bodies = [fingerprint.edited(prose(1, 90), prose(i, 90)) for i in range(6)] + [None, "", "short", "abcdefghij" * 40, prose(1, 90)]
+    rows = {r.doc_id: r for r in fingerprint.compared_to_next(table(spark, [(i, t, "a") for i, t in enumerate(bodies)])).collect()}
+    for i, t in enumerate(bodies):
+        own, following = t or "", bodies[i - 1] or ""
+        changed = fingerprint.edited(own, following)
+        assert (rows[i].near_edited, rows[i].near_next) == (plain_likeness(own, changed), plain_likeness(own, following))
+        assert (rows[i].fingerprint, rows[i].edited_fingerprint) == (fingerprint.fingerprint(own), fingerprint.fingerprint(changed))
+
+
 def test_word_hashes_do_not_depend_on_their_place():
     hashes, first, starts, stops = hashed_words([b"a bb a", b"", b"bb  a"])
     assert list(first) == [0, 3, 3, 5] and hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[3]
