@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from starloom.llm import licenses, line_dedup, mixing, near_dedup, quality, url_filter
 from starloom.llm.common import LOWER, UPPER
 
@@ -28,6 +30,15 @@ _LICENSE_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}',
 _PHRASES = "phrases(label, p) AS (VALUES " + ", ".join(f"('{label}', {_LIST(p.split())})" for label, p in licenses.PHRASES) + ")"
 _TEMPLATES = "templates(label, t) AS (VALUES " + ", ".join(f"('{label}', list_distinct({_LIST(t.split())}))" for label, t in licenses.TEMPLATES) + ")"
 
+
+def _one_of(words: str) -> list[str]:
+    """Words of which each block that holds enough of the template holds one at least: one more than it may miss, the longest."""
+    distinct = sorted(set(words.split()), key=lambda w: (-len(w), w))
+    return distinct[: len(distinct) - math.ceil(licenses.CONTAINMENT * len(distinct) - 1e-9) + 1]
+
+
+_NEEDED = sorted({w for _, words in licenses.TEMPLATES for w in _one_of(words)})
+
 ORACLES: dict[str, str] = {
     "op1_dart_minhash": f"WITH RECURSIVE {_NEAR} SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_docs, doc_id = class_id AS keep FROM classes",
     "op3_weighted_url_vocabulary": f"""WITH {_rules(URL_RULES)}, u AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -66,7 +77,7 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT severe AND NOT (bad AND rate > {quality.HOST_LIMIT}::DOUBLE) AS kept FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source""",
     "op8_license_blocks": f"""WITH {_PHRASES}, {_TEMPLATES}, w AS (SELECT doc_id, {_LICENSE_WORDS} AS ws FROM documents), pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
         b AS (SELECT doc_id, i - 1 AS i, label FROM pos JOIN phrases ON ws[i] = p[1] AND list_slice(ws, i, i + len(p) - 1) = p), base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
-        blocks AS (SELECT doc_id, list_slice(ws, k * {licenses.BLOCK // 2} + 1, k * {licenses.BLOCK // 2} + {licenses.BLOCK}) AS bw FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + {licenses.BLOCK // 2 - 1}) // {licenses.BLOCK // 2})) AS k FROM w WHERE list_has_any(ws, ['license', 'software', 'binary', 'public', 'commons', 'cc', 'licensed']))),
+        blocks AS (SELECT doc_id, list_slice(ws, k * {licenses.BLOCK // 2} + 1, k * {licenses.BLOCK // 2} + {licenses.BLOCK}) AS bw FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + {licenses.BLOCK // 2 - 1}) // {licenses.BLOCK // 2})) AS k FROM w WHERE list_has_any(ws, {_LIST(_NEEDED)}))),
         c AS (SELECT doc_id, label, len(list_intersect(t, bw)) / len(t) AS c FROM blocks, templates WHERE len(list_intersect(t, bw)) >= ceil({licenses.CONTAINMENT}::DOUBLE * len(t) - 1e-9)),
         every AS (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM c), labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id), score AS (SELECT doc_id, max(c) AS c FROM c GROUP BY doc_id)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0) END AS score
