@@ -101,7 +101,8 @@ def interleaved(lists: list[DataFrame], key: str, order: str, limit: int) -> Dat
     """One of each list in turn, each key once, the first limit rows."""
     out = None
     for n, rows in enumerate(lists):
-        rows = rows.select(key, F.row_number().over(W.orderBy(order)).alias("turn"), F.lit(n).alias("list")).orderBy("turn").limit(limit)
+        few = rows.select(key, order).orderBy(order).limit(limit)  # a top-k; only these rows meet in one task
+        rows = few.select(key, F.row_number().over(W.orderBy(order)).alias("turn"), F.lit(n).alias("list"))
         out = rows if out is None else out.unionByName(rows)
     first = out.groupBy(key).agg(F.min(F.struct("turn", "list")).alias("at"))
     return first.select(key, "at.turn", "at.list").orderBy("turn", "list").limit(limit)

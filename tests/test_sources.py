@@ -57,3 +57,10 @@ def test_pixels_go_there_and_back(spark):
 def test_aliases_and_properties(spark):
     row = spark.range(1).select(text.aliases(F.lit("NGC 6960/6992")).alias("a"), text.properties(F.lit("# c = 1\na = b = c\nno\n x =y ")).alias("p")).first()
     assert row.a == ["NGC 6960", "NGC 6992"] and row.p == {"a": "b = c", "x": "y"}
+
+
+def test_interleaved_numbers_only_the_first_rows_of_a_list(spark):
+    lists = [spark.range(k, 3000, 3, 4).select(F.concat(F.lit("n"), (F.col("id") % 1000).cast("string")).alias("name"), F.col("id").alias("at")) for k in range(3)]
+    got = readers.interleaved(lists, "name", "at", 5)
+    assert [tuple(r) for r in got.collect()] == [("n0", 1, 0), ("n1", 1, 1), ("n2", 1, 2), ("n3", 2, 0), ("n4", 2, 1)]
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
