@@ -1,7 +1,8 @@
 """Best-fit packing of tokenised documents into fixed-length sequences by the sum-of-squares rule.
 
 A document's tokens and one end token are cut into pieces only where they exceed a sequence. Pieces are then dealt into
-groups of about GROUP documents by a hash of the id, and each group is packed in one pass: a piece goes where the sum over
+groups of about GROUP documents by a hash of the piece (id, number, content, and which of its equals it is in its task, so
+that ids and rows that repeat very often spread over the groups), and each group is packed in one pass: a piece goes where the sum over
 all residual gaps of the squared number of open sequences with that gap becomes smallest. What is shuffled and packed is
 lengths and ids, never texts. A group leaves a handful of sequences not full, so larger groups waste less.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,10 +147,11 @@ def word_tokens(tokenizer_file: str) -> WordTokens:
 
 
 def tokenised(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32."""
+    """One row a piece: doc_id, piece, start, length, ids_crc32, and copy, which numbers equal pieces of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_tokens(tokenizer_file)
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        copies: Counter[tuple] = Counter()
         for batch in batches:
             for part, texts in pieces(batch, "text"):
                 out: list[tuple] = []
@@ -156,10 +159,12 @@ def tokenised(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for n, at in enumerate(range(0, len(ids), length)):
                         cut = ids[at : at + length]
-                        out.append((doc_id, n, at, len(cut), zlib.crc32(cut.tobytes())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                        crc = zlib.crc32(cut.tobytes())
+                        out.append((doc_id, n, at, len(cut), crc, copies[doc_id, n, crc]))
+                        copies[doc_id, n, crc] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "copy"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"{_SCHEMA}, copy int")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,13 +202,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(docs: DataFrame, tokenizer_file: str, text: str = "text", key: str = "doc_id", length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     groups = max(1, -(-docs.count() // group))
-    parts = tokenised(docs, tokenizer_file, text, key, length, end_id).withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    parts = tokenised(docs, tokenizer_file, text, key, length, end_id).withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(groups)))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         sequence, offset = sum_of_squares(pdf["length"].to_numpy(), length)
         pdf["sequence_id"] = pdf["_group"].to_numpy() * (1 << 32) + sequence
         pdf["offset"] = offset
-        return pdf.drop(columns="_group")
+        return pdf.drop(columns=["_group", "copy"])
 
     return parts.groupBy("_group").applyInPandas(place, f"{_SCHEMA}, sequence_id long, offset long")

@@ -407,6 +407,13 @@ def test_packing(spark, odd, empty, length):
     assert packing.pack(empty, file).count() == 0
 
 
+def test_packing_spreads_a_hot_id(spark):
+    rows = [(None, prose(i, 9), "a") for i in range(60)] + [(7, prose(99, 9), "a")] * 60
+    got = packing.pack(table(spark, rows).coalesce(2), public_tokenizers.path("word_bpe_49k.json"), group=10).collect()
+    assert Counter(r.doc_id for r in got) == {None: 60, 7: 60}
+    assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 30
+
+
 def test_tokens_equal_the_library():
     file = public_tokenizers.path("word_bpe_49k.json")
     words, library = packing.WordTokens(file, cache_words=500), Tokenizer.from_file(file)
