@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,26 +11,52 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.sources.storage import delete_path, shared_dir
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='starloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).write(df, name)
+
+
+class Scratch:
+    """Tables that an operator writes on its way, in a folder of their own under the shared one.
+
+    drop() removes tables that are read no more, so that a long job holds only what it still needs. What the result itself
+    reads stays; the folder named by spark.checkpoint.dir is cleared by whoever set it.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{len(self.paths)}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        self._delete([path for table, path in self.paths if any(table is t for t in tables)])
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        self._delete([path for table, path in self.paths if not any(table is t for t in tables)])
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            delete_path(self.spark, path)
+        self.paths = [(t, p) for t, p in self.paths if p not in paths]
+
+
+def shielded(docs: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns of these names renamed, so that an operator may add its own, and the names to give back."""
+    back = {f"__own_{c}": c for c in docs.columns if c in names}
+    return docs.withColumnsRenamed({c: hidden for hidden, c in back.items()}), back
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
