@@ -1,7 +1,8 @@
 """URL filter with a weighted vocabulary, and explicit host/path rules in front of it.
 
 An Aho-Corasick automaton finds every vocabulary term of a URL in one pass. A hit counts only between boundaries (no
-ASCII letter or digit next to it). One strict term rejects; soft terms reject when several distinct ones are found.
+ASCII letter or digit next to it). One strict term rejects; soft terms reject when several distinct ones are found. The
+vocabulary is read from a file on the driver and shipped to the tasks as the automaton's words.
 
 Null, empty and odd URLs: a null URL, or one without ``://``, has empty host and path; its terms still count (null has
 none). Repeated rows are judged alike. Other columns stay as they are, except that the operator's own result columns
@@ -11,6 +12,7 @@ replace input columns of the same name. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import ahocorasick
 import pandas as pd
@@ -19,8 +21,22 @@ from pyspark.sql import functions as F
 
 from starloom.llm.common import LOWER, UPPER, ascii_lower
 
-STRICT = ("casino", "porn", "porno", "xxx", "viagra", "cialis", "escort", "escorts", "hentai", "nsfw", "camgirls", "warez")
-SOFT = ("adult", "sex", "sexy", "bet", "betting", "poker", "slots", "jackpot", "pills", "pharmacy", "loan", "loans", "bonus", "win", "cheap", "replica", "nude", "dating", "torrent", "crack")
+TERMS_FILE = Path(__file__).with_name("url_terms.txt")
+
+
+def terms(file: Path = TERMS_FILE) -> dict[str, tuple[str, ...]]:
+    """Terms by section ([strict], [soft]) of a vocabulary file: words between white space, lines from # left out."""
+    out: dict[str, tuple[str, ...]] = {}
+    section = ""
+    for line in file.read_text("utf-8").splitlines():
+        if line.startswith("["):
+            section = line.strip("[]")
+        elif not line.startswith("#"):
+            out[section] = out.get(section, ()) + tuple(line.split())
+    return out
+
+
+STRICT, SOFT = (terms()[section] for section in ("strict", "soft"))
 SOFT_NEEDED = 2
 ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
