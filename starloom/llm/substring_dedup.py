@@ -3,17 +3,17 @@
 A window is WINDOW consecutive words. Every window picks an anchor, the run of GRAM words in it with the smallest hash
 (leftmost if equal); equal windows pick equal anchors, so all that could match meets under one anchor. Neighbouring
 windows with the same anchor form a segment. Anchors seen once in the corpus can't repeat and end here. Of the others,
-equal segments are counted and shipped once, with their count, to the shard of their anchor. A shard builds the FM-index
-of its segments, streams them through backward search, and reports the stretches that stand at least twice for WINDOW
-words or more; these are mapped back to all places of the segment, and every word covered is removed.
+equal segments are counted and shipped once, with their count, to the shard of their anchor. A shard builds the compressed
+FM-index of its segments, streams the documents' segments through backward search, and reports the stretches that stand at
+least twice for WINDOW words or more; these are mapped back to all places of the segment, and every word covered is removed.
 
 An anchor with more than HOT distinct segments (the edge of a passage that very many documents share) is not sent to one
 shard: its segments are cut into single windows, equal windows are counted, and each distinct window goes to a shard of
 its own hash. That is the same search on finer pieces, exact as well, and no shard grows with the passage.
 
 Null or empty texts have no words; texts shorter than a window lose nothing. Windows are judged on the input. Rows are told
-apart by id and text: rows repeated as a whole count as often as they stand, and are treated alike. Very long texts are
-read whole. Extra columns stay; result columns (n_words, n_removed) replace input columns of the same name. An empty table
+apart by id and text: rows repeated as a whole count as often as they stand, and are treated alike; the work grows in
+proportion to their number. Very long texts are read whole. Extra columns stay; result columns (n_words, n_removed) replace input columns of the same name. An empty table
 gives an empty result.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import U, _powers, grams, hashed_words, mix, pieces, text_of, written
+from starloom.llm.common import Scratch, U, _powers, grams, hashed_words, mix, pieces, text_of
 from starloom.llm.fm_index import FmIndex
 
 WINDOW, GRAM = 35, 8
@@ -115,7 +115,7 @@ def repeated_stretches(shard: pa.Table, window: int) -> pa.Table:
     inside = np.ones(len(text), bool)
     inside[ends] = False
     text[inside] = codes + 1
-    matched = FmIndex(text, shard.column("n").to_numpy()).matching_statistics()
+    matched = FmIndex(text, shard.column("n").to_numpy()).matching_statistics(text)
     long = np.flatnonzero(matched >= window)
     segment = np.searchsorted(ends, long)
     first = long - (ends[segment] - sizes[segment])
@@ -131,31 +131,37 @@ def repeated_stretches(shard: pa.Table, window: int) -> pa.Table:
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with the words that stay, joined by one space, as text; n_words before and n_removed."""
     docs = docs.drop(*({"n_words", "n_removed"} - {text, key}))
+    scratch = Scratch(docs.sparkSession, "repeats")
     row1, row2 = F.xxhash64(F.col(key), text_of(text), F.lit(1)), F.xxhash64(F.lit(2), text_of(text))
     slim = docs.select(row1.alias("row1"), row2.alias("row2"), text_of(text).alias("text"))
     table = segment_table(slim, window, gram)
-    # a written table, not an aggregate, so that the join below can split an anchor that very many segments share
-    again = written(table.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("anchor"), "anchors")
-    places = written(table.join(again, "anchor"), "segments")
+    # tables that meet a skewed side are written first: Spark splits hot keys of a join with a table, not with an aggregate
+    again = scratch.write(table.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1").select("anchor"), "anchors")
+    places = scratch.write(table.join(again, "anchor"), "segments")
 
     distinct = places.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row1", "row2", "first", "size")).alias("one"))
-    distinct = written(distinct.select("anchor", "content", "n", "one.*"), "distinct-segments")
+    distinct = scratch.write(distinct.select("anchor", "content", "n", "one.*"), "distinct-segments")
     crowded = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot).select("anchor", F.lit(True).alias("hot"))
-    wanted = distinct.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    parts = wanted.groupBy("row1", "row2").agg(F.collect_list(F.struct("anchor", "content", "first", "size", "n", "hot")).alias("parts"))
-    once = slim.join(parts, ["row1", "row2"])
-    cut = written(extracted(once, window), "pieces")
+    wanted = distinct.join(scratch.write(crowded, "crowded"), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    parts = scratch.write(wanted.groupBy("row1", "row2").agg(F.collect_list(F.struct("anchor", "content", "first", "size", "n", "hot")).alias("parts")), "parts")
+    # rows repeated as a whole are all cut; what they give is alike, and counts once below
+    cut = scratch.write(extracted(slim.join(parts, ["row1", "row2"]), window), "pieces")
 
     total = distinct.agg(F.coalesce(F.sum(F.col("size").cast("long")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_words))
-    pieces_ = cut.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.first("words").alias("words"))
+    place = F.struct("anchor", "content", "offset")
+    # the search only asks whether a run stands twice, so 2 stands for any larger number
+    twice = (F.max("n") > 1) | (F.min(place) != F.max(place))
+    pieces_ = cut.groupBy("k1", "k2").agg(F.when(twice, 2).otherwise(1).cast("long").alias("n"), F.first("words").alias("words"))
     pieces_ = pieces_.withColumn("shard", F.pmod(F.xxhash64("k1"), F.lit(shards)))
     found = pieces_.groupBy("shard").applyInArrow(lambda t: repeated_stretches(t, window), "k1 long, k2 long, first int, size int")
-    found = written(found, "stretches")
-    of_segment = cut.select("k1", "k2", "anchor", "content", "offset").join(found, ["k1", "k2"])
-    of_segment = of_segment.select("anchor", "content", (F.col("first") + F.col("offset")).alias("from"), F.col("size").alias("length"))
+    found = scratch.write(found, "stretches")
+    of_segment = cut.select("k1", "k2", "anchor", "content", "offset").distinct().join(found, ["k1", "k2"])
+    of_segment = scratch.write(of_segment.select("anchor", "content", (F.col("first") + F.col("offset")).alias("from"), F.col("size").alias("length")), "stretches-of-segments")
     spots = places.join(of_segment, ["anchor", "content"]).select("row1", "row2", (F.col("first") + F.col("from")).alias("from"), "length")
-    spots = spots.groupBy(F.col("row1").alias("__row1"), F.col("row2").alias("__row2")).agg(F.collect_list(F.struct("from", "length")).alias("__spots"))
+    spots = spots.groupBy(F.col("row1").alias("__row1"), F.col("row2").alias("__row2")).agg(F.collect_set(F.struct("from", "length")).alias("__spots"))
+    spots = scratch.write(spots, "spots")
+    scratch.keep_only(spots)
     own = docs.withColumns({"__r1": row1, "__r2": row2})
     marked = own.join(spots, (F.col("__r1") == F.col("__row1")) & (F.col("__r2") == F.col("__row2")), "left").drop("__r1", "__r2", "__row1", "__row2")
     return without_spots(marked, text)
