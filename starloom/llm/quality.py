@@ -1,18 +1,22 @@
 """Quality rules with host-level rates.
 
-Each document is measured in one pass over its whole text. Base rules and severe failures (SEVERE times a limit) decide
-by themselves. For milder failures the document's host decides: rule failures are summed by host, the rates are shrunk
-towards an empirical beta prior (mean and variance of the rates over hosts, by moments), and a document that fails a rule
-goes where its host's shrunk rate is over HOST_LIMIT. A document that fails no rule stays, whatever its host.
+Each document is measured in one pass over its whole text. Base rules and severe failures decide by themselves, on any
+host. Milder rules are evidence that a document alone can't carry: its host decides. Rule failures are summed by host and
+shrunk towards an empirical beta prior, whose mean is the common rate and whose strength comes from the variance of the
+rates over hosts (by moments, MAX_STRENGTH at most, so that hosts that look all alike can still be told apart by many
+documents). A host is bad if its posterior rate lies over the common rate with a probability of TAIL or more (by the
+normal approximation of the posterior), and a document that fails a milder rule goes where its host is bad. A document
+that fails no rule stays, whatever its host.
 
 Null or empty text has no words and fails the base rules. A null host is a host of its own. Repeated rows are judged alike
-and count each. Extra columns stay; result columns replace input columns of the same name. An empty table gives an empty
-result.
+and count each. Extra columns stay; result columns replace input columns of the same name, except in quality_filter(),
+which keeps all columns of its input. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import WHITE, grams, hashed_words, pieces, written
+from starloom.llm.common import WHITE, grams, hashed_words, pieces, shielded, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MAX_SYMBOLS_PER_WORD, MAX_DUP_LINES, WORD_LENGTH = 0.1, 0.3, (2.5, 12.0)
-SEVERE, HOST_LIMIT = 2.0, 0.35
+#: Milder rules: symbols a word, share of repeated lines, share of words in repeated runs, mean word length.
+MAX_SYMBOLS_PER_WORD, MAX_DUP_LINES, MAX_REPEAT_SHARE, WORD_LENGTH = 0.05, 0.1, 0.1, (2.5, 10.0)
+SEVERE_SYMBOLS_PER_WORD, SEVERE_DUP_LINES = 0.2, 0.6
+MAX_STRENGTH, TAIL = 100.0, 0.8
+TAIL_DEVIATIONS = round(NormalDist().inv_cdf(TAIL), 4)
 METRICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+ADDED = {*METRICS, "base_failed", "n_failed", "severe", "host_rate", "bad_host", "kept"}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -78,44 +86,38 @@ def judged(measures: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     symbols = F.col("n_symbols") / words
     lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
-    length = F.col("word_chars") / words
-    fails = (symbols > MAX_SYMBOLS_PER_WORD, lines > MAX_DUP_LINES, ~length.between(*WORD_LENGTH))
-    severe = (symbols > SEVERE * MAX_SYMBOLS_PER_WORD) | (lines > SEVERE * MAX_DUP_LINES)
+    fails = (symbols > MAX_SYMBOLS_PER_WORD, lines > MAX_DUP_LINES, F.col("n_repeat_words") / words > MAX_REPEAT_SHARE, ~(F.col("word_chars") / words).between(*WORD_LENGTH))
+    severe = (symbols > SEVERE_SYMBOLS_PER_WORD) | (lines > SEVERE_DUP_LINES)
     return measures.withColumns({"base_failed": base, "n_failed": sum((f.cast("int") for f in (base, *fails)), F.lit(0)), "severe": severe})
 
 
 def host_rates(judged_docs: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n_docs, n_bad, rate): rate is the share of documents that fail a rule, shrunk towards the prior of all hosts.
+    """(host, n_docs, n_bad, rate, bad_host): rate is the posterior mean of the share of documents that fail a rule.
 
-    Moments are weighted by documents. If hosts differ no more than chance makes them, the prior is all there is and each
-    host has the common rate.
+    Moments are weighted by documents. Only sums over hosts reach the driver.
     """
-    hosts = judged_docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("n_failed") > 0).alias("n_bad"))
-    hosts = written(hosts, "hosts")
-    all_ = hosts.agg(F.coalesce(F.sum("n_bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.count(F.lit(1)).alias("hosts")).first()
-    docs = max(all_.docs, 1)
-    mean = all_.bad / docs
+    hosts = written(judged_docs.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("n_failed") > 0).alias("n_bad")), "hosts")
+    sums = hosts.agg(F.coalesce(F.sum("n_bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"), F.count(F.lit(1)).alias("hosts")).first()
+    docs = max(sums.docs, 1)
+    mean = sums.bad / docs
     squares = hosts.agg(F.coalesce(F.sum(F.col("n_docs") * F.pow(F.col("n_bad") / F.col("n_docs") - mean, 2)), F.lit(0.0))).first()[0]
     noise = mean * (1 - mean)
-    between = (squares - noise * all_.hosts) / docs
-    strength = noise / between - 1 if 0 < between < noise else None
-    rate = F.lit(mean) if strength is None else (F.col("n_bad") + strength * mean) / (F.col("n_docs") + strength)
-    return hosts.select("host", "n_docs", "n_bad", rate.alias("rate"))
+    between = (squares - noise * sums.hosts) / docs
+    strength = min(MAX_STRENGTH, max(1.0, noise / between - 1)) if between > 0 else MAX_STRENGTH
+    rate = (F.col("n_bad") + F.lit(strength * mean)) / (F.col("n_docs") + F.lit(strength))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.lit(strength + 1)))
+    return hosts.withColumn("rate", rate).select("host", "n_docs", "n_bad", "rate", (F.col("rate") - mean >= TAIL_DEVIATIONS * spread).alias("bad_host"))
 
 
 def with_verdicts(judged_docs: DataFrame, rates: DataFrame, host: str = "source") -> DataFrame:
-    """judged_docs with host_rate and kept."""
-    rates = rates.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"))
-    out = judged_docs.drop("host_rate", "kept").join(rates, F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
-    bad_host = F.coalesce(F.col("host_rate") > HOST_LIMIT, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("severe") & ~((F.col("n_failed") > 0) & bad_host))
+    """judged_docs with host_rate, bad_host and kept."""
+    rates = rates.select(F.col("host").alias("__host"), F.col("rate").alias("host_rate"), "bad_host")
+    out = judged_docs.drop("host_rate", "bad_host", "kept").join(rates, F.col(host).eqNullSafe(F.col("__host")), "left").drop("__host")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("severe") & ~((F.col("n_failed") > 0) & F.col("bad_host")))
 
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents kept, with their own columns. Two passes: rates by host, then verdicts; no text is shuffled."""
-    slim = docs.select(F.col(host).alias("__h"), F.col(text).alias("__t"))
-    rates = written(host_rates(judged(measured(slim, "__t")).drop("__t"), "__h"), "host-rates")
-    names = docs.columns
-    renamed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(text).alias("__t"), F.col(host).alias("__h"))
-    verdicts = with_verdicts(judged(measured(renamed, "__t")), rates, "__h")
-    return verdicts.where("kept").select("__row.*")
+    """The documents kept, with all their own columns. Texts are measured once and never shuffled."""
+    inside, back = shielded(docs, ADDED - {text, host})
+    table = written(judged(measured(inside, text)), "measured")
+    return with_verdicts(table, host_rates(table, host), host).where("kept").drop(*(ADDED - {text, host})).withColumnsRenamed(back).select(docs.columns)
