@@ -1,8 +1,9 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. A text's blocks are its runs of
-BLOCK words, each BLOCK // 2 words behind the one before, so any passage of up to BLOCK // 2 words lies inside a block.
-The join finds every block that holds at least CONTAINMENT of a template's distinct words:
+Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. Templates are whole license
+texts and notices from a file. A template of n words is looked for in blocks of a power of two of words, BLOCK at least and
+2 n at least, each half a block behind the one before, so any passage of n words lies inside a block. The join finds every
+block that holds at least CONTAINMENT of a template's distinct words:
 
 - a first pass counts in how many documents of the corpus each template word stands; words are ordered by that, rarest
   first (only template words matter, so the order has as many entries as the templates have words);
@@ -17,7 +18,9 @@ result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,25 +31,33 @@ from pyspark.sql import types as T
 from starloom.llm.common import hashed_words, pieces
 
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc0", "dedicated to the public domain under the creative commons cc0 1 0 universal public domain dedication"),
-)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+TEMPLATES_FILE = Path(__file__).with_name("license_templates.txt")
 BLOCK, CONTAINMENT = 64, 0.9
 
+
+def templates_of(file: Path = TEMPLATES_FILE) -> tuple[tuple[str, str], ...]:
+    """(label, words) of each text in a template file: words as in documents, joined by one space."""
+    out: list[tuple[str, str]] = []
+    for line in file.read_text("utf-8").splitlines():
+        if line.startswith("["):
+            out.append((line.strip("[]"), ""))
+        elif line and not line.startswith("#"):
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(b) for b in line.encode("latin-1").translate(_LOWER)))
+            out[-1] = (out[-1][0], " ".join([*out[-1][1].split(), *words]))
+    return tuple(out)
+
+
+def block_of(words: str, least: int = BLOCK) -> int:
+    """The size of the blocks in which a template is looked for: the power of two that is at least twice its words."""
+    return max(least, 1 << (2 * len(words.split()) - 1).bit_length())
+
+
 _GAP = np.ones(256, bool)
 _GAP[0x30:0x3A] = _GAP[0x61:0x7B] = _GAP[0x80:] = False
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+TEMPLATES = templates_of()
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +133,22 @@ class Templates:
         return out
 
 
+def _matching_blocks(ranks: np.ndarray, first: np.ndarray, known: Templates, size: int) -> Iterator[tuple[int, dict]]:
+    """(document, block) for each block of this size that holds enough of a template. ranks: of all words; first: of each document."""
+    rare = np.zeros(len(known.order) + 1, bool)
+    rare[list(known.index)] = True
+    hit = np.flatnonzero(rare[ranks])
+    doc = np.searchsorted(first, hit, side="right") - 1
+    half = size // 2
+    at = (hit - first[doc]) // half
+    wanted = np.unique(np.stack([np.concatenate([doc, doc[at > 0]]), np.concatenate([at, at[at > 0] - 1])]), axis=1)
+    for d, b in wanted.T.tolist():
+        start = int(first[d]) + b * half
+        inside = set(ranks[start : min(start + size, int(first[d + 1]))].tolist()) - {-1}
+        for t, c in sorted(known.contained(inside).items()):
+            yield d, {"start": b * half, "label": known.labels[t], "containment": c}
+
+
 def scan_licenses(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, block: int = BLOCK, containment: float = CONTAINMENT) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score, and blocks: array of (start, label, containment)."""
     result = T.StructType([
@@ -131,17 +158,14 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
     ])
     docs = docs.drop(*(set(result.names) - {text}))
     vocabulary = sorted({w for _, words in templates for w in words.split()})
-    longest = max((len(words.split()) for _, words in templates), default=0)
-    if longest > block // 2:
-        raise ValueError(f"a template has {longest} words; blocks of {block} hold any passage of {block // 2}")
-    known = Templates(templates, document_frequencies(docs, vocabulary, text), containment)
-    rare = np.zeros(len(known.order) + 1, bool)
-    rare[list(known.index)] = True
+    frequency = document_frequencies(docs, vocabulary, text)
+    by_size = {size: Templates([t for t in templates if block_of(t[1], block) == size], frequency, containment) for size in sorted({block_of(words, block) for _, words in templates})}
+    order = sorted(frequency, key=lambda w: (frequency[w], w))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), arrow]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, number = _numbered(known.order)
+        keys, number = _numbered(order)
         wanted = [(label, _words([words.encode()])[0]) for label, words in phrases]
         for batch in batches:
             for part, texts in pieces(batch, text):
@@ -157,20 +181,15 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
                         if i + len(words) <= first[d + 1]:
                             places.setdefault(d, []).append((i - int(first[d]), label))
                 ranks = _numbers(hashes, keys, number)
-                hit = np.flatnonzero(rare[ranks])
-                near = set((np.searchsorted(first, hit, side="right") - 1).tolist())
+                blocks_of: dict[int, list[dict]] = {}
+                for size, known in by_size.items():
+                    for d, found in _matching_blocks(ranks, first, known, size):
+                        blocks_of.setdefault(d, []).append(found)
                 rows = []
                 for d in range(len(texts)):
                     n = int(first[d + 1] - first[d])
                     base = places.get(d, [])
-                    blocks = []
-                    if d in near:
-                        own = ranks[first[d] : first[d + 1]]
-                        mine = hit[np.searchsorted(hit, first[d]) : np.searchsorted(hit, first[d + 1])] - first[d]
-                        half = block // 2
-                        for b in sorted({x for i in (mine // half).tolist() for x in (i - 1, i) if x >= 0}):
-                            inside = set(own[b * half : b * half + block].tolist()) - {-1}
-                            blocks += [{"start": b * half, "label": known.labels[t], "containment": c} for t, c in sorted(known.contained(inside).items())]
+                    blocks = blocks_of.get(d, [])
                     starts = [i for i, _ in base]
                     labels = sorted({x for _, x in base})
                     score = 1.0 if base else max((b["containment"] for b in blocks), default=0.0)
