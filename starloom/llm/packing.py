@@ -12,6 +12,7 @@ own. Extra columns are not returned: the result has one row a piece. An empty ta
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -70,17 +71,42 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: What a tokenizer file must say for plain_tokens() to split as it does.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_plainly(tokenizer_file: str) -> bool:
+    """Whether the file is a byte-level BPE that normalises and splits as plain_tokens() does, with no added token but those with <|."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    same = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER
+    return same and model.get("type") == "BPE" and not model.get("dropout") and all("<|" in t["content"] for t in spec.get("added_tokens", ()))
+
+
 class WordTokens:
-    """Token ids of texts by a lower-casing byte-level BPE that never looks across white space.
+    """Token ids of texts.
 
-    Contractions and runs of letters, digits or signs are tokenised once and kept, CACHE_WORDS at most; then it starts afresh.
+    With a lower-casing byte-level BPE that never looks across white space, contractions and runs of letters, digits or signs
+    of plain texts are tokenised once and kept, CACHE_WORDS at most; then it starts afresh. With any other tokenizer file all
+    texts go through the library.
     """
 
     def __init__(self, tokenizer_file: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
+        self.plainly = splits_plainly(tokenizer_file)
         self.limit = cache_words
         self.alphabet = _byte_alphabet()
         self._forget()
@@ -104,7 +130,7 @@ class WordTokens:
         return n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [i for i, t in enumerate(texts) if "<|" not in t and _PLAIN.fullmatch(t)]
+        plain = [i for i, t in enumerate(texts) if self.plainly and "<|" not in t and _PLAIN.fullmatch(t)]
         odd = sorted(set(range(len(texts))).difference(plain))
         out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
         for i, got in zip(odd, self.tokenizer.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
