@@ -29,19 +29,25 @@ from pyspark.sql import types as T
 from starloom.llm.common import U, mix
 
 K, S = 24, 8
+RANGE_BYTES, MOST_RANGES = 32 << 20, 16_384
 OUT_BYTES = 8 << 20  # of fingerprints in a result batch, or one row
 _M = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0xD6E8FEB86659FD93)]
 
 
+def hashes_of_s_mers(chars: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of S = 8 code points."""
+    h1 = mix(chars.astype(np.uint64) + _M[0])
+    h2 = h1[:-1] * _M[1] + h1[1:]
+    h4 = h2[:-2] * _M[2] + h2[2:]
+    return mix(h4[:-4] * _M[3] + h4[4:])
+
+
 def closed_syncmers(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of the closed syncmers (K, S) of a text given as code points."""
     n = len(chars) - K + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h1 = mix(chars.astype(np.uint64) + _M[0])
-    h2 = h1[:-1] * _M[1] + h1[1:]
-    h4 = h2[:-2] * _M[2] + h2[2:]
-    h8 = mix(h4[:-4] * _M[3] + h4[4:])
+    h8 = hashes_of_s_mers(chars)
     h16 = h8[:-8] * _M[4] + h8[8:]
     low = h8
     for step in (1, 2, 4, 8):
@@ -143,17 +149,37 @@ def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def next_to_each_other(docs: DataFrame, text: str, key: str, buckets: int) -> DataFrame:
+def range_cuts(docs: DataFrame, text: str, key: str, range_bytes: int, most: int = MOST_RANGES) -> list[int]:
+    """Ids that cut the documents into ranges of about range_bytes of text, most ranges at most."""
+    grid = docs.agg(F.percentile_approx(F.col(key).cast("long"), [i / most for i in range(1, most)], 10 * most).alias("ids"), F.coalesce(F.sum(F.octet_length(F.col(text)).cast("long")), F.lit(0)).alias("bytes")).first()
+    ranges = max(1, min(most, -(-grid.bytes // range_bytes)))
+    return sorted({grid.ids[i * most // ranges - 1] for i in range(1, ranges)}) if grid.ids else []
+
+
+def _range_of(key: Column, cuts: list[int]) -> Column:
+    """How many cuts are larger than the key, by bisection."""
+    if not cuts:
+        return F.lit(0)
+    table, start = F.array(*map(F.lit, cuts)).cast("array<bigint>"), F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        larger = F.get(table, middle) > key
+        return F.when(at["low"] >= at["high"], at).otherwise(F.struct(F.when(larger, at["low"]).otherwise(middle + 1).alias("low"), F.when(larger, middle).otherwise(at["high"]).alias("high")))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda at: F.lit(len(cuts)) - at["low"])
+
+
+def next_to_each_other(docs: DataFrame, text: str, key: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text, bucket, extra), sorted in each partition so that a document is followed by the one of next smaller id.
 
-    Ids are cut into ranges by quantiles, so texts are shuffled once and never sorted as a whole. The first document of a
-    range is also sent, as extra, to the range above it, where it follows the last; the largest id follows the smallest.
+    Ids are cut into ranges of about range_bytes of text, each a partition of its own, so texts are shuffled once and never
+    sorted as a whole. The first document of a range is also sent, as extra, to the range above it, where it follows the
+    last; the largest id follows the smallest.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = slim.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
-    cuts = sorted(set(cuts))
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c > F.col("doc_id")))
-    placed = slim.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(above).cast("int"))
+    cuts = range_cuts(slim, "text", "doc_id", range_bytes)
+    placed = slim.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_range_of(F.col("doc_id"), cuts)).cast("int"))
     heads = sorted((r.bucket, r.head) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # a row a range
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
     wanted = F.col("doc_id").isin([h for h in before if h is not None])
@@ -161,7 +187,7 @@ def next_to_each_other(docs: DataFrame, text: str, key: str, buckets: int) -> Da
         wanted = wanted | F.col("doc_id").isNull()
     extra = slim.where(wanted).select("doc_id", "text", _lookup(before).alias("bucket"), F.lit(1).alias("extra"))
     both = placed.withColumn("extra", F.lit(0)).unionByName(extra)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
+    return both.repartitionById(len(cuts) + 2, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def _lookup(before: dict[int | None, int]) -> Column:
@@ -170,14 +196,13 @@ def _lookup(before: dict[int | None, int]) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(before.get(None))).otherwise(of_id).cast("int")
 
 
-def compared_to_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def compared_to_next(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each document.
 
     The next document has the next smaller id (after the smallest comes the largest; a null id is smaller than any; among
     equal ids the order is that of the texts).
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = next_to_each_other(docs, text, key, buckets)
+    rows = next_to_each_other(docs, text, key, range_bytes)
 
     def rows_of(out: list[tuple]) -> pa.RecordBatch:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
