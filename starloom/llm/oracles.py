@@ -19,16 +19,16 @@ def _rules(rows: tuple[tuple[str, str], ...]) -> str:
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
 _NEAR = f"""w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
- s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE ['(none)'] END) AS g FROM w)),
- n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ s AS (SELECT doc_id, g, count(*) AS c FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE ['(none)'] END) AS g FROM w) GROUP BY doc_id, g),
+ n AS (SELECT doc_id, sum(c) AS n FROM s GROUP BY doc_id),
  links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
- GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING count(*) / (na.n + nb.n - count(*)) >= {near_dedup.SIMILARITY}),
+ GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING sum(least(a.c, b.c)) / (na.n + nb.n - sum(least(a.c, b.c))) >= {near_dedup.SIMILARITY}),
  reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
  classes AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a)"""
 
 _LICENSE_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PHRASES = "phrases(label, p) AS (VALUES " + ", ".join(f"('{label}', {_LIST(p.split())})" for label, p in licenses.PHRASES) + ")"
-_TEMPLATES = "templates(label, t) AS (VALUES " + ", ".join(f"('{label}', list_distinct({_LIST(t.split())}))" for label, t in licenses.TEMPLATES) + ")"
+_TEMPLATES = "templates(label, t, size) AS (VALUES " + ", ".join(f"('{label}', list_distinct({_LIST(t.split())}), {licenses.block_of(t)})" for label, t in licenses.TEMPLATES) + ")"
 
 
 def _one_of(words: str) -> list[str]:
@@ -52,7 +52,7 @@ ORACLES: dict[str, str] = {
         gone AS (SELECT doc_id, list(j) AS js FROM cov GROUP BY doc_id), words AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS j FROM w),
         kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM words LEFT JOIN cov USING (doc_id, j) WHERE cov.doc_id IS NULL GROUP BY doc_id)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(len(js), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
-    "op5_hash_threshold_mix": f"""WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    "op5_hash_threshold_mix": f"""WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source), r AS (SELECT *, {list(mixing.WEIGHTS)}[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1]::DOUBLE AS w, source_size * {float(mixing.CAP)}::DOUBLE AS cap FROM s),
         l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level FROM r WINDOW b AS (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         lv AS (SELECT arg_min(level, (cap / w, source)) AS level FROM l WHERE level * w <= cap),
@@ -70,15 +70,16 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY doc_id),
         ln AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
         m AS (SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
-        FROM w LEFT JOIN r USING (doc_id) LEFT JOIN ln USING (doc_id)), j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS sy, n_dup_lines / greatest(n_lines, 1) AS dl, word_chars / greatest(n_words, 1) AS wl FROM m),
-        k AS (SELECT *, base_failed OR sy > {quality.MAX_SYMBOLS_PER_WORD}::DOUBLE OR dl > {quality.MAX_DUP_LINES}::DOUBLE OR wl NOT BETWEEN {quality.WORD_LENGTH[0]} AND {quality.WORD_LENGTH[1]} AS bad, sy > {quality.SEVERE * quality.MAX_SYMBOLS_PER_WORD}::DOUBLE OR dl > {quality.SEVERE * quality.MAX_DUP_LINES}::DOUBLE AS severe FROM j),
+        FROM w LEFT JOIN r USING (doc_id) LEFT JOIN ln USING (doc_id)), j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS sy, n_dup_lines / greatest(n_lines, 1) AS dl, n_repeat_words / greatest(n_words, 1) AS rp, word_chars / greatest(n_words, 1) AS wl FROM m),
+        k AS (SELECT *, base_failed OR sy > {quality.MAX_SYMBOLS_PER_WORD}::DOUBLE OR dl > {quality.MAX_DUP_LINES}::DOUBLE OR rp > {quality.MAX_REPEAT_SHARE}::DOUBLE OR wl NOT BETWEEN {quality.WORD_LENGTH[0]} AND {quality.WORD_LENGTH[1]} AS bad, sy > {quality.SEVERE_SYMBOLS_PER_WORD}::DOUBLE OR dl > {quality.SEVERE_DUP_LINES}::DOUBLE AS severe FROM j),
         h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE bad) AS b FROM k GROUP BY source), a AS (SELECT sum(b) / sum(n) AS mean, sum(n) AS docs, count(*) AS hosts FROM h), q AS (SELECT mean, mean * (1 - mean) AS noise, (sum(n * pow(b / n - mean, 2)) - mean * (1 - mean) * any_value(hosts)) / any_value(docs) AS between_ FROM h, a GROUP BY mean),
-        z AS (SELECT source, CASE WHEN between_ > 0 AND between_ < noise THEN (b + (noise / between_ - 1) * mean) / (n + noise / between_ - 1) ELSE mean END AS rate FROM h, q)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT severe AND NOT (bad AND rate > {quality.HOST_LIMIT}::DOUBLE) AS kept FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source""",
+        st AS (SELECT mean, CASE WHEN between_ > 0 THEN least({quality.MAX_STRENGTH}::DOUBLE, greatest(1.0::DOUBLE, noise / between_ - 1)) ELSE {quality.MAX_STRENGTH}::DOUBLE END AS s FROM q),
+        z AS (SELECT source, rate - mean >= {quality.TAIL_DEVIATIONS}::DOUBLE * sqrt(rate * (1 - rate) / (n + s + 1)) AS bad_host FROM (SELECT source, n, mean, s, (b + s * mean) / (n + s) AS rate FROM h, st))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT severe AND NOT (bad AND bad_host) AS kept, bad_host FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source""",
     "op8_license_blocks": f"""WITH {_PHRASES}, {_TEMPLATES}, w AS (SELECT doc_id, {_LICENSE_WORDS} AS ws FROM documents), pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
         b AS (SELECT doc_id, i - 1 AS i, label FROM pos JOIN phrases ON ws[i] = p[1] AND list_slice(ws, i, i + len(p) - 1) = p), base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
-        blocks AS (SELECT doc_id, list_slice(ws, k * {licenses.BLOCK // 2} + 1, k * {licenses.BLOCK // 2} + {licenses.BLOCK}) AS bw FROM (SELECT doc_id, ws, unnest(range(0, (len(ws) + {licenses.BLOCK // 2 - 1}) // {licenses.BLOCK // 2})) AS k FROM w WHERE list_has_any(ws, {_LIST(_NEEDED)}))),
-        c AS (SELECT doc_id, label, len(list_intersect(t, bw)) / len(t) AS c FROM blocks, templates WHERE len(list_intersect(t, bw)) >= ceil({licenses.CONTAINMENT}::DOUBLE * len(t) - 1e-9)),
+        blocks AS (SELECT doc_id, size, list_slice(ws, k * size // 2 + 1, k * size // 2 + size) AS bw FROM (SELECT doc_id, ws, size, unnest(range(0, (len(ws) + size // 2 - 1) // (size // 2))) AS k FROM w, (SELECT DISTINCT size FROM templates) WHERE list_has_any(ws, {_LIST(_NEEDED)}))),
+        c AS (SELECT doc_id, label, len(list_intersect(t, bw)) / len(t) AS c FROM blocks JOIN templates USING (size) WHERE len(bw) >= 1 AND list_has_any(t, bw) AND len(list_intersect(t, bw)) >= ceil({licenses.CONTAINMENT}::DOUBLE * len(t) - 1e-9)),
         every AS (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM c), labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id), score AS (SELECT doc_id, max(c) AS c FROM c GROUP BY doc_id)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0) END AS score
         FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN score USING (doc_id)""",

@@ -39,7 +39,8 @@ def op4_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    table = written(mixing.sized(docs).drop("text"), "mixing-sized")
+    return mixing.mix_sized(table).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def op7_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     judged = written(quality.judged(quality.measured(docs).drop("text")), "quality")
     verdicts = quality.with_verdicts(judged, quality.host_rates(judged))
-    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bad_host")
 
 
 def op8_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,11 +9,12 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from starloom.llm import line_dedup, mixing, packing, quality
 from starloom.llm.common import written
-from tests.llm.test_operators import brute_classes, brute_measures, near_copies, prose
+from tests.llm.test_operators import ODD, brute_classes, brute_measures, near_copies, prose
 
 
 def test_stages(spark, sf_dir):
@@ -37,18 +39,20 @@ def plain_quality(rows):
     judged = []
     for row in rows:
         words, chars, symbols, lines, twice, repeated = brute_measures(row[1])
-        sy, dl, wl = symbols / max(words, 1), twice / max(lines, 1), chars / max(words, 1)
+        sy, dl, wl, rp = symbols / max(words, 1), twice / max(lines, 1), chars / max(words, 1), repeated / max(words, 1)
         base = words < quality.MIN_WORDS or 100 * repeated > quality.MAX_REPEAT_PERCENT * words
-        bad = base or sy > quality.MAX_SYMBOLS_PER_WORD or dl > quality.MAX_DUP_LINES or not quality.WORD_LENGTH[0] <= wl <= quality.WORD_LENGTH[1]
-        severe = sy > quality.SEVERE * quality.MAX_SYMBOLS_PER_WORD or dl > quality.SEVERE * quality.MAX_DUP_LINES
+        bad = base or sy > quality.MAX_SYMBOLS_PER_WORD or dl > quality.MAX_DUP_LINES or rp > quality.MAX_REPEAT_SHARE or not quality.WORD_LENGTH[0] <= wl <= quality.WORD_LENGTH[1]
+        severe = sy > quality.SEVERE_SYMBOLS_PER_WORD or dl > quality.SEVERE_DUP_LINES
         judged.append((row, base or severe, bad))
     n, b = Counter(r[2] for r, _, _ in judged), Counter(r[2] for r, _, bad in judged if bad)
     mean = b.total() / n.total()
     noise = mean * (1 - mean)
     between = (sum(n[h] * (b[h] / n[h] - mean) ** 2 for h in n) - noise * len(n)) / n.total()
-    strength = noise / between - 1 if 0 < between < noise else None
-    rate = {h: mean if strength is None else (b[h] + strength * mean) / (n[h] + strength) for h in n}
-    return [r for r, gone, bad in judged if not gone and not (bad and rate[r[2]] > quality.HOST_LIMIT)]
+    strength = min(quality.MAX_STRENGTH, max(1.0, noise / between - 1)) if between > 0 else quality.MAX_STRENGTH
+    rate = {h: (b[h] + strength * mean) / (n[h] + strength) for h in n}
+    bad_hosts = {h for h in n if rate[h] - mean >= 0.8416 * math.sqrt(rate[h] * (1 - rate[h]) / (n[h] + strength + 1))}
+    assert bad_hosts and any(bad and not gone and r[2] in bad_hosts for r, gone, bad in judged)  # hosts decide on some
+    return [r for r, gone, bad in judged if not gone and not (bad and r[2] in bad_hosts)]
 
 
 def plain_lines(rows):
@@ -72,7 +76,7 @@ def plain_near(rows):
 def plain_mix(rows):
     by = defaultdict(list)
     for r in rows:
-        by[r[2]].append((int(hashlib.md5(str(r[0]).encode()).hexdigest()[:15], 16), len(r[1].encode().split()), r))
+        by[r[2]].append((int(hashlib.md5(f"{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()[:15], 16), len(r[1].encode().split()), r))
     size = {s: sum(n for _, n, _ in by[s]) for s in sorted(by)}
     weight = {s: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, s in enumerate(size)}
     capped = set()
@@ -159,3 +163,42 @@ def test_stages_equal_plain_python(spark, small):
         docs, rows = written(stage(spark, docs, small), name.replace(" ", "-")), plain(rows)
         assert Counter((r.doc_id, r.text, r.source) for r in docs.collect()) == Counter(map(tuple, rows)), name
         assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+
+# each stage on odd, empty and clashing tables
+
+CLASHING = sorted(mixing.ADDED | quality.ADDED | {"n_lines", "n_dropped", "__row1", "__once", "__copy", "bucket", "class_id", "keep"} - {"n_words"})
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long")
+    return docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for n in CLASHING}).repartition(3)
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_clashing_columns(spark, clashing, stage):
+    name, function = corpus_pipeline.STAGES[stage]
+    before = clashing if stage < 3 else clashing.where("text is not null")
+    got = function(spark, before, "").collect()
+    assert got and list(got[0].asDict()) == before.columns
+    for r in got:
+        assert all(r[n] == f"{n} of {'none' if r.doc_id is None else r.doc_id}" for n in CLASHING)
+    if name == "line dedup":
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t or "") for i, t, *_ in ODD)
+    if name == "quality rules":
+        assert {r.doc_id for r in got} <= {5, 6, 7, None} and {r.doc_id for r in got} >= {6}
+    if name == "near-duplicates":
+        assert len(got) == len(brute_classes([(i, t) for i, t, *_ in ODD]))
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_empty_tables_and_without_n_chars(spark, clashing, stage):
+    _, function = corpus_pipeline.STAGES[stage]
+    assert function(spark, clashing.limit(0), "").count() == 0
+    assert function(spark, clashing.drop("n_chars"), "").count() > 0
+
+
+def test_packing_of_odd_rows(spark, clashing):
+    got = corpus_pipeline.STAGES[4][1](spark, clashing, "").collect()
+    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(i for i, *_ in ODD)
