@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from starloom.plans import archives, astro, feeds, jobs, mosaic, raster, rollups, scalars, streams, texts
+from starloom.plans import archives, astro, contracts, feeds, jobs, lookups, mosaic, raster, rollups, scalars, streams, texts
 
-_MODULES = (rollups, feeds, mosaic, jobs, texts, astro, raster, archives, scalars, streams)
+_MODULES = (rollups, feeds, mosaic, jobs, texts, astro, raster, archives, scalars, streams, contracts, lookups)
 
 QUERIES = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

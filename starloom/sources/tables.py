@@ -138,3 +138,45 @@ JOBS = """jobs AS (SELECT o_orderkey AS job_id, o_custkey % 200 AS object_id, o_
  CASE WHEN o_orderstatus = 'F' THEN 'published' WHEN o_orderkey % 4 = 0 THEN 'failed' WHEN o_orderkey % 4 = 1 THEN 'uploaded' WHEN o_orderkey % 4 = 2 THEN 'solving' ELSE 'approved' END AS status,
  o_orderdate AS available_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 1 HOUR END AS lease_until,
  CAST(o_orderkey % 6 AS INT) AS attempts, 5 AS max_attempts, CAST(o_orderkey % 9 AS INT) AS version FROM orders)"""
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads with their metadata, among them ones that break every rule."""
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda n, *xs: F.get(F.array(*(F.lit(x) for x in xs)), (k % n).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        k.alias("upload_id"),
+        F.when(k % 9 != 0, u).alias("user_id"),
+        F.when((k % 9 == 0) | (k % 31 == 0), "public_archive").otherwise("community").alias("source_kind"),
+        F.when(k % 9 == 0, k * 7).alias("archive_item_id"),
+        F.concat(F.lit("frame é"), k.cast("string"), pick(6, ".fits", ".FITS", ".cr2", ".jpg", ".txt", "")).alias("filename"),
+        F.when(k % 13 == 0, 0).when(k % 17 == 0, 6000000000).otherwise(k * 1000).alias("size_bytes"),
+        F.concat(F.lit("M"), (u % 110).cast("string")).alias("object_id"),
+        pick(5, "light", "light", "dark", "flat", "video").alias("kind"),
+        pick(4, "CC-BY-4.0", "CC0-1.0", "CC-BY-SA-4.0", None).alias("licence"),
+        F.when(k % 7 != 0, (k % 1200).cast("double")).alias("focal_length_mm"),
+        (k % 120).cast("double").alias("pixel_size_um"),
+        (k % 1000).cast("double").alias("exposure_s"),
+        (k % 2000 - 10).cast("int").alias("gain"),
+        (k % 600 - 300).cast("double").alias("temperature_c"),
+        (k % 11).cast("int").alias("binning"),
+        (k % 200 - 100).cast("double").alias("latitude"),
+        F.when(k % 6 != 0, (k % 400 - 200).cast("double")).alias("longitude"),
+        F.col("o_orderdate").alias("captured_at"),
+        F.when(k % 10 == 3, F.col("o_orderdate")).alias("deleted_at"),
+        F.sha2(F.floor(k / 3).cast("string"), 256).alias("content_sha256"),
+        F.concat(F.lit("group "), (k % 3).cast("string")).alias("instrument_group"),
+        (k % 101).cast("int").alias("quality"),
+        pick(5, "approved", "published", "stacked", "failed", "uploaded").alias("status"),
+        (k % 8 == 0).alias("rejected"),
+        F.concat(F.lit("v"), (k % 2).cast("string")).alias("pipeline_version"),
+    )
+
+
+UPLOADS = """uploads AS (SELECT o_orderkey AS upload_id, CASE WHEN o_orderkey % 9 <> 0 THEN o_custkey END AS user_id, CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 31 = 0 THEN 'public_archive' ELSE 'community' END AS source_kind,
+ CASE WHEN o_orderkey % 9 = 0 THEN o_orderkey * 7 END AS archive_item_id, 'frame é' || o_orderkey || (['.fits', '.FITS', '.cr2', '.jpg', '.txt', ''])[o_orderkey % 6 + 1] AS filename,
+ CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 17 = 0 THEN 6000000000 ELSE o_orderkey * 1000 END AS size_bytes, 'M' || o_custkey % 110 AS object_id, (['light', 'light', 'dark', 'flat', 'video'])[o_orderkey % 5 + 1] AS kind,
+ (['CC-BY-4.0', 'CC0-1.0', 'CC-BY-SA-4.0', NULL])[o_orderkey % 4 + 1] AS licence, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 1200 AS DOUBLE) END AS focal_length_mm, CAST(o_orderkey % 120 AS DOUBLE) AS pixel_size_um,
+ CAST(o_orderkey % 1000 AS DOUBLE) AS exposure_s, CAST(o_orderkey % 2000 - 10 AS INT) AS gain, CAST(o_orderkey % 600 - 300 AS DOUBLE) AS temperature_c, CAST(o_orderkey % 11 AS INT) AS binning, CAST(o_orderkey % 200 - 100 AS DOUBLE) AS latitude,
+ CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 400 - 200 AS DOUBLE) END AS longitude, o_orderdate AS captured_at, CASE WHEN o_orderkey % 10 = 3 THEN o_orderdate END AS deleted_at, sha256(CAST(o_orderkey // 3 AS VARCHAR)) AS content_sha256,
+ 'group ' || o_orderkey % 3 AS instrument_group, CAST(o_orderkey % 101 AS INT) AS quality, (['approved', 'published', 'stacked', 'failed', 'uploaded'])[o_orderkey % 5 + 1] AS status, o_orderkey % 8 = 0 AS rejected, 'v' || o_orderkey % 2 AS pipeline_version FROM orders)"""
