@@ -14,6 +14,12 @@ def half_up(x: Column, digits: int = 0) -> Column:
     return F.floor(x * scale + 0.5) / scale
 
 
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounds halves to the even neighbour."""
+    scale = 10.0**digits
+    return F.rint(x * scale) / scale
+
+
 def steady(x: Column, digits: int) -> Column:
     """Cut to so many digits at a place that short decimal fractions never meet, so that the last bit of x can't decide."""
     scale = 10.0**digits

@@ -19,7 +19,7 @@ def metrics(s, d):
         (k % 100).cast("int").alias("matched_stars"),
         ((n % 40) / 20.0).alias("wcs_rms_px"),
         (0.6 + (k % 41) / 100.0).alias("usable_coverage"),
-        (1.0 + (n % 30) / 10.0).alias("fwhm_arcsec"),
+        F.when(k % 37 != 0, 1.0 + (n % 30) / 10.0).alias("fwhm_arcsec"),
         (0.5 + (k % 27) / 2.0).alias("pixel_scale_arcsec"),
         (0.5 + ((k + n) % 27) / 2.0).alias("native_pixel_scale_arcsec"),
         ((n % 80) / 100.0).alias("eccentricity"),
@@ -27,8 +27,8 @@ def metrics(s, d):
         ((n % 12) / 1000.0).alias("clipped_black_fraction"),
         (2.0 + k % 30).alias("signal_to_noise"),
         (k % 2 == 0).alias("metadata_complete"),
-        (n % 19 != 0).alias("licence_accepted"),
-        (k % 3 == 0).alias("trusted_astrometry"),
+        F.when(n % 23 != 0, n % 19 != 0).alias("licence_accepted"),
+        F.when(k % 7 != 0, k % 3 == 0).alias("trusted_astrometry"),
         (n % 5 == 0).alias("calibrated_science_product"),
         (k % 29 == 0).alias("has_major_tracking_error"),
         (n % 31 == 0).alias("has_dense_clouds"),
@@ -54,11 +54,11 @@ QUERIES = {
 }
 
 _METRICS = f"""{S.FRAMES}, kn AS (SELECT frame_id, run_id + object_id AS k, user_id + line AS n FROM frames),
- m AS (SELECT frame_id, k % 100 AS stars, (n % 40) / 20.0::DOUBLE AS rms, 0.6::DOUBLE + (k % 41) / 100.0::DOUBLE AS cov, 1.0::DOUBLE + (n % 30) / 10.0::DOUBLE AS fwhm, 0.5::DOUBLE + (k % 27) / 2.0::DOUBLE AS scale,
- 0.5::DOUBLE + ((k + n) % 27) / 2.0::DOUBLE AS native, (n % 80) / 100.0::DOUBLE AS ecc, (k % 25) / 1000.0::DOUBLE AS sat, (n % 12) / 1000.0::DOUBLE AS clip, 2.0::DOUBLE + k % 30 AS snr, k % 2 = 0 AS meta, n % 19 <> 0 AS lic,
- k % 3 = 0 AS trusted, n % 5 = 0 AS product, k % 29 = 0 AS tracking, n % 31 = 0 AS clouds FROM kn)"""
+ m AS (SELECT frame_id, k % 100 AS stars, (n % 40) / 20.0::DOUBLE AS rms, 0.6::DOUBLE + (k % 41) / 100.0::DOUBLE AS cov, CASE WHEN k % 37 <> 0 THEN 1.0::DOUBLE + (n % 30) / 10.0::DOUBLE END AS fwhm, 0.5::DOUBLE + (k % 27) / 2.0::DOUBLE AS scale,
+ 0.5::DOUBLE + ((k + n) % 27) / 2.0::DOUBLE AS native, (n % 80) / 100.0::DOUBLE AS ecc, (k % 25) / 1000.0::DOUBLE AS sat, (n % 12) / 1000.0::DOUBLE AS clip, 2.0::DOUBLE + k % 30 AS snr, k % 2 = 0 AS meta, coalesce(CASE WHEN n % 23 <> 0 THEN n % 19 <> 0 END, false) AS lic,
+ coalesce(CASE WHEN k % 7 <> 0 THEN k % 3 = 0 END, false) AS trusted, n % 5 = 0 AS product, k % 29 = 0 AS tracking, n % 31 = 0 AS clouds FROM kn)"""
 _CL = lambda x: f"least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE)"
-_R2 = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
+_R2 = lambda x: f"round_even(coalesce({x}, 0) * 100, 0) / 100"
 _NORMAL = lambda x: f"trim(regexp_replace(lower(translate({x}, '{X.MARKED}', '{X.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))"
 
 ORACLES = {
@@ -70,7 +70,7 @@ ORACLES = {
         CASE WHEN scale < native * 0.75::DOUBLE THEN 'artificial-upscale' END, CASE WHEN NOT lic THEN 'missing-licence' END, CASE WHEN resolution_class IS NULL THEN 'unsupported-resolution' END) AS blockers,
         {_R2(f"CASE WHEN trusted THEN 25.0::DOUBLE ELSE {_CL('(stars - 20) / 60')} * 10 + {_CL('(1.5::DOUBLE - rms) / 1.5::DOUBLE')} * 15 END")} + {_R2(f"{_CL('(2.5::DOUBLE - fwhm / scale) / 2')} * 14 + {_CL('(0.65::DOUBLE - ecc) / 0.45::DOUBLE')} * 11")}
         + {_R2(f"{_CL('(snr - 5) / 20')} * 20")} + {_R2(f"{_CL('(0.02::DOUBLE - sat) / 0.02::DOUBLE')} * 8 + {_CL('(0.01::DOUBLE - clip) / 0.01::DOUBLE')} * 7")} + {_R2(f"{_CL('(cov - 0.7::DOUBLE) / 0.3::DOUBLE')} * 10")} + CASE WHEN meta THEN 5 ELSE 2 END AS parts FROM r),
-        s AS (SELECT *, CAST(floor(floor(parts * 10000 + 0.5) / 10000 + 0.5) AS INT) AS score FROM b) SELECT frame_id, resolution_class, blockers, score, score >= 70 AND blockers = '' AS eligible FROM s""",
+        s AS (SELECT *, CAST(round_even(floor(parts * 10000 + 0.5) / 10000, 0) AS INT) AS score FROM b) SELECT frame_id, resolution_class, blockers, score, score >= 70 AND blockers = '' AS eligible FROM s""",
     "f01_normalise": f"SELECT doc_id, sha256({_NORMAL('text')}) AS sha256, length({_NORMAL('text')}) AS n_chars FROM documents",
     "f03_relevance": f"""WITH h AS (SELECT doc_id, {_NORMAL("text")} AS hay FROM documents) SELECT doc_id, NOT ({" OR ".join(f"contains(hay, '{t}')" for t in X.BLOCKED)})
         AND (contains(' ' || hay || ' ', ' the in ') OR contains(replace(hay, ' ', ''), 'ngc12') OR contains(' ' || hay || ' ', ' que ') OR contains(' ' || hay || ' ', ' der ')) AS relevant FROM h""",
