@@ -93,3 +93,43 @@ def parsed_path(path: Column) -> Column:
 def order_for_width(width: Column) -> Column:
     """Grid order for a view this many degrees wide; null where it is too wide."""
     return F.when(width <= 7.5, 9).when(width <= 15, 8).when(width <= 30, 7).when(width <= 60, 6)
+
+
+def widest_radius(order: int) -> float:
+    """The largest distance (degrees) between a cell's centre and its corners at an order."""
+    ns = 1 << order
+    t = 1 - 1 / ns
+    z1, phi1, z2 = 2 / 3, math.pi / (4 * ns), 1 - t * t / 3
+    cosine = math.sqrt((1 - z1 * z1) * (1 - z2 * z2)) * math.cos(phi1) + z1 * z2
+    return math.degrees(math.acos(cosine))
+
+
+def _deinterleaved(index: Column, order: int) -> tuple[Column, Column]:
+    inside = index.bitwiseAND(F.lit((1 << order) ** 2 - 1))
+    ix = iy = F.lit(0).cast("bigint")
+    for b in range(order):
+        ix = ix + F.shiftleft(F.shiftright(inside, 2 * b).bitwiseAND(F.lit(1)), b)
+        iy = iy + F.shiftleft(F.shiftright(inside, 2 * b + 1).bitwiseAND(F.lit(1)), b)
+    return ix, iy
+
+
+def with_corners(df: DataFrame, index: str, order: int) -> DataFrame:
+    """df with corners: array of struct(ra, dec), north, west, south and east corner of the cell in turn."""
+    ns = float(1 << order)
+    ix, iy = _deinterleaved(F.col(index), order)
+    df = df.withColumns({"_face": F.shiftright(F.col(index), 2 * order).cast("int"), "_ix": ix, "_iy": iy})
+    ring = F.element_at(F.array(*map(F.lit, RING_OF_FACE)), F.col("_face") + 1)
+    turn = F.element_at(F.array(*map(F.lit, LONGITUDE_OF_FACE)), F.col("_face") + 1)
+    rows = F.array(*(F.struct(((F.col("_ix") + dx) / ns).alias("x"), ((F.col("_iy") + dy) / ns).alias("y")) for dx, dy in ((1, 1), (0, 1), (0, 0), (1, 0))))
+    df = df.withColumns({"_ring": ring, "_turn": turn, "_at": rows})
+
+    def corner(at: Column) -> Column:
+        r = F.col("_ring") - at["x"] - at["y"]
+        nr = F.when(r < 1, r).when(r > 3, 4 - r).otherwise(1.0)
+        z = F.when(r < 1, 1 - nr * nr / 3).when(r > 3, nr * nr / 3 - 1).otherwise((2 - r) * 2 / 3)
+        t = F.col("_turn") * nr + at["x"] - at["y"]
+        t = F.when(t < 0, t + 8).when(t >= 8, t - 8).otherwise(t)
+        ra = F.when(nr < 1e-15, 0.0).otherwise(t * 45 / nr)
+        return F.struct(ra.alias("ra"), F.degrees(F.asin(z)).alias("dec"))
+
+    return df.withColumn("corners", F.transform("_at", corner)).drop("_face", "_ix", "_iy", "_ring", "_turn", "_at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starloom.functions import healpix as H
+from starloom.functions.maths import steady
 from starloom.operators import mosaic as M
 from starloom.sources import tables as S
 
@@ -27,7 +28,7 @@ def _damaged(s, d):
 
 def h02_cell_centres(s, d):
     cells = H.with_centre(M.object_cells(S.objects(s, d), (8,)), "cell8", 8)
-    return cells.select("object_id", "cell8", *((F.floor(F.col(c) * 1e8 + 0.5) / 1e8).alias(c) for c in ("centre_ra", "centre_dec")))
+    return cells.select("object_id", "cell8", *(steady(F.col(c), 8).alias(c) for c in ("centre_ra", "centre_dec")))
 
 
 def h05_ancestors(s, d):
