@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.functions import healpix as H
-from starloom.operators.rollups import eligible
+from starloom.operators.rollups import eligible, streamed_sha256
 
 #: Points for the first claim of a cell, by order.
 POINTS = {6: 2, 7: 5, 8: 10, 9: 20}
@@ -53,8 +53,10 @@ def orphans(cells: DataFrame, lowest: int, highest: int) -> DataFrame:
 
 
 def symmetric_difference(planned: DataFrame, actual: DataFrame, columns: list[str]) -> DataFrame:
-    a, b = planned.select(columns), actual.select(columns)
-    return a.subtract(b).withColumn("side", F.lit("missing")).unionByName(b.subtract(a).withColumn("side", F.lit("unexpected")))
+    """Rows that only one of the tables has, with the side that lacks them: one grouping over both."""
+    both = planned.select(*columns, F.lit(1).alias("_in")).unionByName(actual.select(*columns, F.lit(2).alias("_in")))
+    sides = both.groupBy(columns).agg(F.min("_in").alias("low"), F.max("_in").alias("high")).where("low = high")
+    return sides.select(*columns, F.when(F.col("low") == 1, "missing").otherwise("unexpected").alias("side"))
 
 
 def claims(cells: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def violations(planned: DataFrame, actual: DataFrame, lowest: int, highest: int)
 
 
 def plan_hash(cells: DataFrame) -> DataFrame:
-    """SHA-256 of the plan as JSON rows sorted by order and index."""
-    rows = F.array_sort(F.collect_list(F.struct("order", "index")))
-    body = F.array_join(F.transform(rows, lambda r: F.concat(F.lit('{"index": '), r["index"].cast("string"), F.lit(', "order": '), r["order"].cast("string"), F.lit("}"))), ", ")
-    return cells.groupBy((F.col("index") % 7).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256).alias("sha256"))
+    """SHA-256 of the plan as JSON rows sorted by order and index, in seven parts."""
+    row = F.concat(F.lit('{"index": '), F.col("index").cast("string"), F.lit(', "order": '), F.col("order").cast("string"), F.lit("}"))
+    rows = cells.withColumns({"part": F.col("index") % 7, "row": row})
+    return streamed_sha256(rows, ["part"], "row", ["order", "index"], "[", ", ", "]")

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from starloom.functions.maths import half_up
 
@@ -68,10 +76,48 @@ def ordered_frames(frames: DataFrame) -> DataFrame:
     return frames.where(eligible()).groupBy("object_id").agg(ids("light").alias("lights"), ids("dark").alias("darks"))
 
 
+def streamed_sha256(rows: DataFrame, keys: list[str], item: str, order: list[str], head: str = "", between: str = "", tail: str = "") -> DataFrame:
+    """keys, n and the SHA-256 over each key's items in order, joined as head + items between + tail.
+
+    Rows are dealt by key and sorted; each task feeds its items to the hash one after the other as they stream by, so a key
+    of any size takes no memory and is never gathered in one value.
+    """
+    slim = rows.select(*keys, *(F.col(c).alias(f"__o{i}") for i, c in enumerate(order)), F.col(item).cast("string").alias("__item"))
+    dealt = slim.repartition(*keys).sortWithinPartitions(*keys, *(f"__o{i}" for i in range(len(order)))).select(*keys, "__item")
+    schema = T.StructType([*dealt.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("sha256", T.StringType())])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, hasher = None, 0, None
+        done: list[tuple] = []
+
+        def close() -> None:
+            if now is not None:
+                hasher.update(tail.encode())
+                done.append((*now, n, hasher.hexdigest()))
+
+        for batch in batches:
+            own = list(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True))
+            for key, group in groupby(zip(own, batch.column(batch.num_columns - 1).to_pylist(), strict=True), key=itemgetter(0)):
+                items = [x for _, x in group]
+                if key != now:
+                    close()
+                    now, n, hasher = key, 0, hashlib.sha256(head.encode())
+                hasher.update(((between if n else "") + between.join(items)).encode())
+                n += len(items)
+            if len(done) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types.types, strict=True)], schema=types)
+                done.clear()
+        close()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types.types, strict=True)], schema=types)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def inventory_hashes(frames: DataFrame) -> DataFrame:
     """SHA-256 over each object's sorted frame ids, one a line; the order of rows doesn't matter."""
-    ids = F.array_sort(F.collect_list("frame_id"))
-    return frames.where(eligible()).groupBy("object_id").agg(F.count(F.lit(1)).alias("n_frames"), F.sha2(F.array_join(ids, "\n"), 256).alias("sha256"))
+    return streamed_sha256(frames.where(eligible()), ["object_id"], "frame_id", ["frame_id"], between="\n").withColumnRenamed("n", "n_frames")
 
 
 def status_map(frames: DataFrame) -> DataFrame:

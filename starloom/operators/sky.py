@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import astro as A
 from starloom.functions.geo import separation_deg
-from starloom.functions.maths import half_up
+from starloom.functions.maths import asind, cosd, half_up, sind
 
 HORIZON = -0.583
 STEP_MINUTES = 5
@@ -63,8 +63,8 @@ def highlights(objects: DataFrame, moment: dt.datetime, latitude: float, longitu
 def rise_and_set(objects: DataFrame, day: dt.date, latitude: float, longitude: float, horizon: float = HORIZON) -> DataFrame:
     """Minutes after midnight UT of rising, setting and transit, and the extremes of altitude, for fixed positions.
 
-    Altitudes are taken every STEP_MINUTES; each row holds its own and the one before, so first crossings are plain
-    aggregates. Twelve bisections refine them.
+    Altitudes are taken every STEP_MINUTES, all in the object's own row, so nothing is shuffled; the first crossing of each
+    kind is refined by twelve bisections.
     """
     start = day_of(dt.datetime(day.year, day.month, day.day))
 
@@ -72,15 +72,18 @@ def rise_and_set(objects: DataFrame, day: dt.date, latitude: float, longitude: f
         return A.altitude(A.sidereal(F.lit(start) + minute / 1440, longitude), F.col("ra"), F.col("dec"), latitude)
 
     n = 24 * 60 // STEP_MINUTES
-    rows = objects.select("object_id", "ra", "dec", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
-    rows = rows.withColumns({"m": F.col("k") * float(STEP_MINUTES), "alt": alt_at(F.col("k") * float(STEP_MINUTES)), "before": F.when(F.col("k") > 0, alt_at((F.col("k") - 1) * float(STEP_MINUTES)))})
-    found = rows.groupBy("object_id", "ra", "dec").agg(
-        F.min(F.when((F.col("before") < horizon) & (F.col("alt") >= horizon), F.col("m"))).alias("rise_after"),
-        F.min(F.when((F.col("before") >= horizon) & (F.col("alt") < horizon), F.col("m"))).alias("set_after"),
-        F.max("alt").alias("highest"),
-        F.min("alt").alias("lowest"),
-        F.max(F.struct(half_up(F.col("alt"), 6).alias("a"), (-F.col("m")).alias("m"))).alias("top"),
-    )
+    minutes = F.sequence(F.lit(0), F.lit(n))
+    times = F.transform(minutes, lambda k: A.sidereal(F.lit(start) + k * float(STEP_MINUTES) / 1440, longitude))  # the same for all objects: folded once
+    still = objects.select("object_id", "ra", "dec", (sind(F.col("dec")) * sind(F.lit(latitude))).alias("p"), (cosd(F.col("dec")) * cosd(F.lit(latitude))).alias("q"))
+    alts = still.withColumn("alts", F.transform(times, lambda t: asind(F.col("p") + F.col("q") * cosd(t - F.col("ra")))))
+
+    def first(rising: bool) -> Column:
+        pairs = F.zip_with(F.slice("alts", 1, n), F.slice("alts", 2, n), lambda x, y: ((x < horizon) & (y >= horizon)) if rising else ((x >= horizon) & (y < horizon)))
+        return F.nullif(F.array_position(pairs, F.lit(True)), F.lit(0)) * float(STEP_MINUTES)
+
+    found = alts.select("object_id", "ra", "dec", first(True).alias("rise_after"), first(False).alias("set_after"), F.array_max("alts").alias("highest"), F.array_min("alts").alias("lowest"), "alts")
+    top = F.array_position(F.transform("alts", lambda x: half_up(x, 6) == half_up(F.col("highest"), 6)), F.lit(True)) - 1
+    found = found.withColumn("transit", top * float(STEP_MINUTES)).drop("alts")
 
     def refined(end: Column, rising: bool) -> Column:
         begin = F.struct((end - STEP_MINUTES).alias("lo"), end.alias("hi"))
@@ -96,7 +99,7 @@ def rise_and_set(objects: DataFrame, day: dt.date, latitude: float, longitude: f
         "object_id",
         half_up(refined(F.col("rise_after"), True), 2).alias("rise_minute"),
         half_up(refined(F.col("set_after"), False), 2).alias("set_minute"),
-        (-F.col("top.m")).alias("transit_minute"),
+        F.col("transit").alias("transit_minute"),
         half_up(F.col("highest"), 6).alias("highest"),
         (F.col("lowest") > horizon).alias("always_up"),
         (F.col("highest") < horizon).alias("never_up"),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from starloom.functions.maths import steady
 from starloom.operators import archives as V
 from starloom.operators import mosaic as M
 from starloom.operators import rollups as R
@@ -108,7 +111,7 @@ QUERIES = {
     "s20_manifest": lambda s, d: readers.manifest(M.pyramid(M.object_cells(S.objects(s, d), (9,)).select(F.lit(9).alias("order"), F.col("cell9").alias("index")), 7), "order"),
     "s24_interleaved": s24_interleaved,
     "u03_catalogue": u03_catalogue,
-    "m28_target_grid": lambda s, d: V.target_grid(s, 359.99, 41.27, 60.0, 30.0, 1200),
+    "m28_target_grid": lambda s, d: V.target_grid(s, 359.99, 41.27, 60.0, 30.0, 1200).withColumns({c: steady(F.col(c), 9) for c in ("ra", "dec")}),
     "m30_pixel_sky": m30_pixel_sky,
     "h07_viewport_cells": lambda s, d: V.viewport_cells(s, 359.0, 0.0, 10.0, 5.0, 8),
     "r03_footprint": lambda s, d: V.footprint(s, 1000, 800, WCS),
@@ -118,7 +121,15 @@ _CUSTOMER = """c AS (SELECT *, 'o' || (c_custkey % 700) AS record_id, CASE WHEN
  CASE WHEN c_custkey % 2 = 0 THEN CASE WHEN c_custkey % 4 = 0 THEN 'Public' END WHEN c_custkey % 5 = 0 THEN 'proprietary' ELSE 'open' END AS rights FROM customer)"""
 _STEP = 1200 * 0.25 / 60 * 0.85
 
-from starloom.plans.mosaic import _BASE, _COVER, _PYRAMID  # noqa: E402
+from starloom.plans.mosaic import _BASE, _COVER, _PYRAMID, _cell_sql  # noqa: E402
+
+def _sky_sql(w: dict[str, float], x: str, y: str) -> tuple[str, str]:
+    d0 = math.radians(w["dec"])
+    u, v = f"radians(({x} - {w['x0']}::DOUBLE) * {w['sx']}::DOUBLE)", f"radians(({y} - {w['y0']}::DOUBLE) * {w['sy']}::DOUBLE)"
+    down = f"({math.cos(d0)!r}::DOUBLE - {v} * {math.sin(d0)!r}::DOUBLE)"
+    ra = f"fmod(fmod({w['ra']}::DOUBLE + degrees(atan2({u}, {down})), 360) + 360, 360)"
+    return ra, f"degrees(atan2({math.sin(d0)!r}::DOUBLE + {v} * {math.cos(d0)!r}::DOUBLE, sqrt({u} * {u} + {down} * {down})))"
+
 
 ORACLES = {
     "q09_user_stats": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "order", "index" ORDER BY "at", frame_id) AS n FROM frame_cells WHERE coverage * 100 >= 5) WHERE n = 1),
@@ -132,11 +143,19 @@ ORACLES = {
     "t11_next_seeds": f"""WITH {_BASE}, k AS (SELECT "index" >> 6 AS cell, mag FROM cell JOIN objects USING (object_id)) SELECT DISTINCT cell, sha256('seed-v1:' || cell) AS spread FROM k WHERE cell NOT IN (SELECT cell FROM k WHERE mag <= 10) ORDER BY spread LIMIT 100""",
     "s14_byte_budget": f"""WITH {S.FRAMES}, u AS (SELECT run_id, frame_id, CAST(sum(CAST(floor(price) AS BIGINT)) OVER (PARTITION BY run_id ORDER BY frame_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM frames) SELECT * FROM u WHERE upto <= 100000""",
     "s16_immutable_writes": f"WITH {S.FRAMES} SELECT frame_id, CASE WHEN line = 1 THEN 'written' WHEN line = 3 THEN 'conflict' ELSE 'replayed' END AS outcome FROM frames",
-    "s20_manifest": f"""WITH {_BASE}, {_PYRAMID(7)}, b AS (SELECT "order", '[' || string_agg('{{"index":' || "index" || ',"order":' || "order" || '}}', ',' ORDER BY "index") || ']' AS body FROM pyramid GROUP BY "order") SELECT "order", body, sha256(body) AS sha256 FROM b""",
+    "s20_manifest": f"""WITH {_BASE}, {_PYRAMID(7)}, b AS (SELECT "order", '[' || string_agg('{{"index":' || "index" || ',"order":' || "order" || '}}', ',' ORDER BY "index") || ']' AS body FROM pyramid GROUP BY "order") SELECT b."order", n, sha256(body) AS sha256 FROM b JOIN (SELECT "order", count(*) AS n FROM pyramid GROUP BY ALL) c ON b."order" = c."order" """,
     "s24_interleaved": """WITH m AS (SELECT p_name, p_size % 3 AS k, min(p_partkey) AS p FROM part GROUP BY ALL), r AS (SELECT p_name, CAST(k AS INT) AS list, CAST(row_number() OVER (PARTITION BY k ORDER BY p) AS INT) AS turn FROM m),
         f AS (SELECT p_name, min((turn, list)) AS a FROM r WHERE turn <= 12 GROUP BY p_name) SELECT p_name, a[1] AS turn, a[2] AS list FROM f ORDER BY a LIMIT 12""",
     "u03_catalogue": f"""WITH {S.OBJECTS} SELECT 'obj-' || object_id AS id, name, 'deep-sky' AS kind, mag FROM objects UNION ALL SELECT 'star-' || s_suppkey, s_name, 'star', NULL FROM supplier UNION ALL SELECT 'sun-' || r_regionkey, r_name, 'solar', -1.0::DOUBLE FROM region""",
     "m30_pixel_sky": """WITH p AS (SELECT DISTINCT l_orderkey, CAST(l_partkey % 1000 AS DOUBLE) AS x, CAST(l_suppkey % 800 AS DOUBLE) AS y FROM lineitem),
         t AS (SELECT *, radians((x - 500) * -0.0005::DOUBLE) AS u, radians((y - 400) * 0.0005::DOUBLE) AS v, radians(41.3::DOUBLE) AS d0 FROM p), w AS (SELECT *, cos(d0) - v * sin(d0) AS dn FROM t)
         SELECT l_orderkey, x, y, floor(fmod(359.9::DOUBLE + degrees(atan2(u, dn)) + 360, 360::DOUBLE) * 1e8 + 0.5) / 1e8 AS ra, floor(degrees(atan2(sin(d0) + v * cos(d0), sqrt(u * u + dn * dn))) * 1e8 + 0.5) / 1e8 AS "dec", x AS back_x, y AS back_y FROM w""",
+    "m28_target_grid": f"""WITH g AS (SELECT i, j, (i - 7) * 4.25::DOUBLE AS x, (j - 3.5::DOUBLE) * 4.25::DOUBLE AS y FROM range(0, 15) a(i), range(0, 8) b(j)), r AS (SELECT fmod(359.99::DOUBLE + x / (60 * {max(0.1, math.cos(math.radians(41.27)))!r}::DOUBLE) + 360, 360) AS ra, 41.27::DOUBLE + y / 60 AS "dec", x * x + y * y AS d2 FROM g)
+        SELECT floor(ra * 1e9 + 0.3137) / 1e9 AS ra, floor("dec" * 1e9 + 0.3137) / 1e9 AS "dec", CAST(row_number() OVER (ORDER BY d2, "dec", ra) AS INT) AS n FROM r""",
+    "h07_viewport_cells": f"""WITH s AS (SELECT 0.229::DOUBLE * 0.8::DOUBLE AS step), r AS (SELECT step, greatest(-90, 0 - 2.5::DOUBLE - step) AS low, least(90, 0 + 2.5::DOUBLE + step) AS high FROM s), y AS (SELECT step, low + k * step AS "dec" FROM r, range(0, 200) t(k) WHERE k <= floor((high - low) / step)),
+        z AS (SELECT "dec", step / greatest(0.15::DOUBLE, cos(radians("dec"))) AS st FROM y), c AS (SELECT "dec", fmod(359 - 5 - st + k * st + 360, 360) AS ra FROM z, range(0, 400) t(k) WHERE k <= floor((10 + 2 * st) / st)), objects AS (SELECT row_number() OVER () AS object_id, ra, "dec" FROM c), {_cell_sql(8)}
+        SELECT DISTINCT 8 AS "order", "index" FROM cell""",
+    "r03_footprint": f"""WITH e AS (SELECT i AS n, i // 16 % 4 AS edge, (i % 16) / 16.0::DOUBLE AS t FROM range(0, 65) r(i)), p AS (SELECT n, CASE edge WHEN 0 THEN t WHEN 1 THEN 1 WHEN 2 THEN 1 - t ELSE 0 END * 999 AS x, CASE edge WHEN 0 THEN 0 WHEN 1 THEN t WHEN 2 THEN 1 ELSE 1 - t END * 799 AS y FROM e),
+        q AS (SELECT n, {_sky_sql(WCS, "x", "y")[0]} AS ra, {_sky_sql(WCS, "x", "y")[1]} AS "dec" FROM p), w AS (SELECT *, CASE WHEN ra - lag(ra) OVER o > 180 THEN -360 WHEN ra - lag(ra) OVER o < -180 THEN 360 ELSE 0 END AS w FROM q WINDOW o AS (ORDER BY n))
+        SELECT n, floor(ra * 1e8 + 0.5) / 1e8 AS ra, floor("dec" * 1e8 + 0.5) / 1e8 AS "dec", floor((ra + sum(w) OVER (ORDER BY n)) * 1e8 + 0.5) / 1e8 AS continuous_ra FROM w""",
 }

@@ -1,4 +1,4 @@
-"""Raster queries, on pixels made of the frame table: seven frames of 40 by 25 pixels, some values far off."""
+"""Raster queries, on pixels made of the frame table: seven frames of up to 4000 by 250 pixels, as many as the table has parts and suppliers for, some values far off."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from starloom.sources import tables as S
 def pixels(s, d):
     line = S.table(s, d, "lineitem")
     cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint") % 100000
-    rows = line.groupBy(F.col("l_linenumber").alias("frame"), (F.col("l_partkey") % 40).alias("y"), (F.col("l_suppkey") % 25).alias("x")).agg(F.sum(cents).alias("c"), F.count(F.lit(1)).alias("n"))
+    rows = line.groupBy(F.col("l_linenumber").alias("frame"), (F.col("l_partkey") % 4000).alias("y"), (F.col("l_suppkey") % 250).alias("x")).agg(F.sum(cents).alias("c"), F.count(F.lit(1)).alias("n"))
     spike = F.when((F.col("y") * 25 + F.col("x") + F.col("frame") * 13) % 97 == 0, 100000.0).otherwise(0.0)
     return rows.select("frame", "y", "x", (F.col("c") / F.col("n") / 100 + spike).alias("value"), (F.col("frame") % 3 + 1).cast("double").alias("weight"))
 
@@ -39,7 +39,7 @@ QUERIES = {
     "a28_master_frame": lambda s, d: _round(P.master_frame(pixels(s, d)), 6, "value"),
     "a29_sigma_clipped": lambda s, d: _round(P.sigma_clipped(pixels(s, d)), 6, "value"),
     "a30_coadded": lambda s, d: _round(P.coadded(pixels(s, d)), 6, "value"),
-    "a31_coverage": lambda s, d: _round(P.coverage(P.coadded(pixels(s, d)), 40, 25), 9, "covered", "mean_depth"),
+    "a31_coverage": lambda s, d: _round(P.coverage(P.coadded(pixels(s, d)), 4000, 250), 9, "covered", "mean_depth"),
     "a32_display_limits": lambda s, d: _round(P.display_limits(pixels(s, d)), 6, "low", "high"),
     "a33_downsampled": lambda s, d: _round(P.downsampled(pixels(s, d), 4), 6, "value"),
     "a35_fractions": lambda s, d: _round(P.fractions(pixels(s, d), 100000.0, 300.0), 9, "saturated", "clipped_black", "usable"),
@@ -48,7 +48,7 @@ QUERIES = {
     "r16_composite": r16_composite,
 }
 
-_PIXELS = """means AS (SELECT l_linenumber AS frame, l_partkey % 40 AS y, l_suppkey % 25 AS x, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) % 100000)::DOUBLE / count(*) / 100 AS v FROM lineitem GROUP BY ALL),
+_PIXELS = """means AS (SELECT l_linenumber AS frame, l_partkey % 4000 AS y, l_suppkey % 250 AS x, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) % 100000)::DOUBLE / count(*) / 100 AS v FROM lineitem GROUP BY ALL),
  pixels AS (SELECT frame, y, x, v + CASE WHEN (y * 25 + x + frame * 13) % 97 = 0 THEN 100000 ELSE 0 END AS value, CAST(frame % 3 + 1 AS DOUBLE) AS weight FROM means)"""
 _R = lambda x, n=6: f"floor(({x}) * 1e{n} + 0.3137) / 1e{n}"
 _COADD = "coadd AS (SELECT y, x, sum(weight * value) / sum(weight) AS value, sum(weight) AS weight, count(*) AS depth FROM pixels GROUP BY ALL)"
@@ -59,7 +59,7 @@ ORACLES = {
     "a29_sigma_clipped": f"""WITH {_PIXELS}, m AS (SELECT *, median(value) OVER (PARTITION BY y, x) AS med FROM pixels), o AS (SELECT *, abs(value - med) AS dev FROM m), s AS (SELECT *, 1.4826::DOUBLE * median(dev) OVER (PARTITION BY y, x) AS sigma FROM o),
         k AS (SELECT *, 1.1920928955078125e-07::DOUBLE * greatest(1, abs(med)) AS tol FROM s) SELECT y, x, {_R("sum(weight * value) / sum(weight)")} AS value, count(*) AS kept FROM k WHERE CASE WHEN sigma > tol THEN dev <= 3 * sigma ELSE dev <= tol END GROUP BY ALL""",
     "a30_coadded": f"WITH {_PIXELS}, {_COADD} SELECT y, x, {_R('value')} AS value, weight, depth FROM coadd",
-    "a31_coverage": f"WITH {_PIXELS}, {_COADD} SELECT {_R('count(*) / 1000', 9)} AS covered, {_R('avg(depth)', 9)} AS mean_depth, max(depth) AS max_depth FROM coadd",
+    "a31_coverage": f"WITH {_PIXELS}, {_COADD} SELECT {_R('count(*) / 1000000', 9)} AS covered, {_R('avg(depth)', 9)} AS mean_depth, max(depth) AS max_depth FROM coadd",
     "a32_display_limits": f"WITH {_PIXELS}, {_LIMITS} SELECT frame, {_R('low')} AS low, {_R('high')} AS high FROM limits",
     "a33_downsampled": f"WITH {_PIXELS} SELECT frame, y // 4 AS y, x // 4 AS x, {_R('avg(value)')} AS value, count(*) AS n FROM pixels GROUP BY ALL",
     "a35_fractions": f"WITH {_PIXELS} SELECT frame, {_R('avg((value >= 100000)::INT)', 9)} AS saturated, {_R('avg((value <= 300)::INT)', 9)} AS clipped_black, 1.0::DOUBLE AS usable FROM pixels GROUP BY frame",

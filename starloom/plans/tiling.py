@@ -158,6 +158,7 @@ def e53_sampled(s, d):
 
 QUERIES = {f.__name__: f for f in (h03_corners, e15_polygons, h06_cone_cells, h09_mask_cells, r13_tile_plan, r09_aligned, m31_reprojected, r11_canvases, r15_render_problems, r04_detections, a34_frame_quality, m26_view_places, m25_unprojected, m27_star_marks, p36_on_screen, m38_frame_positions, e53_sampled)}
 
+from starloom.plans.archives import _sky_sql  # noqa: E402
 from starloom.plans.mosaic import _BASE, _COVER, _SHARES, _cell_sql  # noqa: E402
 
 _R = lambda x, n: f"floor(({x}) * 1e{n} + 0.3137) / 1e{n}"
@@ -186,14 +187,6 @@ def _centre_sql(order: int, source: str, keys: str) -> str:
  centres AS (SELECT {keys}, degrees((jp - (sh + 1) * 0.5::DOUBLE) * (pi() / 2 / nr)) AS ra, degrees(asin(CASE WHEN r < {ns} THEN 1 - nr * nr / {3.0 * ns * ns}::DOUBLE WHEN r > {3 * ns} THEN nr * nr / {3.0 * ns * ns}::DOUBLE - 1 ELSE ({2 * ns} - r) * 2 / {3.0 * ns}::DOUBLE END)) AS "dec" FROM cp)"""
 
 
-def _sky_sql(w: dict[str, float], x: str, y: str) -> tuple[str, str]:
-    d0 = math.radians(w["dec"])
-    u, v = f"radians(({x} - {w['x0']}::DOUBLE) * {w['sx']}::DOUBLE)", f"radians(({y} - {w['y0']}::DOUBLE) * {w['sy']}::DOUBLE)"
-    down = f"({math.cos(d0)!r}::DOUBLE - {v} * {math.sin(d0)!r}::DOUBLE)"
-    ra = f"fmod(fmod({w['ra']}::DOUBLE + degrees(atan2({u}, {down})), 360) + 360, 360)"
-    return ra, f"degrees(atan2({math.sin(d0)!r}::DOUBLE + {v} * {math.cos(d0)!r}::DOUBLE, sqrt({u} * {u} + {down} * {down})))"
-
-
 def _pixel_sql(w: dict[str, float], ra: str, dec: str) -> tuple[str, str]:
     d0 = math.radians(w["dec"])
     s, c = f"{math.sin(d0)!r}::DOUBLE", f"{math.cos(d0)!r}::DOUBLE"

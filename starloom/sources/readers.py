@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.functions.maths import half_up
+from starloom.operators.rollups import streamed_sha256
 
 #: Fixed values of the FITS format.
 BLOCK, CARD = 2880, 80
@@ -109,10 +110,13 @@ def interleaved(lists: list[DataFrame], key: str, order: str, limit: int) -> Dat
 
 
 def manifest(tiles: DataFrame, group: str) -> DataFrame:
-    """For each group a canonical JSON list of its (order, index), and its SHA-256."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col("order"), F.col("index"))))
-    body = F.to_json(F.transform(rows, lambda r: F.struct(r["index"].alias("index"), r["order"].alias("order"))))
-    return tiles.groupBy(group).agg(body.alias("body")).select(group, "body", F.sha2("body", 256).alias("sha256"))
+    """For each group the rows and the SHA-256 of its canonical JSON list of (order, index), as manifest_rows() has them."""
+    return streamed_sha256(manifest_rows(tiles), [group], "row", ["index"], "[", ",", "]")
+
+
+def manifest_rows(tiles: DataFrame) -> DataFrame:
+    """The tiles, each with its row of the manifest."""
+    return tiles.withColumn("row", F.to_json(F.struct("index", "order")))
 
 
 def privacy_rounded(df: DataFrame, *columns: str) -> DataFrame:

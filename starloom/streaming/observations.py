@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starloom.functions.geo import cells_around, great_circle_km, place_cell
 from starloom.sources.storage import scratch
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -51,15 +50,36 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("from_at").cast("timestamp_ntz").alias("from_at"), F.col("to_at").cast("timestamp_ntz").alias("to_at"), "event_type", "n", F.expr("floor(total * 100 + 0.5) / 100").alias("total"))
 
 
+def observation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream as located observations."""
+    e, u = F.col("event_id"), F.col("user_id")
+    places = {"latitude": (u * 37) % 100 / 10.0 + 42.0 + (e % 7) / 100.0, "longitude": (u * 53) % 120 / 10.0 + (e % 11) / 100.0}
+    return event_stream(spark, sf_dir).withColumns(places)
+
+
+WINDOW_S, RADIUS_KM = 900, 500.0
+
+
 def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of errors and purchases of different users within 15 minutes: a stream-stream interval join."""
+    """Pairs of errors and purchases of different users within 15 minutes and 500 km: a stream-stream interval join.
+
+    State is keyed by time bucket and place cell: an error stands in its own bucket and in all cells that the radius
+    reaches, a purchase in its own cell and in three buckets, so each pair meets once and a key holds a quarter of an hour
+    of one cell.
+    """
     def side(kind: str, name: str) -> DataFrame:
-        s = event_stream(spark, sf_dir).where(F.col("event_type") == kind).withWatermark("ts", "15 minutes")
-        return s.select(F.col("event_id").alias(f"{name}_id"), F.col("user_id").alias(f"{name}_user"), F.col("ts").alias(f"{name}_at"), (F.col("event_id") % 3).alias(f"{name}_area"))
+        s = observation_stream(spark, sf_dir).where(F.col("event_type") == kind).withWatermark("ts", "15 minutes")
+        bucket, lat, lon = F.floor(F.unix_seconds("ts") / WINDOW_S), F.col("latitude"), F.col("longitude")
+        if name == "a":
+            s = s.withColumn("bucket", bucket).withColumn("cell", F.explode(cells_around(lat, lon, RADIUS_KM)))
+        else:
+            s = s.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).withColumn("cell", place_cell(lat, lon))
+        return s.select(*(F.col(c).alias(f"{name}_{new}") for c, new in (("event_id", "id"), ("user_id", "user"), ("ts", "at"), ("bucket", "bucket"), ("cell", "cell"), ("latitude", "lat"), ("longitude", "lon"))))
 
     a, b = side("error", "a"), side("purchase", "b")
-    near = (F.col("a_area") == F.col("b_area")) & F.col("b_at").between(F.col("a_at") - F.expr("INTERVAL 15 MINUTES"), F.col("a_at") + F.expr("INTERVAL 15 MINUTES"))
-    return drained(a.join(b, near).where("a_user <> b_user").select("a_id", "b_id"), "correlated")
+    near = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_cell") == F.col("b_cell")) & F.col("b_at").between(F.col("a_at") - F.expr("INTERVAL 15 MINUTES"), F.col("a_at") + F.expr("INTERVAL 15 MINUTES"))
+    met = a.join(b, near).where((F.col("a_user") != F.col("b_user")) & (great_circle_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= RADIUS_KM))
+    return drained(met.select("a_id", "b_id"), "correlated")
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,33 +95,74 @@ def once_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEASE_S = 6 * 3600
+LEVEL = 50.0
+
+
+def all_sessions(sessions_: DataFrame, name: str) -> DataFrame:
+    """Sessions that have ended and those still open at the end: complete mode, a folder for each batch, of which the last counts."""
+    spark = sessions_.sparkSession
+    out = scratch(spark, name)
+    batches: list[int] = []
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/n={batch_id}")
+        batches.append(batch_id)
+
+    sessions_.writeStream.foreachBatch(save).option("checkpointLocation", scratch(spark, f"{name}-state")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sessions_.schema).parquet(f"{out}/n={max(batches)}") if batches else spark.createDataFrame([], sessions_.schema)
 
 
 def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as heartbeats of users: how often each user's lease was renewed in time or had expired, with state kept for each user."""
-    def renew(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, renewed, expired = state.get if state.exists else (0, 0, 0)
-        times = sorted(t for b in batches for t in b["s"].tolist())
-        for t in times:
-            if last:
-                renewed, expired = (renewed + 1, expired) if t - last <= LEASE_S else (renewed, expired + 1)
-            last = t
-        state.update((last, renewed, expired))
-        yield pd.DataFrame({"user_id": [key[0]], "renewed": [renewed], "expired": [expired]})
-
-    beats = event_stream(spark, sf_dir).select("user_id", F.unix_seconds("ts").alias("s"))
-    rows = beats.groupBy("user_id").applyInPandasWithState(renew, "user_id long, renewed long, expired long", "last long, renewed long, expired long", "update", "NoTimeout")
-    return latest(rows, "leases", ["user_id"])
+    """Events as heartbeats of users: how often each user's lease was renewed in time or had expired.
+
+    A lease is a session with the lease's time as its gap: beats inside it renew it, and every session but a user's first
+    began after an expiry. State is what Spark keeps of open sessions; no Python runs.
+    """
+    held = event_stream(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts"))).groupBy("user_id", F.session_window("ts", f"{LEASE_S + 1} seconds")).agg(F.count(F.lit(1)).alias("beats"))
+    each = all_sessions(held.select("user_id", F.col("session_window.start").alias("from_at"), "beats"), "leases")
+    return each.groupBy("user_id").agg((F.sum("beats") - F.count(F.lit(1))).alias("renewed"), (F.count(F.lit(1)) - 1).alias("expired"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user with gaps of up to four hours, closed ones and those still open at the end (complete mode)."""
+    """Sessions of each user with gaps of up to four hours, closed ones and those still open at the end."""
     rows = event_stream(spark, sf_dir).groupBy("user_id", F.session_window("ts", "4 hours")).agg(F.count(F.lit(1)).alias("n"))
     flat = rows.select("user_id", F.col("session_window.start").alias("from_at"), "n")
-    out = scratch(spark, "sessions")
+    return all_sessions(flat, "sessions").withColumn("from_at", F.col("from_at").cast("timestamp_ntz"))
+
+
+def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each user's value rises over a level: the event with the one before it.
+
+    Batches come in the order of time. Each is compared row by row with a window, together with the last row of each user
+    that the batches before left: that table, one row a user, is all the state, and is written anew for each batch.
+    """
+    out, kept = scratch(spark, "crossings"), scratch(spark, "crossings-last")
+
+    def pair(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("user_id", "ts", "event_id", "value")
+        before = f"{kept}/n={batch_id - 1}"
+        if batch_id:
+            rows = rows.unionByName(batch.sparkSession.read.schema(rows.schema).parquet(before))
+        own = W.partitionBy("user_id").orderBy("ts", "event_id")
+        pairs = rows.withColumns({"before": F.lag("value").over(own), "before_id": F.lag("event_id").over(own)})
+        pairs.where((F.col("before") < LEVEL) & (F.col("value") >= LEVEL)).select("user_id", "before_id", "event_id").write.mode("overwrite").parquet(f"{out}/n={batch_id}")
+        rows.groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("r")).select("user_id", "r.ts", "r.event_id", "r.value").write.mode("overwrite").parquet(f"{kept}/n={batch_id}")
+
+    event_stream(spark, sf_dir).writeStream.foreachBatch(pair).option("checkpointLocation", scratch(spark, "crossings-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("user_id long, before_id long, event_id long").parquet(f"{out}/n=*")
+
+
+def polled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest event of each kind as a poll sees it: each batch replaces what it renews."""
+    rows = event_stream(spark, sf_dir).groupBy("event_type").agg(F.max(F.struct("ts", "event_id")).alias("r"), F.count(F.lit(1)).alias("n"))
+    flat = rows.select("event_type", F.col("r.ts").alias("last_at"), F.col("r.event_id").alias("last_id"), "n")
+    return latest(flat, "polled", ["event_type"]).withColumn("last_at", F.col("last_at").cast("timestamp_ntz"))
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    flat.writeStream.foreachBatch(save).option("checkpointLocation", scratch(spark, "sessions-state")).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(flat.schema).parquet(out).withColumn("from_at", F.col("from_at").cast("timestamp_ntz"))
+def backfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts of which some days were lost: those that are missing are counted again from the log."""
+    log = spark.read.schema(SCHEMA).parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
+    there = log.where(F.dayofmonth("day") % 3 != 0).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    again = log.join(there.select("day"), "day", "left_anti").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    both = there.withColumn("origin", F.lit("kept")).unionByName(again.withColumn("origin", F.lit("replayed")))
+    return both.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "origin")
