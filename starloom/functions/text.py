@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks, and what they are without.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįľńňōőŕřśşšťūůűųźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorrssstuuuuzzzAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def _marked_letters() -> tuple[str, str]:
+    """Latin letters that canonical decomposition turns into one plain letter and marks, and those letters."""
+    pairs = []
+    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
+        plain, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and plain.isascii() and all(unicodedata.combining(m) for m in marks):
+            pairs.append((chr(code), plain))
+    return "".join(m for m, _ in pairs), "".join(p for _, p in pairs)
+
+
+def _compatible_characters() -> tuple[str, str]:
+    """Characters beyond ASCII that stand for one ASCII character by compatibility (full width, raised, circled), and that."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    pairs = [(c, n) for c, n in pairs if len(n) == 1 and n.isascii()]
+    return "".join(c for c, _ in pairs), "".join(n for _, n in pairs)
+
+
+MARKED, PLAIN = _marked_letters()
+COMPATIBLE, COMMON = _compatible_characters()
+MARKS = "[\u0300-\u036f]"
 
 #: What a title of an unwanted picture says.
 BLOCKED = ("finder chart", "star chart", "constellation map", "sky map", "diagram", "schematic", "spectrum", "spectra", "spectrograph", "light curve", "logo", "icon", "illustration", "artist impression", "artist s impression", "simulation")
@@ -17,7 +37,7 @@ BLOCKED = ("finder chart", "star chart", "constellation map", "sky map", "diagra
 
 def normalise(text: Column) -> Column:
     """Marks removed, lower case, runs of anything but a-z and 0-9 as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(text, MARKED, PLAIN)), "[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(F.translate(text, MARKED, PLAIN), MARKS, "")), "[^a-z0-9]+", " "))
 
 
 def compact(text: Column) -> Column:
@@ -48,7 +68,9 @@ def slug(text: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    return F.right(F.regexp_replace(name, "[^a-zA-Z0-9._-]+", "-"), F.lit(180))
+    """Compatible characters as common ones, a letter with a mark as one letter, other runs as one hyphen; the last 180."""
+    common = F.regexp_replace(F.translate(name, COMPATIBLE, COMMON), f"[A-Za-z]{MARKS}", "\u00e9")
+    return F.right(F.regexp_replace(common, "[^a-zA-Z0-9._-]+", "-"), F.lit(180))
 
 
 def aliases(designation: Column) -> Column:

@@ -22,6 +22,15 @@ def eligible() -> Column:
     return F.col("status").isin("approved", "published", "stacked") & ~F.col("rejected")
 
 
+def eligible_source(band: str) -> Column:
+    """Archive lights fit for a public survey of a band: published, solved, alive, of an open licence, with path, checksum, credit and terms."""
+    c = F.col
+    flags = (c("source_kind") == "public_archive") & (c("kind") == "light") & (c("status") == "published") & ~c("rejected") & c("solved") & c("deleted_at").isNull()
+    named = (c("licence") == "PUBLIC-ARCHIVE") & (F.lower(F.coalesce("band", F.lit(""))) == band.lower())
+    there = c("storage_path").isNotNull() & c("content_sha256").rlike("^[0-9a-f]{64}$") & c("attribution").isNotNull() & c("rights").isNotNull() & (c("size_bytes") > 0)
+    return flags & named & there
+
+
 def object_stats(frames: DataFrame) -> DataFrame:
     """Counts by kind, contributors and exposure hours of each object's eligible frames."""
     kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("light", "dark", "flat", "bias")]

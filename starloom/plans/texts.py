@@ -59,7 +59,7 @@ _METRICS = f"""{S.FRAMES}, kn AS (SELECT frame_id, run_id + object_id AS k, user
  coalesce(CASE WHEN k % 7 <> 0 THEN k % 3 = 0 END, false) AS trusted, n % 5 = 0 AS product, k % 29 = 0 AS tracking, n % 31 = 0 AS clouds FROM kn)"""
 _CL = lambda x: f"least(greatest({x}, 0.0::DOUBLE), 1.0::DOUBLE)"
 _R2 = lambda x: f"round_even(coalesce({x}, 0) * 100, 0) / 100"
-_NORMAL = lambda x: f"trim(regexp_replace(lower(translate({x}, '{X.MARKED}', '{X.PLAIN}')), '[^a-z0-9]+', ' ', 'g'))"
+_NORMAL = lambda x: f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
 
 ORACLES = {
     "m21_quality_policy": f"""WITH {_METRICS}, r AS (SELECT frame_id, CASE WHEN greatest(scale, native) <= 0 THEN NULL WHEN greatest(scale, native) <= 1.5 THEN 'high-definition' WHEN greatest(scale, native) <= 3 THEN 'detailed'

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starloom.functions.maths import half_up
 from starloom.operators.rollups import streamed_sha256
@@ -44,6 +48,62 @@ def fits_image(data: bytes) -> tuple[dict[str, str], np.ndarray]:
     return header, np.nanmean(image, axis=0) if image.ndim == 3 else image
 
 
+def fits_bytes(image: np.ndarray, cards: dict[str, str]) -> bytes:
+    """A two-dimensional float32 image as a FITS file; equal input gives equal bytes."""
+    rows = [f"{'SIMPLE':8}= {'T':>20}", f"{'BITPIX':8}= {-32:>20}", f"{'NAXIS':8}= {image.ndim:>20}", *(f"{f'NAXIS{i}':8}= {n:>20}" for i, n in enumerate(reversed(image.shape), 1))]
+    rows += [f"{k:8}= '{v:8}'" for k, v in sorted(cards.items())] + ["END"]
+    head, data = "".join(r.ljust(CARD) for r in rows).encode("ascii"), image.astype(">f4").tobytes()
+    return head + b" " * (-len(head) % BLOCK) + data + b"\0" * (-len(data) % BLOCK)
+
+
+def is_fits(head: Column, size: Column) -> Column:
+    """Whether a file begins as a FITS file or extension does, and is a block long at least."""
+    return F.coalesce((F.startswith(head, F.lit("SIMPLE  =")) | F.startswith(head, F.lit("XTENSION="))) & (size >= BLOCK), F.lit(False))
+
+
+def write_objects(objects: DataFrame, folder: str) -> None:
+    """Writes objects (name, content) as files of a folder on the shared file system, each by the task that has it.
+
+    A file is written under a name of its own and then renamed, so a task that is tried again leaves the same files.
+    """
+    system, root = pa.fs.FileSystem.from_uri(folder) if ":" in folder else (pa.fs.LocalFileSystem(), folder)
+    system.create_dir(root, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there, base = pa.fs.FileSystem.from_uri(folder) if ":" in folder else (pa.fs.LocalFileSystem(), folder)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                draft = f"{base}/.{name}-{uuid.uuid4().hex}"
+                with there.open_output_stream(draft) as out:
+                    out.write(content)
+                there.move(draft, f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    objects.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
+def overwrite_pointer(row: DataFrame, path: str) -> None:
+    """Replaces a one-row table as a whole."""
+    row.coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_pointer(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def answered(sources: list[Callable[[], DataFrame]]) -> DataFrame:
+    """The union of the sources that answer; an error only if none does."""
+    found, errors = [], []
+    for source in sources:
+        try:
+            found.append(source())
+        except Exception as e:  # whatever keeps a source from answering
+            errors.append(e)
+    if not found:
+        raise RuntimeError(f"no source answers: {errors}")
+    return reduce(DataFrame.unionByName, found)
+
+
 def read_fits(spark: SparkSession, path: str) -> DataFrame:
     """(path, header, y, values): a row for each image row of each file; files that aren't FITS give none."""
 
