@@ -88,7 +88,7 @@ def s15_cache_paths(s, d):
 
 def s13_first_files(s, d):
     """Of each position the first file within reach, each file once, known ones left out, the first few by a hash."""
-    grid = written(V.target_grid(s, 83.8, -5.4, 900.0, 600.0, 7200), "grid")
+    grid = written(V.target_grid(s, 180.0, 0.0, 900.0, 600.0, 7200), "grid")
     objects = S.objects(s, d).select(F.col("object_id").alias("file"), "ra", "dec")
     near = grid.select("n", F.col("ra").alias("pra"), F.col("dec").alias("pdec"), F.explode(cells_around(F.col("dec"), F.col("ra"), math.radians(10.0) * EARTH_KM)).alias("cell"))
     met = near.join(objects.withColumn("cell", place_cell(F.col("dec"), F.col("ra"))), "cell").where(separation_deg(F.col("ra"), F.col("dec"), F.col("pra"), F.col("pdec")) <= 10)
@@ -287,7 +287,7 @@ _WCS = {"ra": 120.0, "dec": 30.0, "x0": 500.0, "y0": 400.0, "sx": -0.0005, "sy":
 _A, _B = _sky_sql(_WCS, "x", "y"), _sky_sql(_WCS, "(x + off / 0.0005::DOUBLE)", "y")
 _R = lambda x, n: f"floor(({x}) * 1e{n} + 0.3137) / 1e{n}"
 _UP = lambda o: f"""SELECT CAST({o} AS INT) AS "order", "index" >> {2 * (9 - o)} AS "index", user_id, sum(share) AS t FROM shares GROUP BY ALL"""
-_GRID = f"""g AS (SELECT i, j, (i - (nx - 1) / 2.0::DOUBLE) * 25.5::DOUBLE AS x, (j - (ny - 1) / 2.0::DOUBLE) * 25.5::DOUBLE AS y FROM (SELECT 36 AS nx, 24 AS ny), range(0, 36) a(i), range(0, 24) b(j)), grid AS (SELECT row_number() OVER () AS object_id, fmod(83.8::DOUBLE + x / (60 * cos(radians(-5.4::DOUBLE))) + 360, 360) AS ra, -5.4::DOUBLE + y / 60 AS "dec" FROM g)"""
+_GRID = f"""g AS (SELECT i, j, (i - (nx - 1) / 2.0::DOUBLE) * 25.5::DOUBLE AS x, (j - (ny - 1) / 2.0::DOUBLE) * 25.5::DOUBLE AS y FROM (SELECT 36 AS nx, 24 AS ny), range(0, 36) a(i), range(0, 24) b(j)), grid AS (SELECT row_number() OVER () AS object_id, fmod(180 + x / 60 + 360, 360) AS ra, y / 60 AS "dec" FROM g)"""
 
 ORACLES = {
     "s01_with_parameters": "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000 GROUP BY o_custkey",
