@@ -89,8 +89,10 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """A batch of (h1, h2, doc_id), one row a key and document; later batches hold smaller ids."""
         with _sorted_buckets(self.spark):
-            own = lines.repartition(self.buckets, *_KEY).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
-            self._write(self.unseen(own), 0)
+            # summed up before it is dealt, so that a line that very many documents hold is a few rows; with as many buckets
+            # as shuffle partitions Spark does both in one exchange
+            own = lines.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_id"))
+            self._write(self.unseen(own.repartition(self.buckets, *_KEY)), 0)
             level = 0
             while len(self.levels[level]) >= self.fan_in:
                 full, self.levels[level] = self.levels[level], []
@@ -130,7 +132,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_ch
     scratch = Scratch(docs.sparkSession, "lines")
     table = scratch.write(line_table(docs, text, key, min_chars), "lines")
     cuts = table.select(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)], 1000)).first()[0] or []
-    runs = LineRuns(docs.sparkSession, min_docs, buckets=max(8, -(-table.count() // BUCKET_ROWS)))
+    runs = LineRuns(docs.sparkSession, min_docs, buckets=max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-table.count() // BUCKET_ROWS)))
     bounds = [None, *dict.fromkeys(cuts), None]
     for above, upto in zip(bounds[1:], bounds[:-1], strict=True):
         part = table
