@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 TARGET_BYTES, FAN_IN, TIER_RATIO = 128 << 20, 4, 4.0
 GRACE_S, RETENTION_S = 86_400.0, 86_400.0
-TRIES = 50
+TRIES, MOST_BROADCAST_RUNS = 50, 100_000
 _BATCH = "__batch"
 
 
@@ -241,6 +241,8 @@ class ShardStore:
         parts = F.split(F.col("_metadata.file_path"), "/")
         place = {"__run": F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2)), "shard": F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2), F.element_at(parts, -1))}
         tiers = self.spark.createDataFrame([(r.name, r.tier) for r in runs], "__run string, tier int")
+        if len(runs) <= MOST_BROADCAST_RUNS:
+            tiers = F.broadcast(tiers)  # about 100 bytes a run, so 10 MB at most; with more runs Spark chooses
         return rows.select(*names, *(c.alias(n) for n, c in place.items())).join(tiers, "__run").select(*names, "shard", F.lit(version).alias("version"), "tier")
 
 
