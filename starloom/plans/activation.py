@@ -14,9 +14,6 @@ from starloom.operators import mosaic as M
 from starloom.sources import tables as S
 from starloom.sources.storage import written
 
-G = F.col("generation")
-
-
 def _plan(s, d):
     top = M.object_cells(S.objects(s, d), (9,)).select((F.col("object_id") % 25).cast("int").alias("generation"), F.col("cell9").alias("index")).distinct()
     every = top.select("generation", F.explode(F.sequence(F.lit(6), F.lit(9))).alias("order"), "index")
@@ -24,48 +21,48 @@ def _plan(s, d):
 
 
 def _tiles(plan):
-    kept = plan.where(((F.col("index") * 4 + F.col("order")) % 23 != 0) | (G % 3 != 0))
-    more = plan.where((G % 5 == 0) & (F.col("order") == 9) & (F.col("index") % 31 == 0)).select("generation", "order", (F.col("index") + 1).alias("index"))
+    kept = plan.where(((F.col("index") * 4 + F.col("order")) % 23 != 0) | (F.col("generation") % 3 != 0))
+    more = plan.where((F.col("generation") % 5 == 0) & (F.col("order") == 9) & (F.col("index") % 31 == 0)).select("generation", "order", (F.col("index") + 1).alias("index"))
     t, i = kept.unionByName(more), F.col("index")
-    sources = F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: G * 10 + k), lambda x: (x + i) % 3 != 0)
+    sources = F.filter(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.col("generation") * 10 + k), lambda x: (x + i) % 3 != 0)
     t = t.withColumn("sources", sources)
-    weighed = F.filter("sources", lambda x: ~((G % 7 == 0) & (x % 5 == 0) & (i % 11 == 0)))
-    sha = F.when((G % 8 == 1) & (i % 13 == 0), "bad").otherwise(F.sha2(i.cast("string"), 256))
+    weighed = F.filter("sources", lambda x: ~((F.col("generation") % 7 == 0) & (x % 5 == 0) & (i % 11 == 0)))
+    sha = F.when((F.col("generation") % 8 == 1) & (i % 13 == 0), "bad").otherwise(F.sha2(i.cast("string"), 256))
     return t.withColumns({"sha256": sha, "path": H.tile_path("sky-r", 1, F.col("order"), i), "weights": F.map_from_arrays(weighed, F.transform(weighed, lambda x: x / 10.0))})
 
 
 def _inventory(s, d):
     rows = S.table(s, d, "nation").select(F.col("n_nationkey").alias("generation"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
-    return rows.select("generation", (G * 10 + F.col("k")).alias("source"), (F.col("k") * 60.0).alias("exposure_s"), F.when((G % 10 == 3) & (F.col("k") == 2), 0).otherwise(4).alias("eligible_cells"), F.when((G % 11 == 4) & (F.col("k") == 1), "v8").otherwise("v9").alias("solution_version"))
+    return rows.select("generation", (F.col("generation") * 10 + F.col("k")).alias("source"), (F.col("k") * 60.0).alias("exposure_s"), F.when((F.col("generation") % 10 == 3) & (F.col("k") == 2), 0).otherwise(4).alias("eligible_cells"), F.when((F.col("generation") % 11 == 4) & (F.col("k") == 1), "v8").otherwise("v9").alias("solution_version"))
 
 
 def _generations(s, d, plan):
     n = plan.groupBy("generation").agg(F.count(F.lit(1)).cast("int").alias("tiles"))
     sha = A.plan_sha256(plan).withColumnRenamed("sha256", "own_sha")
-    ids = F.concat(F.array_join(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (G * 10 + k).cast("string"))), "\n"), F.lit("\n"))
+    ids = F.concat(F.array_join(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: (F.col("generation") * 10 + k).cast("string"))), "\n"), F.lit("\n"))
     rows = S.table(s, d, "nation").select(F.col("n_nationkey").alias("generation")).join(n, "generation").join(sha, "generation")
-    off = lambda m, r: F.when(G % m == r, 1).otherwise(0)
+    off = lambda m, r: F.when(F.col("generation") % m == r, 1).otherwise(0)
     return rows.select(
-        "generation", F.concat(F.lit("O"), G.cast("string")).alias("object_id"), F.lit("v9").alias("version"), F.when(G % 12 == 5, "building").otherwise("verifying").alias("status"), F.lit(True).alias("locked"),
-        F.concat(F.lit("hips/m"), G.cast("string"), F.lit(".json")).alias("manifest_path"), F.sha2(F.lit("m"), 256).alias("manifest_sha256"), F.lit(0).alias("failed_tiles"), F.lit(True).alias("validated"),
-        F.when(G % 16 == 9, "stale").otherwise(F.col("own_sha")).alias("plan_sha256"), (F.col("tiles") + off(13, 6)).alias("planned_tiles"), F.col("tiles").alias("expected_tiles"), F.col("tiles").alias("published_tiles"),
-        (F.lit(5) + off(14, 7)).alias("expected_sources"), F.lit(5).alias("contributing_sources"), F.when(G % 15 == 8, "old").otherwise(F.sha2(ids, 256)).alias("inventory_sha256"),
+        "generation", F.concat(F.lit("O"), F.col("generation").cast("string")).alias("object_id"), F.lit("v9").alias("version"), F.when(F.col("generation") % 12 == 5, "building").otherwise("verifying").alias("status"), F.lit(True).alias("locked"),
+        F.concat(F.lit("hips/m"), F.col("generation").cast("string"), F.lit(".json")).alias("manifest_path"), F.sha2(F.lit("m"), 256).alias("manifest_sha256"), F.lit(0).alias("failed_tiles"), F.lit(True).alias("validated"),
+        F.when(F.col("generation") % 16 == 9, "stale").otherwise(F.col("own_sha")).alias("plan_sha256"), (F.col("tiles") + off(13, 6)).alias("planned_tiles"), F.col("tiles").alias("expected_tiles"), F.col("tiles").alias("published_tiles"),
+        (F.lit(5) + off(14, 7)).alias("expected_sources"), F.lit(5).alias("contributing_sources"), F.when(F.col("generation") % 15 == 8, "old").otherwise(F.sha2(ids, 256)).alias("inventory_sha256"),
     )
 
 
 def _masters(s, d):
     rows = S.table(s, d, "nation").select(F.col("n_nationkey").alias("generation"))
-    path = lambda kind: F.concat(F.lit(f"masters/{kind}"), G.cast("string"))
+    path = lambda kind: F.concat(F.lit(f"masters/{kind}"), F.col("generation").cast("string"))
     return rows.select(
-        "generation", F.concat(F.lit("O"), (G + F.when(G % 20 == 13, 1).otherwise(0)).cast("string")).alias("object_id"), (G % 18 == 11).alias("is_current"), F.lit(5).alias("lights"), F.lit(600.0 / 3600).alias("hours"), path("f").alias("fits_path"),
-        F.when(G % 19 == 12, "bad").otherwise(F.sha2(F.lit("f"), 256)).alias("fits_sha256"), path("p").alias("preview_path"), F.sha2(F.lit("p"), 256).alias("preview_sha256"), (1 - G % 2 / 2.0).alias("covered"), (G % 4 != 3).alias("partial"), F.lit(0.25).alias("scale"), F.lit(100).alias("width"), F.lit(80).alias("height"),
+        "generation", F.concat(F.lit("O"), (F.col("generation") + F.when(F.col("generation") % 20 == 13, 1).otherwise(0)).cast("string")).alias("object_id"), (F.col("generation") % 18 == 11).alias("is_current"), F.lit(5).alias("lights"), F.lit(600.0 / 3600).alias("hours"), path("f").alias("fits_path"),
+        F.when(F.col("generation") % 19 == 12, "bad").otherwise(F.sha2(F.lit("f"), 256)).alias("fits_sha256"), path("p").alias("preview_path"), F.sha2(F.lit("p"), 256).alias("preview_sha256"), (1 - F.col("generation") % 2 / 2.0).alias("covered"), (F.col("generation") % 4 != 3).alias("partial"), F.lit(0.25).alias("scale"), F.lit(100).alias("width"), F.lit(80).alias("height"),
     )
 
 
 def _stored(tiles, generations, masters):
-    some = tiles.where(~((G % 9 == 2) & (F.col("index") % 17 == 0))).select("path")
-    manifests = generations.where(G % 17 != 10).select(F.col("manifest_path").alias("path"))
-    files = masters.select(F.col("fits_path").alias("path")).unionByName(masters.where(G % 21 != 14).select(F.col("preview_path").alias("path")))
+    some = tiles.where(~((F.col("generation") % 9 == 2) & (F.col("index") % 17 == 0))).select("path")
+    manifests = generations.where(F.col("generation") % 17 != 10).select(F.col("manifest_path").alias("path"))
+    files = masters.select(F.col("fits_path").alias("path")).unionByName(masters.where(F.col("generation") % 21 != 14).select(F.col("preview_path").alias("path")))
     return some.unionByName(manifests).unionByName(files)
 
 
