@@ -88,6 +88,26 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Ite
         size += n
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of sorted batches in runs of equal keys, each as a table; null equals null. One run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        start = 0
+        for i, row in enumerate(rows):
+            if row != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, row
+        if len(rows) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))

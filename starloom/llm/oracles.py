@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from starloom.llm import licenses, line_dedup, mixing, near_dedup, quality, url_filter
+from starloom.llm import embedding_dedup, licenses, line_dedup, mixing, near_dedup, quality, url_filter
 from starloom.llm.common import LOWER, UPPER
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -39,7 +39,77 @@ def _one_of(words: str) -> list[str]:
 
 _NEEDED = sorted({w for _, words in licenses.TEMPLATES for w in _one_of(words)})
 
+#: CRC-32 of an ASCII string: the table of bytes from its rule, then byte by byte.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def _crc(text: str) -> str:
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+# An edit's way so far is its cost in eight digits, then its audit: the least of such strings is the cheapest, then the least audit.
+
+
+def _step(way: str, cost: int | str, letter: str) -> str:
+    return f"lpad(CAST(CAST(substr({way}, 1, 8) AS INT) + {cost} AS VARCHAR), 8, '0') || substr({way}, 9) || '{letter}'"
+
+
+def _after(gate: str, way: str) -> str:
+    return f"CASE WHEN {gate} THEN {way} END"
+
+
+_MORE = "CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END"
+_REROLE = f"2 + {_MORE}"
+_STAYS = "fault NOT IN ('blank', 'duplicate')"
+_REPAIR = f"""{_CRC_TABLE}, d AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, crc),
+        m AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE r END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(x, '[.!?]', '', 'g') ELSE x END AS text, unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS copy FROM d WHERE k <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role || ':' || text, role, copy) AS i FROM m),
+        f AS (SELECT *, left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+        st AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        way AS (SELECT conv_id, 0::BIGINT AS i, '00000000' AS e0, NULL::VARCHAR AS e1, NULL::VARCHAR AS e2, NULL::VARCHAR AS e3 FROM st
+        UNION ALL SELECT conv_id, i, {_step("e0", 3, "D")}, least({_step("e1", 3, "D")}, {_after(f"{_STAYS} AND c = 's'", _step("e0", _MORE, "K"))}),
+        least({_step("e2", 3, "D")}, {", ".join(x for e in ("e0", "e1", "e3") for x in (_after(f"{_STAYS} AND c = 'u'", _step(e, _MORE, "K")), _after(_STAYS, _step(e, _REROLE, "R"))))}),
+        least({_step("e3", 3, "D")}, {_after(f"{_STAYS} AND c = 'a'", _step("e2", _MORE, "K"))}, {_after(_STAYS, _step("e2", _REROLE, "R"))})
+        FROM (SELECT conv_id, i, c, fault, e0, e1, e2, least(e3, {_step("e2", 2, "I")}) AS e3 FROM (SELECT w.conv_id, f.i, f.c, f.fault, e0, e1, least(e2, {_step("e0", 2, "I")}, {_step("e1", 2, "I")}, {_step("e3", 2, "I")}) AS e2, e3 FROM way w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+        best AS (SELECT conv_id, CAST(substr(e, 1, 8) AS BIGINT) AS cost, substr(e, 9) AS audit FROM (SELECT conv_id, least(e0, e3, {_step("e2", 2, "I")}, {_step("l2", 2, "I")}) AS e FROM (SELECT way.*, least({_step("e0", 2, "I")}, {_step("e1", 2, "I")}) AS l2 FROM way JOIN st ON st.conv_id IS NOT DISTINCT FROM way.conv_id AND way.i = st.n))),
+        l AS (SELECT *, substr(audit, p, 1) AS a FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS p FROM best)),
+        q AS (SELECT *, count(*) FILTER (WHERE a <> 'I') OVER w AS i, count(*) FILTER (WHERE a <> 'D') OVER w AS k FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+        z AS (SELECT q.conv_id, k, a, role, text, max(CASE WHEN k = 1 AND a = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY q.conv_id) AS has_s FROM q LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i AND a IN ('K', 'R') WHERE a <> 'D'),
+        t AS (SELECT conv_id, sha256(string_agg(CASE WHEN a = 'K' THEN role WHEN (k - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN a = 'I' THEN '' ELSE text END, chr(10) ORDER BY k)) AS h FROM z GROUP BY conv_id)
+        SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN st ON st.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Levels come one after the other: node lists of each run, then what a row's digest is folded with.
+_MERKLE = f"""{_CRC_TABLE}, a AS (SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_crc("doc_id::VARCHAR")} % 5 = 0 THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} ELSE {_leaf("text")} END AS tried FROM documents, crc),
+        b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, tried) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM a),
+        lower_ AS (SELECT source, i, n, 0 AS level, leaf AS node FROM b UNION ALL SELECT source, i // 16, (n + 15) // 16, level + 1, sha256(string_agg(node, '' ORDER BY i)) FROM lower_ WHERE n > 1 GROUP BY source, i // 16, n, level),
+        subs AS (SELECT source, node, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM lower_ WHERE n = 1),
+        upper_ AS (SELECT i, n, 0 AS level, node FROM subs UNION ALL SELECT i // 16, (n + 15) // 16, level + 1, sha256(string_agg(node, '' ORDER BY i)) FROM upper_ WHERE n > 1 GROUP BY i // 16, n, level),
+        runs AS (SELECT source, level, i // 16 AS run, list(node ORDER BY i) AS nodes FROM lower_ WHERE n > 1 GROUP BY source, level, i // 16), top_runs AS (SELECT level, i // 16 AS run, list(node ORDER BY i) AS nodes FROM upper_ WHERE n > 1 GROUP BY level, i // 16),
+        up AS (SELECT b.source, b.i AS w, b.i, 0 AS level, tried AS folded, '' AS proof FROM b UNION ALL
+        SELECT up.source, w, i // 16, up.level + 1, sha256(array_to_string(list_slice(nodes, 1, i % 16) || [folded] || list_slice(nodes, i % 16 + 2, 16), '')), proof || array_to_string(list_slice(nodes, 1, i % 16) || list_slice(nodes, i % 16 + 2, 16), '') FROM up JOIN runs ON runs.source IS NOT DISTINCT FROM up.source AND runs.level = up.level AND run = i // 16),
+        mid AS (SELECT source, w, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM up GROUP BY source, w),
+        high AS (SELECT mid.source, w, s.i, 0 AS level, folded, proof FROM mid JOIN subs s ON s.source IS NOT DISTINCT FROM mid.source UNION ALL
+        SELECT high.source, w, i // 16, high.level + 1, sha256(array_to_string(list_slice(nodes, 1, i % 16) || [folded] || list_slice(nodes, i % 16 + 2, 16), '')), proof || array_to_string(list_slice(nodes, 1, i % 16) || list_slice(nodes, i % 16 + 2, 16), '') FROM high JOIN top_runs ON top_runs.level = high.level AND run = i // 16),
+        ends AS (SELECT source, w, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM high GROUP BY source, w), root AS (SELECT node AS root FROM upper_ WHERE n = 1)
+        SELECT doc_id, leaf, s.node AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM b JOIN ends e ON e.source IS NOT DISTINCT FROM b.source AND e.w = b.i JOIN subs s ON s.source IS NOT DISTINCT FROM b.source, root"""
+
+_EMBEDDINGS = f"""v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT r, e, coalesce(len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0, FALSE) AS good FROM v),
+        links AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND CASE WHEN a.good AND b.good AND len(a.e) = len(b.e) THEN list_cosine_similarity(list_transform(a.e, lambda x: coalesce(x, 0)), list_transform(b.e, lambda x: coalesce(x, 0))) >= {embedding_dedup.COSINE}::DOUBLE ELSE FALSE END), reach AS (SELECT r AS a, r AS b FROM v UNION SELECT x.a, l.b FROM reach x JOIN links l ON x.b = l.a),
+        c AS (SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a), n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)"""
+
 ORACLES: dict[str, str] = {
+    "op11_min_plus_repair": f"WITH RECURSIVE {_REPAIR}",
+    "op12_merkle_manifest": f"WITH RECURSIVE {_MERKLE}",
+    "op13_e8_lattice": f"WITH RECURSIVE {_EMBEDDINGS}",
     "op1_dart_minhash": f"WITH RECURSIVE {_NEAR} SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS n_docs, doc_id = class_id AS keep FROM classes",
     "op3_weighted_url_vocabulary": f"""WITH {_rules(URL_RULES)}, u AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
         h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u), hp AS (SELECT *, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import fingerprint, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
+from starloom.llm import conversation_repair, embedding_dedup, fingerprint, licenses, line_dedup, merkle, mixing, near_dedup, packing, quality, sharding, substring_dedup, url_filter
 from starloom.llm.common import read_table, shared_dir, text_of, written
 
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -70,6 +70,18 @@ def op10_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compared_to_next(docs)
 
 
+def op11_min_plus_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
+def op13_e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,5 +95,8 @@ QUERIES = {
         op8_license_blocks,
         op9_sum_of_squares_packing,
         op10_closed_syncmers,
+        op11_min_plus_repair,
+        op12_merkle_manifest,
+        op13_e8_lattice,
     )
 }
