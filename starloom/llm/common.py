@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,20 @@ def shielded(docs: DataFrame, names: set[str]) -> tuple[DataFrame, dict[str, str
     return docs.withColumnsRenamed({c: hidden for hidden, c in back.items()}), back
 
 
+def shielding(*names: str) -> Callable:
+    """For an operator from documents to documents: columns of the input that are named like one that it uses inside come back unharmed."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def shielded_operator(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            inside, back = shielded(docs, set(names))
+            return operator(inside, *args, **kwargs).withColumnsRenamed(back)
+
+        return shielded_operator
+
+    return wrap
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

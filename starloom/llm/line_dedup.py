@@ -22,7 +22,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, ascii_lower, delete_path, shared_dir, text_of
+from starloom.llm.common import Scratch, ascii_lower, delete_path, shared_dir, shielding, text_of
 
 MIN_CHARS, MIN_DOCS = 40, 5
 FAN_IN, BATCHES, BUCKET_ROWS = 3, 4, 1_000_000
@@ -126,6 +126,7 @@ def line_table(docs: DataFrame, text: str, key: str, min_chars: int) -> DataFram
     return keyed.groupBy("doc_id", "row_hash", *_KEY).agg(F.collect_list("place").alias("places"))
 
 
+@shielding("__line_hash", "__line_drop", "__line_id", "__line_row")
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """docs with the text without its dropped lines, n_lines (before) and n_dropped."""
     docs = docs.drop(*({"n_lines", "n_dropped"} - {text, key}))

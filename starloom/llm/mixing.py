@@ -4,8 +4,9 @@ Every document draws a 60-bit hash of its id and text. A source that needs a fra
 whose hash lies under a threshold, and the threshold is found without sorting: words are summed by source and hash bucket,
 the bucket that holds the budget is the boundary, and only this one is split further, level by level, until it holds a
 single hash. All sources are refined at once; what is gathered is a histogram of at most ``2**BITS`` buckets a source.
-Rows that repeat as a whole share their hash. Where such rows are the boundary, they are told apart by a second draw from
-their place in the written table, by the same histograms; they are alike, so reruns agree whichever of them are taken.
+Rows alike in id and text share their hash. Where such rows are the boundary, they are told apart by a second draw from
+all their columns, by the same histograms, and only rows alike in every column by their place in the written table; reruns
+agree whichever of these are taken.
 
 Documents of null or empty text have size 0 and are taken 0 words. A null source is a source of its own, last in order. A
 null id is an id like any other. Reruns agree, whatever the partitioning. Extra columns are carried along; the operator's
@@ -20,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from starloom.llm.common import Scratch, text_of, word_count, written
+from starloom.llm.common import Scratch, shielding, text_of, word_count, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BITS, LEVELS = 12, 5
+ALIKE_BITS = 20
 ADDED = {"size", "source_size", "target", "copies", "taken"}
 
 
@@ -100,7 +102,10 @@ def _nearer() -> Column:
 def sized(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs with size and what they draw, written once: mix_sized() reads no text."""
     docs = docs.drop(*(ADDED - {text, source, key}))
-    place = F.shiftright(F.xxhash64(F.monotonically_increasing_id()), 4).bitwiseAND(F.lit((1 << 60) - 1))
+    # of rows that share a draw the whole row decides, and only between rows alike in every column their place
+    row = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    low = F.lit((1 << ALIKE_BITS) - 1)
+    place = F.shiftright(row, 4).bitwiseAND(F.lit((1 << 60) - 1).bitwiseAND(F.bitwise_not(low))).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(low))
     return docs.withColumns({"size": word_count(F.col(text)), "__mix_hash": draw(F.col(key), text_of(text)), "__mix_place": place})
 
 
@@ -130,6 +135,7 @@ def mix_sized(table: DataFrame, source: str = "source", weights: Sequence[float]
     return out.withColumn("copies", copies).withColumn("taken", F.col("size") * F.col("copies")).drop("__mix_hash", "__mix_place", *(c for c in plan.columns if c.startswith("__mix")))
 
 
+@shielding("__mix_hash", "__mix_place", "__mix_plan", "__mix_whole", "__mix_under", "__mix_at", "__mix_place_under")
 def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """docs with size, source_size, target, copies and taken."""
     return mix_sized(written(sized(docs, text, source, key), "mixing-sized"), source, weights, cap)

@@ -143,8 +143,11 @@ ORACLES: dict[str, str] = {
         FROM w LEFT JOIN r USING (doc_id) LEFT JOIN ln USING (doc_id)), j AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS sy, n_dup_lines / greatest(n_lines, 1) AS dl, n_repeat_words / greatest(n_words, 1) AS rp, word_chars / greatest(n_words, 1) AS wl FROM m),
         k AS (SELECT *, base_failed OR sy > {quality.MAX_SYMBOLS_PER_WORD}::DOUBLE OR dl > {quality.MAX_DUP_LINES}::DOUBLE OR rp > {quality.MAX_REPEAT_SHARE}::DOUBLE OR wl NOT BETWEEN {quality.WORD_LENGTH[0]} AND {quality.WORD_LENGTH[1]} AS bad, sy > {quality.SEVERE_SYMBOLS_PER_WORD}::DOUBLE OR dl > {quality.SEVERE_DUP_LINES}::DOUBLE AS severe FROM j),
         h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE bad) AS b FROM k GROUP BY source), a AS (SELECT sum(b) / sum(n) AS mean, sum(n) AS docs, count(*) AS hosts FROM h), q AS (SELECT mean, mean * (1 - mean) AS noise, (sum(n * pow(b / n - mean, 2)) - mean * (1 - mean) * any_value(hosts)) / any_value(docs) AS between_ FROM h, a GROUP BY mean),
-        st AS (SELECT mean, CASE WHEN between_ > 0 THEN least({quality.MAX_STRENGTH}::DOUBLE, greatest(1.0::DOUBLE, noise / between_ - 1)) ELSE {quality.MAX_STRENGTH}::DOUBLE END AS s FROM q),
-        z AS (SELECT source, rate - mean >= {quality.TAIL_DEVIATIONS}::DOUBLE * sqrt(rate * (1 - rate) / (n + s + 1)) AS bad_host FROM (SELECT source, n, mean, s, (b + s * mean) / (n + s) AS rate FROM h, st))
+        st AS (SELECT mean, between_, greatest(1.0::DOUBLE, noise / between_ - 1) AS s FROM q),
+        y AS (SELECT source, (rate - {quality.LIFT}::DOUBLE * mean) / sqrt(rate * (1 - rate) / (n + s + 1)) AS z FROM (SELECT source, n, mean, s, (b + s * mean) / (n + s) AS rate FROM h, st WHERE between_ > 0) WHERE rate * (1 - rate) > 0),
+        er AS (SELECT source, 1 / (1 + exp(z * {quality.TAIL[0]}::DOUBLE + z * z * z * {quality.TAIL[1]}::DOUBLE)) AS error FROM y), sp AS (SELECT floor(error * {quality.STEPS}) AS step, sum(error) AS e, count(*) AS c FROM er GROUP BY 1),
+        cu AS (SELECT max(step) AS upto FROM (SELECT step, sum(e) OVER (ORDER BY step) AS e, sum(c) OVER (ORDER BY step) AS c FROM sp) WHERE e <= {quality.FALSE_SHARE}::DOUBLE * c),
+        z AS (SELECT h.source, coalesce(floor(error * {quality.STEPS}) <= (SELECT upto FROM cu), FALSE) AS bad_host FROM h LEFT JOIN er ON er.source IS NOT DISTINCT FROM h.source)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT severe AND NOT (bad AND bad_host) AS kept, bad_host FROM k JOIN z ON k.source IS NOT DISTINCT FROM z.source""",
     "op8_license_blocks": f"""WITH {_PHRASES}, {_TEMPLATES}, w AS (SELECT doc_id, {_LICENSE_WORDS} AS ws FROM documents), pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
         b AS (SELECT doc_id, i - 1 AS i, label FROM pos JOIN phrases ON ws[i] = p[1] AND list_slice(ws, i, i + len(p) - 1) = p), base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),

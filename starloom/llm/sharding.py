@@ -9,11 +9,12 @@ whole files and writes them together, without a shuffle.
 
 Several writers may work on one store. A run is written under a name of its own and counts only once a manifest lists it.
 A version is committed by giving a finished manifest a name that must be new, in one step that fails if it is not (a hard
-link on a local file system, a rename that doesn't replace elsewhere), so of two writers one wins; the other takes up the
+link on a local file system; elsewhere a rename that doesn't replace, which is one step on HDFS and its like, but not on
+plain object stores: these need a store with conditional puts in front), so of two writers one wins; the other takes up the
 new version and tries again. An append always succeeds in the end; a merge is given up if another writer has replaced one
 of its runs. A commit fails rather than list a run whose files are gone.
 
-vacuum() removes runs that a manifest replaced at least ``retention_s`` ago, and runs that no manifest ever listed once
+vacuum() removes runs that a manifest replaced at least ``retention_s`` ago, with the manifests before it, and runs that no manifest ever listed once
 they are older than ``grace_s``: what a lost writer left. A run that is being written or waits for its commit is younger,
 and stays.
 
@@ -40,7 +41,13 @@ from pyspark.sql import types as T
 TARGET_BYTES, FAN_IN, TIER_RATIO = 128 << 20, 4, 4.0
 GRACE_S, RETENTION_S = 86_400.0, 86_400.0
 TRIES, MOST_BROADCAST_RUNS = 50, 100_000
-_BATCH = "__batch"
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """name, or the first longer one that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
 
 
 class CommitConflict(RuntimeError):
@@ -163,18 +170,19 @@ class ShardStore:
 
     def stage(self, rows: DataFrame, batch: str | None = None) -> list[Run]:
         """Writes rows as runs that no manifest lists yet, one for each value of the int column batch, all in one pass."""
-        rows = rows.withColumn(_BATCH, F.lit(0)) if batch is None else rows.withColumnRenamed(batch, _BATCH)
+        own = _free("__batch", rows.columns)
+        rows = rows.withColumn(own, F.lit(0)) if batch is None else rows.withColumnRenamed(batch, own)
         folder = f"run-{uuid.uuid4().hex}"
-        rows.write.partitionBy(_BATCH).parquet(f"{self.root}/{folder}")
-        names = [x.getPath().getName() for x in self._status(f"{self.root}/{folder}") if x.getPath().getName().startswith(f"{_BATCH}=")]
+        rows.write.partitionBy(own).parquet(f"{self.root}/{folder}")
+        names = [x.getPath().getName() for x in self._status(f"{self.root}/{folder}") if x.getPath().getName().startswith(f"{own}=")]
         if not names:
             return []
-        counts = self.spark.read.schema(f"{_BATCH} int").parquet(f"{self.root}/{folder}").groupBy(_BATCH).count().collect()  # a row a batch, from the footers
+        counts = self.spark.read.schema(f"`{own}` int").parquet(f"{self.root}/{folder}").groupBy(own).count().collect()  # a row a batch, from the footers
         found = {}
         for name in names:
             sizes = [x.getLen() for x in self._status(f"{self.root}/{folder}/{name}") if x.getPath().getName().endswith(".parquet")]
             found[int(name.partition("=")[2])] = (f"{folder}/{name}", sum(sizes), len(sizes))
-        return [Run(found[r[_BATCH]][0], r["count"], *found[r[_BATCH]][1:]) for r in sorted(counts, key=lambda r: r[_BATCH])]
+        return [Run(found[r[own]][0], r["count"], *found[r[own]][1:]) for r in sorted(counts, key=lambda r: r[own])]
 
     def append(self, arrivals: DataFrame) -> int:
         """A new run of the arrivals' rows, one shard a partition; the new version."""
@@ -218,17 +226,20 @@ class ShardStore:
         now, versions = time.time(), self.versions()
         if not versions:
             return
-        live, listed, replaced = {r.name for r in self.manifest(versions[-1])[1]}, set(), set()
+        known = {v: {r.name for r in self.manifest(v)[1]} for v in versions}
+        live, listed, replaced, over = known[versions[-1]], set(), set(), []
         for old, new in zip(versions[:-1], versions[1:], strict=True):
-            names = {r.name for r in self.manifest(old)[1]}
-            listed |= names
+            listed |= known[old]
             if now - self._fs.getFileStatus(self._path(self._manifest_path(new))).getModificationTime() / 1000 >= retention_s:
-                replaced |= names - {r.name for r in self.manifest(new)[1]}
+                replaced |= known[old] - known[new]
+                over.append(old)
         self._remove(n for n in replaced - live if self._fs.exists(self._path(f"{self.root}/{n}")))
-        known = {n.partition("/")[0] for n in live | listed}
+        for old in over:  # no reader needs a version replaced so long ago, and the next vacuum needn't read it
+            self._fs.delete(self._path(self._manifest_path(old)), False)
+        folders = {n.partition("/")[0] for n in live | listed}
         for x in self._status(self.root):
             name = x.getPath().getName()
-            if name.startswith("run-") and name not in known and now - x.getModificationTime() / 1000 >= grace_s:
+            if name.startswith("run-") and name not in folders and now - x.getModificationTime() / 1000 >= grace_s:
                 self._fs.delete(x.getPath(), True)
 
     def read(self, schema: T.StructType) -> DataFrame:
@@ -239,11 +250,12 @@ class ShardStore:
         if not runs:
             return rows.select(*names, F.lit("").alias("shard"), F.lit(version).alias("version"), F.lit(0).alias("tier"))
         parts = F.split(F.col("_metadata.file_path"), "/")
-        place = {"__run": F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2)), "shard": F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2), F.element_at(parts, -1))}
-        tiers = self.spark.createDataFrame([(r.name, r.tier) for r in runs], "__run string, tier int")
+        run = _free("__run", rows.columns)
+        place = {run: F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2)), "shard": F.concat_ws("/", F.element_at(parts, -3), F.element_at(parts, -2), F.element_at(parts, -1))}
+        tiers = self.spark.createDataFrame([(r.name, r.tier) for r in runs], f"`{run}` string, tier int")
         if len(runs) <= MOST_BROADCAST_RUNS:
             tiers = F.broadcast(tiers)  # about 100 bytes a run, so 10 MB at most; with more runs Spark chooses
-        return rows.select(*names, *(c.alias(n) for n, c in place.items())).join(tiers, "__run").select(*names, "shard", F.lit(version).alias("version"), "tier")
+        return rows.select(*names, *(c.alias(n) for n, c in place.items())).join(tiers, run).select(*names, "shard", F.lit(version).alias("version"), "tier")
 
 
 def shard_by_arrival(docs: DataFrame, root: str, key: str = "doc_id", arrivals: int = 4, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> DataFrame:
@@ -253,7 +265,8 @@ def shard_by_arrival(docs: DataFrame, root: str, key: str = "doc_id", arrivals:
     are removed as soon as they are replaced.
     """
     store = ShardStore(docs.sparkSession, root, target_bytes, fan_in)
-    for run in store.stage(docs.withColumn(_BATCH, F.pmod(F.xxhash64(key), F.lit(arrivals)).cast("int")), _BATCH):
+    batch = _free("__arrival", docs.columns)
+    for run in store.stage(docs.withColumn(batch, F.pmod(F.xxhash64(key), F.lit(arrivals)).cast("int")), batch):
         store.publish([run])
         store.settle(docs.schema, retention_s=0)
     return store.read(docs.schema)

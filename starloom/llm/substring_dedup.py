@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.llm.common import Scratch, U, _powers, grams, hashed_words, mix, pieces, text_of
+from starloom.llm.common import Scratch, U, _powers, grams, hashed_words, mix, pieces, shielding, text_of
 from starloom.llm.fm_index import FmIndex
 
 WINDOW, GRAM = 35, 8
@@ -128,6 +128,7 @@ def repeated_stretches(shard: pa.Table, window: int) -> pa.Table:
     return pa.table({"k1": k1, "k2": k2, "first": first[picked].astype(np.int32), "size": size[picked].astype(np.int32)})
 
 
+@shielding("__r1", "__r2", "__row1", "__row2", "__spots")
 def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs with the words that stay, joined by one space, as text; n_words before and n_removed."""
     docs = docs.drop(*({"n_words", "n_removed"} - {text, key}))

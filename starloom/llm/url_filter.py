@@ -12,19 +12,21 @@ replace input columns of the same name. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from pathlib import Path
+from importlib.resources import files
+from importlib.resources.abc import Traversable
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.common import LOWER, UPPER, ascii_lower
+from starloom.llm.common import LOWER, UPPER, ascii_lower, shielding
 
-TERMS_FILE = Path(__file__).with_name("url_terms.txt")
+#: Beside this module, also where the package is shipped as a zip.
+TERMS_FILE = files(__package__) / "url_terms.txt"
 
 
-def terms(file: Path = TERMS_FILE) -> dict[str, tuple[str, ...]]:
+def terms(file: Traversable = TERMS_FILE) -> dict[str, tuple[str, ...]]:
     """Terms by section ([strict], [soft]) of a vocabulary file: words between white space, lines from # left out."""
     out: dict[str, tuple[str, ...]] = {}
     section = ""
@@ -99,6 +101,7 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return F.when(F.size(fits) > 0, best)
 
 
+@shielding("__url_hits", "__url_rule")
 def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = (), strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_needed: int = SOFT_NEEDED) -> DataFrame:
     """pages with host, path, rule, verdict (allow or block), and the terms found: strict_terms, soft_terms.
 
