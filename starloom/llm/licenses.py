@@ -1,7 +1,7 @@
 """License scans: fixed phrases, and an exact set-similarity join of text blocks with license templates.
 
-Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. Templates are whole license
-texts and notices from a file. A template of n words is looked for in blocks of a power of two of words, BLOCK at least and
+Words are runs of ASCII letters and digits and of characters beyond ASCII, A-Z lower-cased. Templates are notices and single
+paragraphs of licenses from a file, not whole licenses. A template of n words is looked for in blocks of a power of two of words, BLOCK at least and
 2 n at least, each half a block behind the one before, so any passage of n words lies inside a block. The join finds every
 block that holds at least CONTAINMENT of a template's distinct words:
 
@@ -11,6 +11,10 @@ block that holds at least CONTAINMENT of a template's distinct words:
 - length filter: and if it holds at least ``needed`` distinct template words;
 - positional filter: a template is given up once the words that it has missed leave fewer than needed.
 
+A notice of fewer than SHORT words is a phrase, and its words alone prove little. A block that holds enough of them must
+also hold them in the notice's order and near each other: in a run of words a quarter longer than the notice, CONTAINMENT of
+its distinct words stand in the order of the notice. Its containment is the share of those.
+
 Null text is empty and has no words, no label and score 0. Very long texts are read whole, block by block. Repeated rows
 are judged alike. Extra columns stay; result columns replace input columns of the same name. An empty table gives an empty
 result.
@@ -19,8 +23,10 @@ result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
-from pathlib import Path
+from importlib.resources import files
+from importlib.resources.abc import Traversable
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +38,12 @@ from starloom.llm.common import hashed_words, pieces
 
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-TEMPLATES_FILE = Path(__file__).with_name("license_templates.txt")
-BLOCK, CONTAINMENT = 64, 0.9
+#: Beside this module, also where the package is shipped as a zip.
+TEMPLATES_FILE = files(__package__) / "license_templates.txt"
+BLOCK, CONTAINMENT, SHORT = 64, 0.9, 24
 
 
-def templates_of(file: Path = TEMPLATES_FILE) -> tuple[tuple[str, str], ...]:
+def templates_of(file: Traversable = TEMPLATES_FILE) -> tuple[tuple[str, str], ...]:
     """(label, words) of each text in a template file: words as in documents, joined by one space."""
     out: list[tuple[str, str]] = []
     for line in file.read_text("utf-8").splitlines():
@@ -53,6 +60,12 @@ def block_of(words: str, least: int = BLOCK) -> int:
     return max(least, 1 << (2 * len(words.split()) - 1).bit_length())
 
 
+def run_of(words: str) -> int:
+    """The length of the runs of words in which a short notice must stand; 0 for a longer text."""
+    n = len(words.split())
+    return n + n // 4 if n < SHORT else 0
+
+
 _GAP = np.ones(256, bool)
 _GAP[0x30:0x3A] = _GAP[0x61:0x7B] = _GAP[0x80:] = False
 
@@ -107,6 +120,8 @@ class Templates:
         rank = {w: i for i, w in enumerate(self.order)}
         self.labels = [label for label, _ in templates]
         self.sets = [sorted({rank[w] for w in words.split()}) for _, words in templates]
+        self.runs = [run_of(words) for _, words in templates]
+        self.places = [{rank[w]: i for i, w in enumerate(dict.fromkeys(words.split()))} for _, words in templates]
         self.needed = [max(1, int(np.ceil(containment * len(s) - 1e-9))) for s in self.sets]
         self.index: dict[int, list[int]] = {}
         for t, words in enumerate(self.sets):
@@ -114,9 +129,24 @@ class Templates:
                 self.index.setdefault(w, []).append(t)
         self.least = min(self.needed, default=1)
 
-    def contained(self, block: set[int]) -> dict[int, float]:
-        """Containment of each template that reaches the threshold in the block's set of word ranks."""
+    def in_order(self, t: int, block: list[int]) -> float:
+        """The largest share of a short notice's distinct words that stand in its order in one run of the block."""
+        at = [(i, self.places[t][w]) for i, w in enumerate(block) if w in self.places[t]]
+        most = 0
+        for k, (start, _) in enumerate(at):
+            ends: list[int] = []  # of the longest rising sequences of places
+            for i, place in at[k:]:
+                if i >= start + self.runs[t]:
+                    break
+                j = bisect_left(ends, place)
+                ends[j : j + 1] = [place]
+            most = max(most, len(ends))
+        return most / len(self.places[t])
+
+    def contained(self, words_of_block: list[int]) -> dict[int, float]:
+        """Containment of each template that reaches the threshold in the block, given as word ranks."""
         out = {}
+        block = set(words_of_block) - {-1}
         if len(block) < self.least:
             return out
         for t in {t for w in block for t in self.index.get(w, ())}:
@@ -129,7 +159,9 @@ class Templates:
                 if missed > may_miss:
                     break
             else:
-                out[t] = (len(words) - missed) / len(words)
+                share = self.in_order(t, words_of_block) if self.runs[t] else (len(words) - missed) / len(words)
+                if share * len(words) >= self.needed[t] - 1e-9:
+                    out[t] = share
         return out
 
 
@@ -144,7 +176,7 @@ def _matching_blocks(ranks: np.ndarray, first: np.ndarray, known: Templates, siz
     wanted = np.unique(np.stack([np.concatenate([doc, doc[at > 0]]), np.concatenate([at, at[at > 0] - 1])]), axis=1)
     for d, b in wanted.T.tolist():
         start = int(first[d]) + b * half
-        inside = set(ranks[start : min(start + size, int(first[d + 1]))].tolist()) - {-1}
+        inside = ranks[start : min(start + size, int(first[d + 1]))].tolist()
         for t, c in sorted(known.contained(inside).items()):
             yield d, {"start": b * half, "label": known.labels[t], "containment": c}
 

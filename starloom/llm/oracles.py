@@ -28,7 +28,7 @@ _NEAR = f"""w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 
 _LICENSE_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PHRASES = "phrases(label, p) AS (VALUES " + ", ".join(f"('{label}', {_LIST(p.split())})" for label, p in licenses.PHRASES) + ")"
-_TEMPLATES = "templates(label, t, size) AS (VALUES " + ", ".join(f"('{label}', list_distinct({_LIST(t.split())}), {licenses.block_of(t)})" for label, t in licenses.TEMPLATES) + ")"
+_TEMPLATES = "templates(label, t, size, run) AS (VALUES " + ", ".join(f"('{label}', {_LIST(dict.fromkeys(t.split()))}, {licenses.block_of(t)}, {licenses.run_of(t)})" for label, t in licenses.TEMPLATES) + ")"
 
 
 def _one_of(words: str) -> list[str]:
@@ -152,7 +152,10 @@ ORACLES: dict[str, str] = {
     "op8_license_blocks": f"""WITH {_PHRASES}, {_TEMPLATES}, w AS (SELECT doc_id, {_LICENSE_WORDS} AS ws FROM documents), pos AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
         b AS (SELECT doc_id, i - 1 AS i, label FROM pos JOIN phrases ON ws[i] = p[1] AND list_slice(ws, i, i + len(p) - 1) = p), base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
         blocks AS (SELECT doc_id, size, list_slice(ws, k * size // 2 + 1, k * size // 2 + size) AS bw FROM (SELECT doc_id, ws, size, unnest(range(0, (len(ws) + size // 2 - 1) // (size // 2))) AS k FROM w, (SELECT DISTINCT size FROM templates) WHERE list_has_any(ws, {_LIST(_NEEDED)}))),
-        c AS (SELECT doc_id, label, len(list_intersect(t, bw)) / len(t) AS c FROM blocks JOIN templates USING (size) WHERE len(bw) >= 1 AND list_has_any(t, bw) AND len(list_intersect(t, bw)) >= ceil({licenses.CONTAINMENT}::DOUBLE * len(t) - 1e-9)),
+        c0 AS (SELECT doc_id, label, t, run, bw, len(list_intersect(t, bw)) / len(t) AS c, ceil({licenses.CONTAINMENT}::DOUBLE * len(t) - 1e-9) AS needed FROM blocks JOIN templates USING (size) WHERE len(bw) >= 1 AND list_has_any(t, bw) AND len(list_intersect(t, bw)) >= ceil({licenses.CONTAINMENT}::DOUBLE * len(t) - 1e-9)),
+        runs AS (SELECT doc_id, label, len(t) AS n, needed, list_prepend(list_transform(t, lambda x: 0), list_transform(list_filter(list_transform(list_slice(bw, k, k + run - 1), lambda x: coalesce(list_position(t, x), 0)), lambda x: x > 0), lambda x: [x])) AS places FROM (SELECT *, unnest(range(1, len(bw) + 1)) AS k FROM c0 WHERE run > 0) WHERE list_position(t, bw[k]) > 0),
+        rising AS (SELECT doc_id, label, n, needed, list_max(list_reduce(places, lambda most, x: list_transform(range(1, n + 1), lambda k: CASE WHEN k = x[1] THEN greatest(most[k], 1 + coalesce(list_max(list_slice(most, 1, k - 1)), 0)) ELSE most[k] END))) AS found FROM runs),
+        c AS (SELECT doc_id, label, c FROM c0 WHERE run = 0 UNION ALL SELECT doc_id, label, found / n FROM rising WHERE found >= needed),
         every AS (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM c), labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id), score AS (SELECT doc_id, max(c) AS c FROM c GROUP BY doc_id)
         SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(c, 0) END AS score
         FROM w LEFT JOIN base USING (doc_id) LEFT JOIN labels USING (doc_id) LEFT JOIN score USING (doc_id)""",

@@ -790,3 +790,20 @@ def test_compared_to_next_against_a_plain_table(spark):
 def test_word_hashes_do_not_depend_on_their_place():
     hashes, first, starts, stops = hashed_words([b"a bb a", b"", b"bb  a"])
     assert list(first) == [0, 3, 3, 5] and hashes[0] == hashes[2] == hashes[4] and hashes[1] == hashes[3]
+
+
+def test_short_notices_need_their_order(spark):
+    """Texts that hold all words of a notice somewhere, and texts that bear it."""
+    bare = [
+        "the book was released in may under a pseudonym; its author took a driving license test near mit",
+        "photo licensed to us, see section 4 page 0; by john, cc to mary, under embargo, nc state",
+        "released in may under the terms: mit people hold a license",
+        "version 2 of the apache story was licensed under duress, the license has 0 pages",
+        "license mit the under released",
+    ]
+    real = [("Released under the MIT License.", "mit"), ("it was released yesterday under the MIT license and so on", "mit"), ("Licensed under the Apache License, Version 2.0", "apache-2")]
+    texts_ = bare + [f"{prose(i, 70)} {t} {prose(i + 9, 70)}" for i, t in enumerate(bare)] + [t for t, _ in real] + [f"{prose(i, 90)} {t} {prose(i + 50, 90)}" for i, (t, _) in enumerate(real)]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(table(spark, [(i, t, "a") for i, t in enumerate(texts_)])).collect()}
+    n = 2 * len(bare)
+    assert [got[i] for i in range(n)] == [""] * n
+    assert [got[i] for i in range(n, len(texts_))] == [label for _, label in real] * 2
