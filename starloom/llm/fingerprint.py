@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from starloom.llm.common import U, mix
 
 K, S = 24, 8
-RANGE_BYTES, MOST_RANGES = 32 << 20, 16_384
+RANGE_BYTES, MOST_RANGES = 4 << 20, 16_384
 OUT_BYTES = 8 << 20  # of fingerprints in a result batch, or one row
 _M = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0xD6E8FEB86659FD93)]
 
@@ -170,30 +170,57 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halve, lambda at: F.lit(len(cuts)) - at["low"])
 
 
+def _prefix(text: Column) -> Column:
+    """The first seven bytes of a text as a number, in the order of texts."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
+def crowded_ids(slim: DataFrame, cuts: list[int], range_bytes: int, most: int = MOST_RANGES) -> dict[int | None, list[int]]:
+    """Ids that hold more than one range of text (null is one that may), each with the prefixes that cut its texts.
+
+    Such an id is a cut itself, so only cuts and null are looked at.
+    """
+    own = slim.where(F.col("doc_id").isin(cuts) | F.col("doc_id").isNull()) if cuts else slim.where(F.col("doc_id").isNull())
+    sizes = own.groupBy("doc_id").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).where(F.col("bytes") > range_bytes).collect()
+    out: dict[int | None, list[int]] = {}
+    for r in sizes:  # fewer than there are ranges
+        n = min(most, -(-r.bytes // range_bytes))
+        grid = own.where(F.col("doc_id").eqNullSafe(F.lit(r.doc_id))).agg(F.percentile_approx(_prefix(F.col("text")), [i / n for i in range(1, n)], 10 * n)).first()[0]
+        out[r.doc_id] = sorted(set(grid or []))
+    return {k: v for k, v in out.items() if v}
+
+
 def next_to_each_other(docs: DataFrame, text: str, key: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, text, bucket, extra), sorted in each partition so that a document is followed by the one of next smaller id.
 
     Ids are cut into ranges of about range_bytes of text, each a partition of its own, so texts are shuffled once and never
-    sorted as a whole. The first document of a range is also sent, as extra, to the range above it, where it follows the
-    last; the largest id follows the smallest.
+    sorted as a whole. An id that holds more than a range is cut further, by how its texts begin. The first document of a
+    range is also sent, as extra, to the range above it, where it follows the last; the largest id follows the smallest.
     """
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cuts = range_cuts(slim, "text", "doc_id", range_bytes)
-    placed = slim.withColumn("bucket", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_range_of(F.col("doc_id"), cuts)).cast("int"))
-    heads = sorted((r.bucket, r.head) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # a row a range
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    wanted = F.col("doc_id").isin([h for h in before if h is not None])
-    if None in before:
-        wanted = wanted | F.col("doc_id").isNull()
-    extra = slim.where(wanted).select("doc_id", "text", _lookup(before).alias("bucket"), F.lit(1).alias("extra"))
+    crowded = crowded_ids(slim, cuts, range_bytes)
+    # ranges of ids, each followed by the further ranges of the crowded id that is its smallest
+    more = {len(cuts) + 1 if i is None else sum(c > i for c in cuts): len(prefixes) for i, prefixes in crowded.items()}
+    starts, upto = [], 0
+    for bucket in range(len(cuts) + 2):
+        starts.append(upto)
+        upto += 1 + more.get(bucket, 0)
+    within = F.lit(0)
+    for i, prefixes in crowded.items():
+        begins = F.size(F.filter(F.array(*map(F.lit, prefixes)), lambda p: p <= _prefix(F.col("text"))))
+        within = F.when(F.col("doc_id").eqNullSafe(F.lit(i)), begins).otherwise(within)
+    bucket = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(_range_of(F.col("doc_id"), cuts)).cast("int")
+    placed = slim.withColumn("bucket", (F.get(F.array(*map(F.lit, starts)), bucket) + within).cast("int"))
+    first = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", (-_prefix(F.col("text"))).alias("prefix"))).alias("head")
+    heads = sorted((r.bucket, r.head.doc_id, -r.head.prefix) for r in placed.groupBy("bucket").agg(first).collect())  # a row a range
+    before = [(head, prefix, heads[i - 1][0]) for i, (_, head, prefix) in enumerate(heads)]
+    known = slim.sparkSession.createDataFrame(before, "head long, prefix long, bucket int")
+    own = slim.where(F.col("doc_id").isin([h for h, *_ in before if h is not None]) | (F.col("doc_id").isNull() if None in {h for h, *_ in before} else F.lit(False)))
+    same = F.col("doc_id").eqNullSafe(F.col("head")) & (_prefix(F.col("text")) == F.col("prefix"))
+    extra = own.join(F.broadcast(known), same).select("doc_id", "text", "bucket", F.lit(1).alias("extra"))  # a row a range
     both = placed.withColumn("extra", F.lit(0)).unionByName(extra)
-    return both.repartitionById(len(cuts) + 2, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
-
-
-def _lookup(before: dict[int | None, int]) -> Column:
-    known = [F.lit(x) for h, b in before.items() if h is not None for x in (h, b)]
-    of_id = F.create_map(*known)[F.col("doc_id")] if known else F.lit(None)
-    return F.when(F.col("doc_id").isNull(), F.lit(before.get(None))).otherwise(of_id).cast("int")
+    return both.repartitionById(upto, "bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def compared_to_next(docs: DataFrame, text: str = "text", key: str = "doc_id", range_bytes: int = RANGE_BYTES) -> DataFrame:

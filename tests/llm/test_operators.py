@@ -807,3 +807,19 @@ def test_short_notices_need_their_order(spark):
     n = 2 * len(bare)
     assert [got[i] for i in range(n)] == [""] * n
     assert [got[i] for i in range(n, len(texts_))] == [label for _, label in real] * 2
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_crowded_id_is_cut(spark, hot):
+    """A third of the rows of one id (or of none), which lie in many ranges and still follow one another."""
+    r = random.Random(4)
+    rows = [(i, prose(i, 30)) for i in range(5, 65)] + [(hot, f"{r.randrange(10**6)} {prose(100 + i, 30)}") for i in range(30)] + [(hot, "same text")] * 3
+    df = table(spark, [(i, t, "a") for i, t in rows])
+    parts = fingerprint.next_to_each_other(df, "text", "doc_id", 1000).where("extra = 0").groupBy(F.spark_partition_id().alias("p")).agg(F.count_if(F.col("doc_id").eqNullSafe(F.lit(hot))).alias("n")).collect()
+    assert len(parts) > 12 and sum(x.n > 0 for x in parts) > 5
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    want = Counter()
+    for (i, t), (_, other) in zip(order, order[1:] + order[:1], strict=True):
+        want[i, hashlib.sha256(fingerprint.edited(t, other).encode()).hexdigest(), fingerprint.fingerprint(t)] += 1
+    got = Counter((x.doc_id, x.edited_sha256, x.fingerprint) for x in fingerprint.compared_to_next(df, range_bytes=1000).collect())
+    assert got == want
