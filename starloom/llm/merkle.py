@@ -221,7 +221,7 @@ def manifest(docs: DataFrame, fan_in: int = FAN_IN, lift: int = LIFT, top: int =
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: one row a document."""
     spark, shape = docs.sparkSession, _Shape(fan_in, lift, top)
     scratch = Scratch(spark, "merkle")
-    rows = numbered(leaves(docs), ["source"], ["doc_id", "leaf"], scratch)
+    rows = numbered(scratch.write(leaves(docs), "leaves"), ["source"], ["doc_id", "leaf"], scratch)  # texts are read once
     nodes = rows.select(F.col("source").alias("tree"), "idx", "n", F.col("leaf").alias("node"), "doc_id", "tried")
     stages, tops, count = climbed(nodes.select("tree", "idx", "n", "node"), shape, scratch)
     if count <= top:
