@@ -1,9 +1,7 @@
-"""Cells from positions, masks and cones, reprojection, canvases, and stars found in frames."""
+"""Cells from positions, masks and cones, reprojection and canvases."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from starloom.functions.geo import separation_deg
 from starloom.operators.archives import pixel_to_sky, sky_to_pixel
 
 LEAST_SHARE, ELIGIBLE_SHARE, LEAST_TILE = 0.01, 0.7, 0.005
-SIGMAS, LEAST_STARS = 5.0, 5
 
 
 def cone_cells(spark: SparkSession, ra: float, dec: float, radius: float, order: int, most: int = 4096) -> DataFrame:
@@ -99,38 +96,3 @@ def render_problems(weights: DataFrame, inventory: DataFrame) -> DataFrame:
     sides = weights.select("source", F.lit("w").alias("side")).unionByName(inventory.select("source", F.lit("i").alias("side"))).groupBy("source").agg(F.max("side").alias("most"), F.min("side").alias("least"))
     odd = sides.where("least = most").select(F.when(F.col("most") == "i", "unused-source").otherwise("unknown-source").alias("problem"))
     return bad.unionByName(odd).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-
-
-def detected(pixels: DataFrame, sigmas: float = SIGMAS) -> DataFrame:
-    """Stars of each frame (frame, y, x, value): peaks over the background by so many sigmas, with flux and axes a, b from the moments of 5 by 5 pixels.
-
-    The background is the frame's median, its noise 1.4826 times the median deviation. A peak is a bright pixel with no
-    brighter neighbour (of equal ones the first in reading order); peaks meet their neighbourhood by a join on pixels.
-    """
-    level = pixels.groupBy("frame").agg(F.median("value").alias("level"))
-    off = pixels.join(level, "frame").withColumn("value", F.col("value") - F.col("level")).drop("level")
-    noise = off.groupBy("frame").agg((F.median(F.abs("value")) * 1.4826).alias("noise"))
-    bright = off.join(noise, "frame").where((F.col("noise") > 0) & (F.col("value") > sigmas * F.col("noise")))
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in range(-2, 3) for j in range(-2, 3))))
-    asked = bright.select("frame", F.col("y").alias("py"), F.col("x").alias("px"), F.col("value").alias("peak"), "noise", around.alias("n"))
-    asked = asked.select("*", (F.col("py") + F.col("n.dy")).alias("y"), (F.col("px") + F.col("n.dx")).alias("x"))
-    met = asked.join(off, ["frame", "y", "x"])
-    dx, dy, v = F.col("n.dx"), F.col("n.dy"), F.greatest(F.col("value"), F.lit(0.0))
-    close = (F.abs(dx) <= 1) & (F.abs(dy) <= 1)
-    earlier = (dy < 0) | ((dy == 0) & (dx < 0))
-    beaten = close & ((F.col("value") > F.col("peak")) | ((F.col("value") == F.col("peak")) & earlier))
-    sums = met.groupBy("frame", "py", "px", "noise").agg(F.max(beaten).alias("beaten"), F.sum(v).alias("flux"), F.sum(v * dx).alias("mx"), F.sum(v * dy).alias("my"), F.sum(v * dx * dx).alias("xx"), F.sum(v * dy * dy).alias("yy"), F.sum(v * dx * dy).alias("xy"))
-    peaks = sums.where(~F.col("beaten")).select("frame", F.col("py").alias("y"), F.col("px").alias("x"), "noise", "flux", *((F.col(n) / F.col("flux")).alias(n) for n in ("mx", "my", "xx", "yy", "xy")))
-    c = F.col
-    peaks = peaks.withColumns({"vx": c("xx") - c("mx") * c("mx"), "vy": c("yy") - c("my") * c("my"), "vxy": c("xy") - c("mx") * c("my")})
-    half, root = (c("vx") + c("vy")) / 2, F.sqrt(F.pow((c("vx") - c("vy")) / 2, 2) + c("vxy") * c("vxy"))
-    axis = lambda s: F.sqrt(F.greatest(half + s * root, F.lit(1e-4)))
-    return peaks.select("frame", "y", "x", "noise", "flux", axis(1).alias("a"), axis(-1).alias("b"))
-
-
-def frame_quality(stars: DataFrame, scale: float) -> DataFrame:
-    """Medians over a frame's stars: full width at half maximum, eccentricity, signal to noise; frames with fewer than LEAST_STARS have none."""
-    a, b = F.col("a"), F.col("b")
-    shape = stars.select("frame", (F.sqrt(a * b) * 2.354820045).alias("fwhm"), F.sqrt(F.least(F.greatest(1 - b * b / (a * a), F.lit(0.0)), F.lit(1.0))).alias("ecc"), (F.col("flux") / (F.col("noise") * F.sqrt(F.greatest(F.lit(1.0), math.pi * a * b)))).alias("snr"))
-    out = shape.groupBy("frame").agg((F.median("fwhm") * scale).alias("fwhm_arcsec"), F.median("ecc").alias("eccentricity"), F.greatest(F.lit(0.0), F.median("snr")).alias("signal_to_noise"), F.count(F.lit(1)).alias("stars"))
-    return out.where(F.col("stars") >= LEAST_STARS).withColumn("tracking_error", F.col("eccentricity") >= 0.8)

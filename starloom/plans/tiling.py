@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from starloom.functions import geo as G
 from starloom.functions import healpix as H
 from starloom.functions.maths import half_up, steady
+from starloom.operators import extraction as E
 from starloom.operators import mosaic as M
 from starloom.operators import tiling as T
 from starloom.sources import tables as S
@@ -99,13 +100,17 @@ def _frames(s, d):
     return base.select("frame", "y", "x", (F.col("v") + spot).cast("double").alias("value"))
 
 
+MESH = 16
+
+
 def r04_detections(s, d):
-    return _round(T.detected(_frames(s, d)), 6, "noise", "flux", "a", "b")
+    """Sources of frames: regions over a meshed background."""
+    return _round(E.detected(_frames(s, d), MESH, strip=8), 6, "noise", "flux", "peak", "cy", "cx", "a", "b")
 
 
 def a34_frame_quality(s, d):
-    stars = written(T.detected(_frames(s, d)), "stars")
-    return _round(T.frame_quality(stars, 1.5), 6, "fwhm_arcsec", "eccentricity", "signal_to_noise")
+    sources = written(E.detected(_frames(s, d), MESH, strip=8), "sources")
+    return _round(E.frame_quality(sources, 1.5), 6, "fwhm_arcsec", "eccentricity", "signal_to_noise")
 
 
 def m26_view_places(s, d):
@@ -209,13 +214,28 @@ def _aligned_sql(source: dict[str, float], target: dict[str, float], width: int,
         s AS (SELECT tx, ty, sum(w * value) AS v, sum(w) AS f FROM n JOIN image USING (x, y) WHERE w > 0 GROUP BY ALL) SELECT ty AS y, tx AS x, {_R("v / f", 5)} AS value FROM s WHERE f > {least}::DOUBLE"""
 
 
-_DETECTED = """base AS (SELECT l_orderkey // 1500 AS frame, l_suppkey * 17 % 50 AS y, l_partkey * 13 % 60 AS x, sum(CAST(floor(l_quantity) AS BIGINT)) % 40 AS v FROM lineitem GROUP BY ALL),
- pixels AS (SELECT frame, y, x, CAST(v + greatest(0, 900 - 260 * ((x % 12 - 5) * (x % 12 - 5) + (y % 10 - 4) * (y % 10 - 4))) AS DOUBLE) AS value FROM base), o AS (SELECT frame, y, x, value - median(value) OVER (PARTITION BY frame) AS v FROM pixels),
- z AS (SELECT *, median(abs(v)) OVER (PARTITION BY frame) * 1.4826::DOUBLE AS noise FROM o), p AS (SELECT * FROM z WHERE noise > 0 AND v > 5 * noise),
- m AS (SELECT p.frame, p.y AS py, p.x AS px, p.v AS peak, p.noise, q.y - p.y AS dy, q.x - p.x AS dx, q.v AS raw, greatest(q.v, 0) AS v FROM p JOIN o q ON q.frame = p.frame AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.x BETWEEN p.x - 2 AND p.x + 2),
- s AS (SELECT frame, py, px, noise, sum(v) AS flux, sum(v * dx) / sum(v) AS mx, sum(v * dy) / sum(v) AS my, sum(v * dx * dx) / sum(v) AS xx, sum(v * dy * dy) / sum(v) AS yy, sum(v * dx * dy) / sum(v) AS xy FROM m GROUP BY frame, py, px, noise
- HAVING NOT bool_or(abs(dx) <= 1 AND abs(dy) <= 1 AND (raw > peak OR (raw = peak AND (dy < 0 OR (dy = 0 AND dx < 0)))))), w AS (SELECT *, xx - mx * mx AS vx, yy - my * my AS vy, xy - mx * my AS vxy FROM s),
- e AS (SELECT *, (vx + vy) / 2 AS half, sqrt(pow((vx - vy) / 2, 2) + vxy * vxy) AS root FROM w), stars AS (SELECT frame, py AS y, px AS x, noise, flux, sqrt(greatest(half + root, 1e-4::DOUBLE)) AS a, sqrt(greatest(half - root, 1e-4::DOUBLE)) AS b FROM e)"""
+def _clip_sql() -> str:
+    """CTEs c0, c1, ...: each box's values with their mean m and deviation s, clipped once more by each."""
+    moments = "SELECT *, sqrt(greatest(list_sum(list_transform(l, lambda v: v * v)) / len(l) - m * m, 0)) AS s FROM (SELECT *, list_sum(l) / len(l) AS m FROM ({}))"
+    out = [f"c0 AS ({moments.format('SELECT * FROM box')})"]
+    out += [f"c{k} AS ({moments.format(f'SELECT frame, \"by\", bx, list_filter(l, lambda v: abs(v - m) <= {E.CLIP} * s) AS l FROM c{k - 1}')})" for k in range(1, E.CLIPS + 1)]
+    return ", ".join(out)
+
+
+_CLIPS = _clip_sql()
+_NEAR = ", ".join(f'max(CASE WHEN b."by" - a."by" = {i - 1} AND b.bx - a.bx = {j - 1} THEN b.level END) AS n{i}{j}' for i in range(3) for j in range(3))
+_DETECTED = f"""base AS (SELECT l_orderkey // 1500 AS frame, l_suppkey * 17 % 50 AS y, l_partkey * 13 % 60 AS x, sum(CAST(floor(l_quantity) AS BIGINT)) % 40 AS v FROM lineitem GROUP BY ALL),
+ pixels AS (SELECT frame, y, x, CAST(v + greatest(0, 900 - 260 * ((x % 12 - 5) * (x % 12 - 5) + (y % 10 - 4) * (y % 10 - 4))) AS DOUBLE) AS value FROM base), box AS (SELECT frame, y // {MESH} AS "by", x // {MESH} AS bx, list_sort(list(value)) AS l FROM pixels GROUP BY ALL), {_CLIPS},
+ md AS (SELECT *, (l[(len(l) + 1) // 2] + l[len(l) // 2 + 1]) / 2 AS med FROM c{E.CLIPS}), mesh AS (SELECT frame, "by", bx, CASE WHEN abs(m - med) <= 0.3::DOUBLE * s THEN 2.5::DOUBLE * med - 1.5::DOUBLE * m ELSE med END AS level, s AS sigma FROM md),
+ smooth AS (SELECT a.frame, a."by", a.bx, median(b.level) AS level, median(b.sigma) AS sigma FROM mesh a JOIN mesh b ON a.frame = b.frame AND abs(a."by" - b."by") <= 1 AND abs(a.bx - b.bx) <= 1 GROUP BY ALL), noisy AS (SELECT frame, median(sigma) AS noise FROM smooth GROUP BY frame HAVING median(sigma) > 0),
+ near AS (SELECT a.frame, a."by", a.bx, {_NEAR} FROM smooth a JOIN smooth b ON a.frame = b.frame AND abs(a."by" - b."by") <= 1 AND abs(a.bx - b.bx) <= 1 GROUP BY ALL),
+ placed AS (SELECT pixels.frame, y, x, value, (y + 0.5::DOUBLE) / {MESH} - 0.5::DOUBLE - "by" AS v, (x + 0.5::DOUBLE) / {MESH} - 0.5::DOUBLE - bx AS u, {", ".join(f"coalesce(n{i}{j}, n11) AS n{i}{j}" for i in range(3) for j in range(3))} FROM pixels JOIN near ON near.frame = pixels.frame AND "by" = y // {MESH} AND bx = x // {MESH}),
+ rows3 AS (SELECT *, {", ".join(f"n{i}1 + CASE WHEN u < 0 THEN (n{i}1 - n{i}0) * u ELSE (n{i}2 - n{i}1) * u END AS r{i}" for i in range(3))} FROM placed), o AS (SELECT frame, y, x, value - (r1 + CASE WHEN v < 0 THEN (r1 - r0) * v ELSE (r2 - r1) * v END) AS v FROM rows3),
+ bright AS (SELECT o.frame, y, x, v, noise FROM o JOIN noisy ON noisy.frame = o.frame WHERE v > 5 * noise), reach AS (SELECT frame, y, x, y AS ly, x AS lx FROM bright UNION SELECT r.frame, r.y, r.x, b.y, b.x FROM reach r JOIN bright b ON b.frame = r.frame AND abs(b.y - r.ly) <= 1 AND abs(b.x - r.lx) <= 1),
+ lab AS (SELECT frame, y, x, min(ly * 100000 + lx) AS label FROM reach GROUP BY ALL), rel AS (SELECT frame, label // 100000 AS y0, label % 100000 AS x0, noise, v, y - label // 100000 AS dy, x - label % 100000 AS dx FROM lab JOIN bright USING (frame, y, x)),
+ m AS (SELECT frame, y0, x0, noise, count(*) AS area, sum(v) AS flux, max(v) AS peak, sum(v * dx) / sum(v) AS mx, sum(v * dy) / sum(v) AS my, sum(v * dx * dx) / sum(v) AS xx, sum(v * dy * dy) / sum(v) AS yy, sum(v * dx * dy) / sum(v) AS xy FROM rel GROUP BY ALL HAVING count(*) >= 5),
+ w0 AS (SELECT *, xx - mx * mx AS vx0, yy - my * my AS vy0, xy - mx * my AS vxy FROM m), w AS (SELECT *, vx0 + t AS vx, vy0 + t AS vy FROM (SELECT *, CASE WHEN vx0 * vy0 - vxy * vxy < 0.00694::DOUBLE THEN 1 / 12 ELSE 0 END AS t FROM w0)),
+ e AS (SELECT *, (vx + vy) / 2 AS half, sqrt(pow((vx - vy) / 2, 2) + vxy * vxy) AS root FROM w), stars AS (SELECT frame, y0 AS y, x0 AS x, noise, area, flux, peak, y0 + my AS cy, x0 + mx AS cx, sqrt(greatest(half + root, 0)) AS a, sqrt(greatest(half - root, 0)) AS b FROM e)"""
 
 _STEREO = lambda alt, az: (f"(sin(radians({alt})) * sin(radians(35.0::DOUBLE)) + cos(radians({alt})) * cos(radians(35.0::DOUBLE)) * cos(radians({az} - 120)))", f"cos(radians({alt})) * sin(radians({az} - 120))", f"(sin(radians({alt})) * cos(radians(35.0::DOUBLE)) - cos(radians({alt})) * sin(radians(35.0::DOUBLE)) * cos(radians({az} - 120)))")
 _Z, _X, _Y = _STEREO("alt", "azimuth")
@@ -238,8 +258,8 @@ ORACLES = {
         SELECT p_partkey, {_R("scale", 9)} AS scale, width, height, width * height * 4 + 65536 AS bytes, width * height * 4 + 65536 <= most AND scale <= native * 2.5::DOUBLE AS ok FROM z""",
     "r15_render_problems": f"""WITH {_BASE}, {S.FRAMES}, {_COVER}, {_SHARES}, q AS (SELECT "order", "index", user_id AS source, CASE WHEN "index" % 29 = 0 THEN share * 2 ELSE share END AS weight FROM shares), i AS (SELECT s_suppkey + CASE WHEN s_suppkey % 9 = 0 THEN 5000 ELSE 0 END AS source FROM supplier),
         p AS (SELECT 'weights' AS problem FROM q GROUP BY "order", "index" HAVING abs(sum(weight) - 1) > 1e-9 OR min(weight) <= 0 UNION ALL SELECT 'unused-source' FROM (SELECT source FROM i EXCEPT SELECT source FROM q) UNION ALL SELECT 'unknown-source' FROM (SELECT source FROM q EXCEPT SELECT source FROM i)) SELECT problem, count(*) AS n FROM p GROUP BY problem""",
-    "r04_detections": f"WITH {_DETECTED} SELECT frame, y, x, {_R('noise', 6)} AS noise, {_R('flux', 6)} AS flux, {_R('a', 6)} AS a, {_R('b', 6)} AS b FROM stars",
-    "a34_frame_quality": f"""WITH {_DETECTED}, q AS (SELECT frame, median(sqrt(a * b) * 2.354820045::DOUBLE) * 1.5::DOUBLE AS fwhm, median(sqrt(least(greatest(1 - b * b / (a * a), 0), 1))) AS ecc, greatest(0, median(flux / (noise * sqrt(greatest(1, pi() * a * b))))) AS snr, count(*) AS stars FROM stars GROUP BY frame)
+    "r04_detections": f"WITH RECURSIVE {_DETECTED} SELECT frame, y, x, {_R('noise', 6)} AS noise, area, {_R('flux', 6)} AS flux, {_R('peak', 6)} AS peak, {_R('cy', 6)} AS cy, {_R('cx', 6)} AS cx, {_R('a', 6)} AS a, {_R('b', 6)} AS b FROM stars",
+    "a34_frame_quality": f"""WITH RECURSIVE {_DETECTED}, q AS (SELECT frame, median(sqrt(a * b) * 2.354820045::DOUBLE) * 1.5::DOUBLE AS fwhm, median(sqrt(least(greatest(1 - b * b / (a * a), 0), 1))) AS ecc, greatest(0, median(flux / (noise * sqrt(greatest(1, pi() * a * b))))) AS snr, count(*) AS stars FROM stars WHERE a > 0 AND b > 0 AND flux > 0 GROUP BY frame)
         SELECT frame, {_R("fwhm", 6)} AS fwhm_arcsec, {_R("ecc", 6)} AS eccentricity, {_R("snr", 6)} AS signal_to_noise, stars, ecc >= 0.8::DOUBLE AS tracking_error FROM q WHERE stars >= 5""",
     "m26_view_places": f"""WITH {S.OBJECTS}, t AS (SELECT object_id, CASE WHEN ra - 350 > 180 THEN ra - 710 WHEN ra - 350 < -180 THEN ra + 10 ELSE ra - 350 END AS turn, "dec" FROM objects) SELECT object_id, {_R("450 + turn / 90 * 900", 6)} AS x, {_R('300 - ("dec" - 10) / 60 * 600', 6)} AS y FROM t""",
     "m25_unprojected": f"""WITH p AS (SELECT event_id, (event_id % 41 - 20) / 12.0::DOUBLE AS x, (event_id * 7 % 37 - 18) / 12.0::DOUBLE AS y FROM events), r AS (SELECT *, sqrt(x * x + y * y) AS r FROM p), t AS (SELECT *, 2 * atan(r / 2) AS th FROM r), s AS (SELECT *, CASE WHEN r > 0 THEN sin(th) / r ELSE 1 END AS s FROM t),
@@ -251,5 +271,5 @@ ORACLES = {
         SELECT observation_id FROM v WHERE z >= -0.6::DOUBLE AND alt >= -2 AND px BETWEEN -20 AND 920 AND py BETWEEN -20 AND 620""",
     "m38_frame_positions": f"""WITH {S.OBJECTS}, r AS (SELECT object_id, ra, "dec", object_id % 5 / 4.0::DOUBLE AS radius, ra + object_id % 17 / 4.0::DOUBLE AS mra, greatest(-90, least(90, "dec" + object_id % 11 / 4.0::DOUBLE)) AS mdec FROM objects)
         SELECT object_id FROM r WHERE degrees(acos(least(greatest(sin(radians(mdec)) * sin(radians("dec")) + cos(radians(mdec)) * cos(radians("dec")) * cos(radians(mra - ra)), -1), 1))) > greatest(1.0::DOUBLE, radius * 4) + 1e-9""",
-    "e53_sampled": f"""WITH {_DETECTED.split(" o AS (")[0].rstrip().rstrip(",")}, st AS (SELECT frame, greatest(1, CAST(ceil(greatest(max(y), max(x)) / 20.0::DOUBLE) AS INT)) AS step FROM pixels GROUP BY frame) SELECT frame, y, x, value FROM pixels JOIN st USING (frame) WHERE y % step = 0 AND x % step = 0""",
+    "e53_sampled": f"""WITH {_DETECTED.split(" box AS (")[0].rstrip().rstrip(",")}, st AS (SELECT frame, greatest(1, CAST(ceil(greatest(max(y), max(x)) / 20.0::DOUBLE) AS INT)) AS step FROM pixels GROUP BY frame) SELECT frame, y, x, value FROM pixels JOIN st USING (frame) WHERE y % step = 0 AND x % step = 0""",
 }
