@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starloom.functions.maths import clamp
+from starloom.operators.quantiles import exact_quantiles
 
 PIXEL = ["y", "x"]
 EPS32 = 1.1920928955078125e-07
@@ -28,7 +29,7 @@ def master_frame(pixels: DataFrame) -> DataFrame:
 
 def calibrated(light: DataFrame, bias: DataFrame, dark: DataFrame, flat: DataFrame, dark_scale: float = 1.0, least_flat: float = 0.05) -> DataFrame:
     """(light - bias - dark * scale) / flat, the flat over its own median; masked where the flat is too dim."""
-    level = flat.agg(F.median("value").alias("level"))
+    level = exact_quantiles(flat.withColumn("flat", F.lit(0)), "flat", [0.5]).select(F.col("value").alias("level"))
     rows = light.join(bias.withColumnRenamed("value", "b"), PIXEL, "left").join(dark.withColumnRenamed("value", "d"), PIXEL, "left").join(flat.withColumnRenamed("value", "f"), PIXEL, "left")
     rows = rows.crossJoin(F.broadcast(level))  # one row
     norm = F.col("f") / F.col("level")
@@ -36,15 +37,24 @@ def calibrated(light: DataFrame, bias: DataFrame, dark: DataFrame, flat: DataFra
     return rows.select("frame", *PIXEL, F.when(F.col("f").isNull(), value).when(norm > least_flat, value / norm).alias("value"))
 
 
+def _median(ordered: Column) -> Column:
+    n = F.size(ordered)
+    return (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+
+
 def sigma_clipped(pixels: DataFrame, sigmas: float = 3.0) -> DataFrame:
-    """Weighted mean of each pixel over frames, without values off its median by more than sigmas * 1.4826 * MAD."""
-    good = pixels.where(seen())
-    centre = good.groupBy(*PIXEL).agg(F.median("value").alias("med"))
-    off = good.join(centre, PIXEL).withColumn("dev", F.abs(F.col("value") - F.col("med")))
-    spread = off.groupBy(*PIXEL).agg(F.median("dev").alias("mad"))
+    """Weighted mean of each pixel over frames, without values off its median by more than sigmas * 1.4826 * MAD.
+
+    A pixel's values, one a frame, are gathered once and clipped in place: one shuffle.
+    """
+    rows = pixels.where(seen()).groupBy(*PIXEL).agg(F.array_sort(F.collect_list(F.struct("value", "weight"))).alias("vs"))
+    rows = rows.withColumn("med", _median(F.transform("vs", lambda r: r["value"])))
+    rows = rows.withColumn("mad", _median(F.array_sort(F.transform("vs", lambda r: F.abs(r["value"] - F.col("med"))))))
     sigma, tolerance = 1.4826 * F.col("mad"), EPS32 * F.greatest(F.lit(1.0), F.abs("med"))
-    kept = off.join(spread, PIXEL).where(F.when(sigma > tolerance, F.col("dev") <= sigmas * sigma).otherwise(F.col("dev") <= tolerance))
-    return kept.groupBy(*PIXEL).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"), F.count(F.lit(1)).alias("kept"))
+    rows = rows.withColumn("most", F.when(sigma > tolerance, sigmas * sigma).otherwise(tolerance))
+    rows = rows.withColumn("kept", F.filter("vs", lambda r: F.abs(r["value"] - F.col("med")) <= F.col("most")))
+    total = lambda f: F.aggregate("kept", F.lit(0.0), lambda a, r: a + f(r))
+    return rows.select(*PIXEL, (total(lambda r: r["weight"] * r["value"]) / total(lambda r: r["weight"])).alias("value"), F.size("kept").cast("long").alias("kept"))
 
 
 def coadded(pixels: DataFrame) -> DataFrame:
@@ -58,8 +68,9 @@ def coverage(stack: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def display_limits(pixels: DataFrame, low: float = 0.005, high: float = 0.997) -> DataFrame:
-    """Exact percentiles of each frame's values."""
-    return pixels.where(seen()).groupBy("frame").agg(F.percentile("value", F.lit(low)).alias("low"), F.percentile("value", F.lit(high)).alias("high"))
+    """Exact percentiles of each frame's values, whatever the frames' size."""
+    found = exact_quantiles(pixels.where(seen()), "frame", [low, high])
+    return found.groupBy("frame").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 def stretched(pixels: DataFrame, limits: DataFrame) -> DataFrame:
