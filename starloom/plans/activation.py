@@ -12,7 +12,8 @@ from starloom.functions import healpix as H
 from starloom.operators import activation as A
 from starloom.operators import mosaic as M
 from starloom.sources import tables as S
-from starloom.sources.storage import written
+from starloom.sources.publication import Published
+from starloom.sources.storage import scratch, written
 
 def _plan(s, d):
     top = M.object_cells(S.objects(s, d), (9,)).select((F.col("object_id") % 25).cast("int").alias("generation"), F.col("cell9").alias("index")).distinct()
@@ -77,7 +78,10 @@ def q21_activated(s, d):
     number = F.row_number().over(W.partitionBy("layer").orderBy("generation"))
     rows = S.table(s, d, "orders").select((F.col("o_custkey") % 60).alias("layer"), k.alias("generation"), F.when(k % 5 == 0, "complete").when(k % 5 < 4, "verifying").otherwise("building").alias("status")).withColumn("number", number)
     problems = S.table(s, d, "lineitem").where("l_quantity > 35").select(F.col("l_orderkey").alias("generation"), F.lit("inventory").alias("problem"))
-    return A.activated(rows, problems)
+    # published as a whole, and read through the pointer
+    after, place = A.activated(rows, problems), Published(s, scratch(s, "activated"))
+    place.publish(written(after, "after"))
+    return place.read(after.schema)
 
 
 def u3_added_up(s, d):

@@ -23,6 +23,7 @@ from starloom.operators import status as P
 from starloom.plans.astro import LAT, LON, NOW
 from starloom.sources import readers
 from starloom.sources import tables as S
+from starloom.sources.publication import Published
 from starloom.sources.storage import scratch, written
 
 
@@ -119,20 +120,23 @@ def s21_tree_inventory(s, d):
 
 
 def s22_pointer(s, d):
-    """A pointer that is overwritten with each generation: readers see the last one."""
-    path = scratch(s, "pointer")
+    """A pointer that moves with each generation, in one step: readers see the last one, and find one at any time."""
+    place = Published(s, scratch(s, "pointer"))
     newest = None
     for part in range(3):
         newest = S.table(s, d, "orders").where(F.col("o_orderkey") % 3 <= part).agg(F.max("o_orderkey").alias("generation"), F.count(F.lit(1)).alias("sources"))
-        readers.overwrite_pointer(newest, path)
-    return readers.read_pointer(s, path, newest.schema)
+        place.publish(newest)
+    return place.read(newest.schema)
 
 
 def s25_federated(s, d):
     """Rows of all sources that answered; a source that failed is left out, and only if all fail is that an error."""
+    broken = scratch(s, "broken-source")
+    s.createDataFrame([("not a Parquet file",)], "value string").write.text(broken)
+
     def source(n: int) -> DataFrame:
-        if n == 2:
-            raise ValueError("source is down")
+        if n == 2:  # breaks while it is read
+            return s.read.schema("p_partkey long, source int").parquet(broken)
         return S.table(s, d, "part").where(F.col("p_partkey") % 4 == n).select("p_partkey", F.lit(n).alias("source"))
 
     return readers.answered([lambda n=n: source(n) for n in range(4)])

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starloom.functions.maths import steady
+from starloom.operators import coadd as C
 from starloom.operators import raster as P
 from starloom.sources import tables as S
+from starloom.sources.publication import Published
+from starloom.sources.storage import scratch
 
 
 def pixels(s, d):
@@ -35,7 +38,17 @@ def r16_composite(s, d):
     return _round(P.composite(pixels(s, d).select(F.col("frame").alias("layer"), "y", "x", "value", (F.col("frame") % 4 / 4.0).alias("alpha"))), 6, "value")
 
 
+def r12_coadd(s, d):
+    """Frames added in three batches, one of them sent twice and one frame in two batches; the rows are those of one pass."""
+    place = Published(s, scratch(s, "coadd"))
+    frames = pixels(s, d)
+    for some in ("frame IN (7, 2, 5)", "frame IN (3, 7)", "frame IN (3, 7)", "frame IN (1, 4, 6)"):
+        C.added(place, frames.where(some))
+    return _round(C.result(place), 6, "value")
+
+
 QUERIES = {
+    "r12_coadd": r12_coadd,
     "a28_master_frame": lambda s, d: _round(P.master_frame(pixels(s, d)), 6, "value"),
     "a29_sigma_clipped": lambda s, d: _round(P.sigma_clipped(pixels(s, d)), 6, "value"),
     "a30_coadded": lambda s, d: _round(P.coadded(pixels(s, d)), 6, "value"),
@@ -59,6 +72,7 @@ ORACLES = {
     "a29_sigma_clipped": f"""WITH {_PIXELS}, m AS (SELECT *, median(value) OVER (PARTITION BY y, x) AS med FROM pixels), o AS (SELECT *, abs(value - med) AS dev FROM m), s AS (SELECT *, 1.4826::DOUBLE * median(dev) OVER (PARTITION BY y, x) AS sigma FROM o),
         k AS (SELECT *, 1.1920928955078125e-07::DOUBLE * greatest(1, abs(med)) AS tol FROM s) SELECT y, x, {_R("sum(weight * value) / sum(weight)")} AS value, count(*) AS kept FROM k WHERE CASE WHEN sigma > tol THEN dev <= 3 * sigma ELSE dev <= tol END GROUP BY ALL""",
     "a30_coadded": f"WITH {_PIXELS}, {_COADD} SELECT y, x, {_R('value')} AS value, weight, depth FROM coadd",
+    "r12_coadd": f"WITH {_PIXELS}, {_COADD} SELECT y, x, {_R('value')} AS value, weight, depth FROM coadd",
     "a31_coverage": f"WITH {_PIXELS}, {_COADD} SELECT {_R('count(*) / 1000000', 9)} AS covered, {_R('avg(depth)', 9)} AS mean_depth, max(depth) AS max_depth FROM coadd",
     "a32_display_limits": f"WITH {_PIXELS}, {_LIMITS} SELECT frame, {_R('low')} AS low, {_R('high')} AS high FROM limits",
     "a33_downsampled": f"WITH {_PIXELS} SELECT frame, y // 4 AS y, x // 4 AS x, {_R('avg(value)')} AS value, count(*) AS n FROM pixels GROUP BY ALL",

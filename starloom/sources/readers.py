@@ -12,10 +12,10 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from starloom.functions.maths import half_up
 from starloom.operators.rollups import streamed_sha256
+from starloom.sources.storage import written
 
 #: Fixed values of the FITS format.
 BLOCK, CARD = 2880, 80
@@ -82,21 +82,16 @@ def write_objects(objects: DataFrame, folder: str) -> None:
     objects.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
-def overwrite_pointer(row: DataFrame, path: str) -> None:
-    """Replaces a one-row table as a whole."""
-    row.coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def read_pointer(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
 def answered(sources: list[Callable[[], DataFrame]]) -> DataFrame:
-    """The union of the sources that answer; an error only if none does."""
+    """The union of the sources that answer; an error only if none does.
+
+    Spark reads late, so a source has answered when all its rows have been read: they are written, and the union is of what
+    was written. A source that fails at any point before gives no row.
+    """
     found, errors = [], []
     for source in sources:
         try:
-            found.append(source())
+            found.append(written(source(), "source"))
         except Exception as e:  # whatever keeps a source from answering
             errors.append(e)
     if not found:
