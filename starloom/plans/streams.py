@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from starloom.sources import tables as S
 from starloom.streaming import observations as Z
+from starloom.streaming import stateful as T
+
+DELAY_S = 3600
+
+
+def z06_expiries(s, d):
+    """Leases of users that have expired by the time that the stream has reached: events are beats, six hours each."""
+    rows = T.in_order(Z.event_stream(s, d), T.Leases(Z.LEASE_S * 1000), "user_id", "event_id", "value", "ts", DELAY_S)
+    out = T.run_to_end(rows, "expiries").where("kind = 'expired'")
+    return out.select(F.col("key").alias("user_id"), "started_at", "last_at", "beats")
+
+
+def z07_released(s, d):
+    """Crossings of a level, of the rows that the stream has passed, in order of event time whatever their batches."""
+    rows = T.in_order(Z.event_stream(s, d), T.Crossings(Z.LEVEL), "user_id", "event_id", "value", "ts", DELAY_S)
+    out = T.run_to_end(rows, "released").where("kind = 'crossing'")
+    return out.select(F.col("key").alias("user_id"), "before_id", F.col("id").alias("event_id"))
+
 
 QUERIES = {
+    "z06_expiries": z06_expiries,
+    "z07_released": z07_released,
     "z02_sliding_counts": Z.sliding_counts,
     "z03_correlated": Z.correlated,
     "z04_counters": Z.counters,
@@ -17,7 +39,12 @@ QUERIES = {
     "z08_backfilled": Z.backfilled,
 }
 
+_PASSED = f"e AS (SELECT user_id, event_id, value, epoch_us(ts) // 1000 AS t, max(epoch_us(ts) // 1000) OVER () - {DELAY_S * 1000} AS mark FROM events), p AS (SELECT * FROM e WHERE t < mark)"
+
 ORACLES = {
+    "z06_expiries": f"""WITH {_PASSED}, g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= {Z.LEASE_S * 1000} THEN 0 ELSE 1 END AS fresh FROM p), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id) AS k FROM g)
+        SELECT user_id, min(t) AS started_at, max(t) AS last_at, count(*) AS beats FROM n GROUP BY user_id, k HAVING any_value(mark) - max(t) > {Z.LEASE_S * 1000}""",
+    "z07_released": f"""WITH {_PASSED}, l AS (SELECT user_id, event_id, value, lag(value) OVER o AS before, lag(event_id) OVER o AS before_id FROM p WINDOW o AS (PARTITION BY user_id ORDER BY t, event_id)) SELECT user_id, before_id, event_id FROM l WHERE before < {Z.LEVEL} AND value >= {Z.LEVEL}""",
     "z02_sliding_counts": """WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') - to_minutes(30 * k) AS from_at, event_type, value FROM events, range(0, 4) r(k))
         SELECT from_at, from_at + INTERVAL 2 HOUR AS to_at, event_type, count(*) AS n, floor(sum(value) * 100 + 0.5) / 100 AS total FROM w GROUP BY ALL""",
     "z03_correlated": f"""WITH {S.OBSERVATIONS}, a AS (SELECT event_id, user_id, ts, latitude, longitude FROM events JOIN observations ON observation_id = event_id WHERE event_type = 'error'), b AS (SELECT event_id, user_id, ts, latitude, longitude FROM events JOIN observations ON observation_id = event_id WHERE event_type = 'purchase'),
