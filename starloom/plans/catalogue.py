@@ -21,7 +21,7 @@ from starloom.operators import rollups as R
 from starloom.operators import sky as K
 from starloom.operators import status as P
 from starloom.plans.astro import LAT, LON, NOW
-from starloom.sources import readers
+from starloom.sources import fits, readers
 from starloom.sources import tables as S
 from starloom.sources.publication import Published
 from starloom.sources.storage import scratch, written
@@ -56,6 +56,17 @@ def s04_fits_images(s, d):
     return rows.select(F.col("header")["OBJECT"].alias("name"), "y", F.posexplode("values").alias("x", "value")).withColumn("value", F.col("value").cast("double"))
 
 
+def s04_fits_source(s, d):
+    """The same images through the data source, in ranges of a few rows each."""
+    k = F.col("s_suppkey")
+    values = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: ((k * 7 + i * i) % 1000).cast("float"))
+    folder = scratch(s, "fits")
+    fits_files(S.table(s, d, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("name"), F.lit(10).alias("width"), F.lit(6).alias("height"), values.alias("values")), folder)
+    fits.register(s)
+    rows = s.read.format("fits").option("cards", "OBJECT").option("rangeBytes", 3000).load(folder)
+    return rows.select(F.col("OBJECT").alias("name"), "y", F.posexplode("values").alias("x", "value")).withColumn("value", F.col("value").cast("double"))
+
+
 def s07_votables(s, d):
     """A VOTable written and read back; masked cells are null."""
     cell = lambda c: F.concat(F.lit("<TD>"), F.coalesce(c.cast("string"), F.lit("")), F.lit("</TD>"))
@@ -277,7 +288,7 @@ def r19_wcs_agreement(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        s01_with_parameters, s04_fits_images, s07_votables, s08_spaced_tables, s13_first_files, s14_science_files, s15_cache_paths, s18_master_files, s21_tree_inventory, s22_pointer, s25_federated, s26_batched_lookup, p34_seed_targets, p37_eligible_sources, q29_component_tiles, q31_incremental_run, q35_tool_answers, q39_run_statuses,
+        s01_with_parameters, s04_fits_images, s04_fits_source, s07_votables, s08_spaced_tables, s13_first_files, s14_science_files, s15_cache_paths, s18_master_files, s21_tree_inventory, s22_pointer, s25_federated, s26_batched_lookup, p34_seed_targets, p37_eligible_sources, q29_component_tiles, q31_incremental_run, q35_tool_answers, q39_run_statuses,
         a09_plan_json, a27_cell_weights, t07_by_name, j11_exists, j21_updated, u5_compare_and_set, e27_retried_runs, e35_eligible_tiles, e51_allsky_tiles, e52_plan_hashes, r19_wcs_agreement,
     )
 }
@@ -295,6 +306,7 @@ _GRID = f"""g AS (SELECT i, j, (i - (nx - 1) / 2.0::DOUBLE) * 25.5::DOUBLE AS x,
 
 ORACLES = {
     "s01_with_parameters": "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000 GROUP BY o_custkey",
+    "s04_fits_source": "SELECT 's' || s_suppkey AS name, i // 10 AS y, i % 10 AS x, CAST((s_suppkey * 7 + i * i) % 1000 AS DOUBLE) AS value FROM supplier, range(0, 60) r(i)",
     "s04_fits_images": "SELECT 's' || s_suppkey AS name, i // 10 AS y, i % 10 AS x, CAST((s_suppkey * 7 + i * i) % 1000 AS DOUBLE) AS value FROM supplier, range(0, 60) r(i)",
     "s07_votables": "SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, CASE WHEN p_size % 3 > 0 THEN CAST(p_size AS VARCHAR) END AS size FROM part",
     "s08_spaced_tables": "SELECT CAST(s_suppkey AS VARCHAR) AS key, 'f' || s_suppkey % 9 AS name, CAST(s_suppkey % 5 AS VARCHAR) AS band FROM supplier WHERE s_suppkey % 4 > 0",
