@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.functions import healpix as H
@@ -69,6 +70,21 @@ def footprints(frames: DataFrame) -> DataFrame:
     return frames.select("frame", F.array(*corners).alias("corners"))
 
 
+def footprint_rings(frames: DataFrame, samples: int = 16) -> DataFrame:
+    """(frame, n, ra, dec, continuous_ra): positions along each frame's edges, closed, with right ascension unwrapped along the ring."""
+    n, t = F.col("n"), F.col("n") % samples / samples
+    edge = F.floor(n / samples) % 4
+    x = F.when(edge == 0, t).when(edge == 1, 1.0).when(edge == 2, 1 - t).otherwise(0.0) * (F.col("width") - 1)
+    y = F.when(edge == 0, 0.0).when(edge == 1, t).when(edge == 2, 1.0).otherwise(1 - t) * (F.col("height") - 1)
+    rows = frames.select("frame", *GEOMETRY, F.explode(F.sequence(F.lit(0), F.lit(4 * samples))).alias("n")).withColumns({"px": x, "py": y})
+    ra, dec = sky_of(F.col("px"), F.col("py"))
+    ring = rows.select("frame", "n", ra.alias("ra"), dec.alias("dec"))
+    turn = W.partitionBy("frame").orderBy("n")
+    jump = F.col("ra") - F.lag("ra").over(turn)
+    ring = ring.withColumn("wrap", F.when(jump > 180, -360.0).when(jump < -180, 360.0).otherwise(0.0))
+    return ring.select("frame", "n", "ra", "dec", (F.col("ra") + F.sum("wrap").over(turn)).alias("continuous_ra"))
+
+
 def polygon_cover(polygons: DataFrame, order: int) -> DataFrame:
     """(frame, order, index, inside): the cells that convex polygons (frame, corners in turn) touch.
 

@@ -29,6 +29,21 @@ def cone_cells(spark: SparkSession, ra: float, dec: float, radius: float, order:
     return cells.select(F.lit(order).alias("order"), "index")
 
 
+def cones_cells(cones: DataFrame, key: str, order: int) -> DataFrame:
+    """(key, order, index) of many cones (key, ra, dec, radius in degrees): cells whose centre lies within the radius, and half a
+    cell around it. All cones are followed from the twelve base cells down at once, only along branches that can meet them."""
+    rows = cones.select(key, F.col("ra").alias("cone_ra"), F.col("dec").alias("cone_dec"), "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("index"))
+    levels = [*range(0, order, 2), order]
+    for last, o in zip([0, *levels], levels, strict=False):
+        if o:
+            step = 4 ** (o - last)
+            rows = rows.select(key, "cone_ra", "cone_dec", "radius", F.explode(F.sequence(F.col("index") * step, (F.col("index") + 1) * step - 1)).alias("index"))
+        far = separation_deg(F.col("centre_ra"), F.col("centre_dec"), F.col("cone_ra"), F.col("cone_dec"))
+        reach = F.col("radius") + H.widest_radius(o) + (H.widest_radius(order) if o < order else 0.0)
+        rows = H.with_centre(rows, "index", o).withColumn("far", far).where(F.col("far") <= reach).drop("centre_ra", "centre_dec", "far")
+    return rows.select(key, F.lit(order).alias("order"), "index")
+
+
 def mask_cells(pixels: DataFrame, wcs: dict[str, float], orders: tuple[int, ...] = (6, 7, 8, 9)) -> DataFrame:
     """(order, index, coverage, eligible): the share of usable pixels (y, x, usable) of each cell that an image covers.
 

@@ -114,7 +114,6 @@ QUERIES = {
     "m28_target_grid": lambda s, d: V.target_grid(s, 359.99, 41.27, 60.0, 30.0, 1200).withColumns({c: steady(F.col(c), 9) for c in ("ra", "dec")}),
     "m30_pixel_sky": m30_pixel_sky,
     "h07_viewport_cells": lambda s, d: V.viewport_cells(s, 359.0, 0.0, 10.0, 5.0, 8),
-    "r03_footprint": lambda s, d: V.footprint(s, 1000, 800, WCS),
 }
 
 _CUSTOMER = """c AS (SELECT *, 'o' || (c_custkey % 700) AS record_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS target,
@@ -155,7 +154,4 @@ ORACLES = {
     "h07_viewport_cells": f"""WITH s AS (SELECT 0.229::DOUBLE * 0.8::DOUBLE AS step), r AS (SELECT step, greatest(-90, 0 - 2.5::DOUBLE - step) AS low, least(90, 0 + 2.5::DOUBLE + step) AS high FROM s), y AS (SELECT step, low + k * step AS "dec" FROM r, range(0, 200) t(k) WHERE k <= floor((high - low) / step)),
         z AS (SELECT "dec", step / greatest(0.15::DOUBLE, cos(radians("dec"))) AS st FROM y), c AS (SELECT "dec", fmod(359 - 5 - st + k * st + 360, 360) AS ra FROM z, range(0, 400) t(k) WHERE k <= floor((10 + 2 * st) / st)), objects AS (SELECT row_number() OVER () AS object_id, ra, "dec" FROM c), {_cell_sql(8)}
         SELECT DISTINCT 8 AS "order", "index" FROM cell""",
-    "r03_footprint": f"""WITH e AS (SELECT i AS n, i // 16 % 4 AS edge, (i % 16) / 16.0::DOUBLE AS t FROM range(0, 65) r(i)), p AS (SELECT n, CASE edge WHEN 0 THEN t WHEN 1 THEN 1 WHEN 2 THEN 1 - t ELSE 0 END * 999 AS x, CASE edge WHEN 0 THEN 0 WHEN 1 THEN t WHEN 2 THEN 1 ELSE 1 - t END * 799 AS y FROM e),
-        q AS (SELECT n, {_sky_sql(WCS, "x", "y")[0]} AS ra, {_sky_sql(WCS, "x", "y")[1]} AS "dec" FROM p), w AS (SELECT *, CASE WHEN ra - lag(ra) OVER o > 180 THEN -360 WHEN ra - lag(ra) OVER o < -180 THEN 360 ELSE 0 END AS w FROM q WINDOW o AS (ORDER BY n))
-        SELECT n, floor(ra * 1e8 + 0.5) / 1e8 AS ra, floor("dec" * 1e8 + 0.5) / 1e8 AS "dec", floor((ra + sum(w) OVER (ORDER BY n)) * 1e8 + 0.5) / 1e8 AS continuous_ra FROM w""",
 }

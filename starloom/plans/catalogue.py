@@ -81,7 +81,7 @@ def s08_spaced_tables(s, d):
     k = F.col("s_suppkey")
     line = F.concat_ws(" ", k.cast("string"), F.concat(F.lit("f"), (k % 9).cast("string")), F.when(k % 4 > 0, (k % 5).cast("string")))
     folder = scratch(s, "spaced")
-    S.table(s, d, "supplier").select(line.alias("value")).coalesce(1).write.text(folder)
+    S.table(s, d, "supplier").select(line.alias("value")).write.text(folder)
     rows = s.read.csv(folder, sep=" ", schema="key string, name string, band string", ignoreLeadingWhiteSpace=True)
     return rows.dropna("any")
 

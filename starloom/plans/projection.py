@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from starloom.functions import healpix as H
 from starloom.functions.maths import steady
 from starloom.operators import mosaic as M
 from starloom.operators import projection as P
+from starloom.operators import tiling as T
 from starloom.plans.mosaic import _cell_sql
 from starloom.plans.tiling import _centre_sql
 from starloom.sources import tables as S
@@ -67,7 +69,21 @@ def e40_problems(s, d):
     return P.share_problems(shares, frames, cells(s, d))
 
 
-QUERIES = {f.__name__: f for f in (m31_projected, e40_tile_sources, e40_problems)}
+def r03_footprint(s, d):
+    """Rings of frames of 1000 by 800 pixels, one at each object."""
+    o = S.objects(s, d)
+    frames = o.select(F.col("object_id").alias("frame"), "ra", (F.col("dec") * 0.9).alias("dec"), F.lit(500.0).alias("x0"), F.lit(400.0).alias("y0"), F.lit(-0.0005).alias("sx"), F.lit(0.0005).alias("sy"), F.lit(800).alias("height"), F.lit(1000).alias("width"), F.lit(1.0).alias("weight"))
+    ring = P.footprint_rings(frames)
+    return ring.withColumns({c: steady(F.col(c), 8) for c in ("ra", "dec", "continuous_ra")})
+
+
+def h06_cone_cells(s, d):
+    """Cells of cones of two to six degrees, one around each object."""
+    cones = S.objects(s, d).select("object_id", "ra", "dec", (F.col("object_id") % 5 + 2.0).alias("radius"))
+    return T.cones_cells(cones, "object_id", 5)
+
+
+QUERIES = {f.__name__: f for f in (m31_projected, e40_tile_sources, e40_problems, r03_footprint, h06_cone_cells)}
 
 _R = lambda x, n: f"floor(({x}) * 1e{n} + 0.3137) / 1e{n}"
 _OBJECTS = S.OBJECTS.replace("objects AS", "stars AS", 1) + ', objects AS (SELECT object_id, ra, "dec" * 0.9::DOUBLE AS "dec" FROM stars)'
@@ -84,7 +100,14 @@ _PROJECTED = f"""{_OBJECTS}, {_PIXELS}, {_CELLS}, src0 AS (SELECT idx, z, idx *
  projected AS (SELECT frame, idx, z, sum(value * {_KERNEL("du")} * {_KERNEL("dv")}) AS value FROM n JOIN pixels USING (frame, x, y) GROUP BY ALL HAVING count(*) = 16)"""
 _SHARES = f"""counts AS (SELECT idx, frame, count(*) AS finite_pixels, count(*) * any_value(weight) AS weighted_pixels FROM projected JOIN frames USING (frame) WHERE weight > 0 GROUP BY idx, frame), shares AS (SELECT *, weighted_pixels / sum(weighted_pixels) OVER (PARTITION BY idx) AS share FROM counts)"""
 
+_DOWN = "(cos(radians(fdec)) - v * sin(radians(fdec)))"
 ORACLES = {
+    "r03_footprint": f"""WITH {_OBJECTS}, e AS (SELECT object_id AS frame, ra AS fra, "dec" AS fdec, n, n // 16 % 4 AS edge, n % 16 / 16.0::DOUBLE AS t FROM objects, range(0, 65) r(n)), p AS (SELECT *, CASE edge WHEN 0 THEN t WHEN 1 THEN 1 WHEN 2 THEN 1 - t ELSE 0 END * 999 AS x, CASE edge WHEN 0 THEN 0 WHEN 1 THEN t WHEN 2 THEN 1 ELSE 1 - t END * 799 AS y FROM e),
+        a AS (SELECT *, radians((x - 500) * -0.0005::DOUBLE) AS u, radians((y - 400) * 0.0005::DOUBLE) AS v FROM p), q AS (SELECT frame, n, fmod(fmod(fra + degrees(atan2(u, {_DOWN})), 360) + 360, 360) AS ra, degrees(atan2(sin(radians(fdec)) + v * cos(radians(fdec)), sqrt(u * u + {_DOWN} * {_DOWN}))) AS "dec" FROM a),
+        w AS (SELECT *, CASE WHEN ra - lag(ra) OVER o > 180 THEN -360 WHEN ra - lag(ra) OVER o < -180 THEN 360 ELSE 0 END AS w FROM q WINDOW o AS (PARTITION BY frame ORDER BY n))
+        SELECT frame, CAST(n AS INT) AS n, {_R("ra", 8)} AS ra, {_R('"dec"', 8)} AS "dec", {_R("ra + sum(w) OVER (PARTITION BY frame ORDER BY n)", 8)} AS continuous_ra FROM w""",
+    "h06_cone_cells": f"""WITH {S.OBJECTS}, cones AS (SELECT object_id, ra AS cra, "dec" AS cdec, object_id % 5 + 2 AS radius FROM objects), src AS (SELECT i FROM range(0, {12 * 4**5}) r(i)), {_centre_sql(5, "src", "i")}
+        SELECT object_id, 5 AS "order", i AS index FROM cones JOIN centres ON abs("dec" - cdec) < 9 AND degrees(acos(least(greatest(sin(radians("dec")) * sin(radians(cdec)) + cos(radians("dec")) * cos(radians(cdec)) * cos(radians(ra - cra)), -1), 1))) <= radius + {H.widest_radius(5)!r}::DOUBLE""",
     "m31_projected": f"WITH {_PROJECTED} SELECT frame, idx AS index, z, {_R('value', 5)} AS value FROM projected",
     "e40_tile_sources": f"""WITH {_PROJECTED}, {_SHARES} SELECT {ORDER} AS "order", idx AS index, frame, finite_pixels, {4**DEPTH} AS cell_pixels, {_R(f"finite_pixels / {4**DEPTH}", 9)} AS coverage, {_R("weighted_pixels", 9)} AS weighted_pixels, {_R("share", 9)} AS share FROM shares""",
     "e40_problems": f"""WITH {_PROJECTED}, {_SHARES} SELECT 'weight' AS problem, frame, NULL::BIGINT AS index FROM frames WHERE weight <= 0 UNION ALL SELECT 'idle-source', frame, NULL FROM frames WHERE weight > 0 AND frame NOT IN (SELECT frame FROM shares)

@@ -17,7 +17,6 @@ from starloom.sources.storage import written
 
 WCS = {"ra": 210.0, "dec": 21.0, "x0": 200.0, "y0": 150.0, "sx": -0.02, "sy": 0.02}
 OTHER = {"ra": 210.1, "dec": 21.05, "x0": 90.3, "y0": 70.6, "sx": -0.021, "sy": 0.021}
-CONE = (83.8, -5.4, 9.0, 5)
 
 
 def _round(df, digits, *columns):
@@ -40,10 +39,6 @@ def e15_polygons(s, d):
     return paths.select("object_id", F.concat(F.array_join(F.transform("ps", lambda p: p["p"]), " "), F.lit(" Z")).alias("path"))
 
 
-def h06_cone_cells(s, d):
-    return T.cone_cells(s, *CONE)
-
-
 def _mask(s, d):
     line = S.table(s, d, "lineitem")
     pix = line.groupBy((F.col("l_orderkey") % 400).alias("x"), ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 31) % 300).alias("y")).agg(F.max("l_tax").alias("t"))
@@ -161,7 +156,7 @@ def e53_sampled(s, d):
     return f.join(steps, "frame").where((F.col("y") % F.col("step") == 0) & (F.col("x") % F.col("step") == 0)).select("frame", "y", "x", "value")
 
 
-QUERIES = {f.__name__: f for f in (h03_corners, e15_polygons, h06_cone_cells, h09_mask_cells, r13_tile_plan, r09_aligned, m31_reprojected, r11_canvases, r15_render_problems, r04_detections, a34_frame_quality, m26_view_places, m25_unprojected, m27_star_marks, p36_on_screen, m38_frame_positions, e53_sampled)}
+QUERIES = {f.__name__: f for f in (h03_corners, e15_polygons, h09_mask_cells, r13_tile_plan, r09_aligned, m31_reprojected, r11_canvases, r15_render_problems, r04_detections, a34_frame_quality, m26_view_places, m25_unprojected, m27_star_marks, p36_on_screen, m38_frame_positions, e53_sampled)}
 
 from starloom.plans.archives import _sky_sql  # noqa: E402
 from starloom.plans.mosaic import _BASE, _COVER, _SHARES, _cell_sql  # noqa: E402
@@ -246,8 +241,6 @@ ORACLES = {
     "h03_corners": f"WITH {_corner_sql(8)} SELECT object_id, k, {_R('ra', 7)} AS ra, {_R('\"dec\"', 7)} AS \"dec\" FROM corners",
     "e15_polygons": f"""WITH {_corner_sql(6)}, v AS (SELECT object_id, k, CASE WHEN ra - 180 > 180 THEN ra - 540 WHEN ra - 180 < -180 THEN ra + 180 ELSE ra - 180 END AS turn, "dec" FROM corners), p AS (SELECT object_id, k, floor({_R("1440 / 2 + turn / 360 * 1440", 6)} * 100 + 0.5) / 100 AS x, floor({_R('720 / 2 - "dec" / 180 * 720', 6)} * 100 + 0.5) / 100 AS y FROM v)
         SELECT object_id, string_agg(CASE WHEN k = 0 THEN 'M' ELSE 'L' END || printf('%.2f,%.2f', x, y), ' ' ORDER BY k) || ' Z' AS path FROM p GROUP BY object_id""",
-    "h06_cone_cells": f"""WITH src AS (SELECT i FROM range(0, {12 * 4 ** CONE[3]}) r(i)), {_centre_sql(CONE[3], "src", "i")} SELECT {CONE[3]} AS "order", i AS index FROM centres
-        WHERE degrees(acos(least(greatest(sin(radians("dec")) * sin(radians({CONE[1]}::DOUBLE)) + cos(radians("dec")) * cos(radians({CONE[1]}::DOUBLE)) * cos(radians(ra - {CONE[0]}::DOUBLE)), -1), 1))) <= {CONE[2] + H.widest_radius(CONE[3])!r}::DOUBLE""",
     "h09_mask_cells": f"""WITH {_MASKED(7)}, c AS (SELECT 7 AS o, i, usable FROM pix UNION ALL SELECT 6, i >> 2, usable FROM pix), g AS (SELECT o, i, avg(usable::INT) AS c FROM c GROUP BY ALL) SELECT o AS "order", i AS index, {_R("c", 8)} AS coverage, c >= 0.7::DOUBLE AS eligible FROM g WHERE c > 0.01::DOUBLE""",
     "r13_tile_plan": f"""WITH {_MASKED(8)}, g AS (SELECT i FROM pix GROUP BY i HAVING avg(usable::INT) >= 0.005::DOUBLE) SELECT DISTINCT CAST(o AS INT) AS "order", i >> CAST(2 * (8 - o) AS BIGINT) AS index FROM g, range(6, 9) r(o)""",
     "r09_aligned": _aligned_sql({**WCS, "x0": 80.0, "y0": 60.0}, OTHER, 170, 130, 0.5),
