@@ -12,9 +12,11 @@ out, one that is so far inside of all edges is taken with all that it holds, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,6 +94,7 @@ def polygon_cover(polygons: DataFrame, order: int) -> DataFrame:
     may lie across an edge, or just outside by less than a cell. A cell of order o stands for the interval of indices
     index * 4 ** (order - o) and on. No cell comes twice.
     """
+    kind = polygons.schema["frame"].dataType.simpleString()
     rows = written(_edges(polygons), "edges")
     left = rows.select("frame", "edges", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("index"))
     found = []
@@ -100,11 +103,8 @@ def polygon_cover(polygons: DataFrame, order: int) -> DataFrame:
         if o:
             left = left.select("frame", "edges", F.explode(F.sequence(F.col("index") * 4 ** (o - last), (F.col("index") + 1) * 4 ** (o - last) - 1)).alias("index"))
         reach = float(np.sin(np.radians(min(90.0, H.widest_radius(o) if o else 60.0))))  # a base cell reaches less than 60 degrees
-        ra, dec = F.col("centre_ra"), F.col("centre_dec")
-        centre = H.with_centre(left, "index", o).withColumns({"cx": cosd(dec) * cosd(ra), "cy": cosd(dec) * sind(ra), "cz": sind(dec)})
-        depth = F.array_min(F.transform("edges", lambda e: e[0] * F.col("cx") + e[1] * F.col("cy") + e[2] * F.col("cz")))
-        met = centre.withColumn("depth", depth).where(F.col("depth") >= -reach).select("frame", "edges", "index", (F.col("depth") > reach).alias("inside"))
-        met = written(met, "cover")
+        centre = H.with_centre(left, "index", o).select("frame", "edges", "index", "centre_ra", "centre_dec")
+        met = written(centre.mapInArrow(partial(_met, reach=reach), f"frame {kind}, edges array<array<double>>, index long, inside boolean"), "cover")
         out = met.where("inside") if o < order else met
         found.append(out.select("frame", F.lit(o).alias("order"), "index", "inside"))
         left = met.where("NOT inside").select("frame", "edges", "index")
@@ -114,6 +114,20 @@ def polygon_cover(polygons: DataFrame, order: int) -> DataFrame:
     return cover
 
 
+def _met(batches: Iterator[pa.RecordBatch], reach: float) -> Iterator[pa.RecordBatch]:
+    """Rows whose cell may touch the polygon, with whether it lies inside: by how far its centre is inside of every edge."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        ra, dec = (np.radians(batch.column(c).to_numpy()) for c in ("centre_ra", "centre_dec"))
+        centre = np.stack([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)], 1)
+        n = pc.list_value_length(batch.column("edges")).to_numpy()
+        edges = batch.column("edges").flatten().flatten().to_numpy().reshape(-1, 3)
+        depth = np.minimum.reduceat((edges * np.repeat(centre, n, 0)).sum(1), np.cumsum(n) - n)
+        kept = batch.select(["frame", "edges", "index"]).append_column("inside", pa.array(depth > reach))
+        yield kept.filter(pa.array(depth >= -reach))
+
+
 def cells_touched(cover: DataFrame, cells: DataFrame) -> DataFrame:
     """(frame, order, index): the cells of a table (order, index) that a cover's intervals touch.
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +43,22 @@ def cones_cells(cones: DataFrame, key: str, order: int) -> DataFrame:
         if o:
             step = 4 ** (o - last)
             rows = rows.select(key, "cone_ra", "cone_dec", "radius", F.explode(F.sequence(F.col("index") * step, (F.col("index") + 1) * step - 1)).alias("index"))
-        far = separation_deg(F.col("centre_ra"), F.col("centre_dec"), F.col("cone_ra"), F.col("cone_dec"))
-        reach = F.col("radius") + H.widest_radius(o) + (H.widest_radius(order) if o < order else 0.0)
-        rows = H.with_centre(rows, "index", o).withColumn("far", far).where(F.col("far") <= reach).drop("centre_ra", "centre_dec", "far")
+        more = H.widest_radius(o) + (H.widest_radius(order) if o < order else 0.0)
+        rows = H.with_centre(rows, "index", o).select(key, "cone_ra", "cone_dec", "radius", "index", "centre_ra", "centre_dec")
+        rows = rows.mapInArrow(partial(_within_reach, more=more), rows.drop("centre_ra", "centre_dec").schema)
     return rows.select(key, F.lit(order).alias("order"), "index")
 
 
+def _within_reach(batches: Iterator[pa.RecordBatch], more: float) -> Iterator[pa.RecordBatch]:
+    """Rows whose cell's centre is no farther from the cone than its radius and more. (A filter in Spark's own terms would be
+    pushed below the centres, whose long expressions it would then hold many times over.)"""
+    for batch in batches:
+        a, d, b, e = (np.radians(batch.column(c).to_numpy()) for c in ("centre_ra", "centre_dec", "cone_ra", "cone_dec"))
+        far = np.degrees(np.arccos(np.clip(np.sin(d) * np.sin(e) + np.cos(d) * np.cos(e) * np.cos(a - b), -1, 1)))
+        near = pa.array(far <= batch.column("radius").to_numpy() + more)
+        yield batch.select(batch.schema.names[:-2]).filter(near)
+
+
 def mask_cells(pixels: DataFrame, wcs: dict[str, float], orders: tuple[int, ...] = (6, 7, 8, 9)) -> DataFrame:
     """(order, index, coverage, eligible): the share of usable pixels (y, x, usable) of each cell that an image covers.
 
