@@ -14,7 +14,7 @@ plain object stores: these need a store with conditional puts in front), so of t
 new version and tries again. An append always succeeds in the end; a merge is given up if another writer has replaced one
 of its runs. A commit fails rather than list a run whose files are gone.
 
-vacuum() removes runs that a manifest replaced at least ``retention_s`` ago, with the manifests before it, and runs that no manifest ever listed once
+vacuum() removes runs that a manifest replaced at least ``retention_s`` ago (and manifests once ``grace_s`` is over too), and runs that no manifest ever listed once
 they are older than ``grace_s``: what a lost writer left. A run that is being written or waits for its commit is younger,
 and stays.
 
@@ -232,7 +232,8 @@ class ShardStore:
             listed |= known[old]
             if now - self._fs.getFileStatus(self._path(self._manifest_path(new))).getModificationTime() / 1000 >= retention_s:
                 replaced |= known[old] - known[new]
-                over.append(old)
+                replaced_s = now - self._fs.getFileStatus(self._path(self._manifest_path(new))).getModificationTime() / 1000
+                over += [old] if replaced_s >= max(retention_s, grace_s) else []
         self._remove(n for n in replaced - live if self._fs.exists(self._path(f"{self.root}/{n}")))
         for old in over:  # no reader needs a version replaced so long ago, and the next vacuum needn't read it
             self._fs.delete(self._path(self._manifest_path(old)), False)
