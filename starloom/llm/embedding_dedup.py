@@ -6,9 +6,9 @@ shifts. Besides its own cell, a vector looks into the PROBES neighbouring cells
 shortest vectors away in one to three of the blocks). Two vectors meet where one lies in a cell that the other lies in or
 looks into; all that meet are compared by cosine in double precision.
 
-Of two vectors at a cosine of just 0.95, a table lets 0.64 meet, so that twelve miss about five in a million; nearer ones are
-missed far less often (0.98: under one in 10 ** 10). Two vectors that have nothing in common meet in about three in a million
-cases, so that ten million vectors still give each of them a few hundred comparisons; raise ``blocks`` and ``tables`` beyond.
+Of two vectors at a cosine of just 0.95, a table lets 0.51 meet, so that sixteen miss about one in a hundred thousand; nearer
+ones are missed far less often (0.98: under one in 10 ** 11). Two vectors that have nothing in common meet in about seven of
+100,000 cases, so that of a million each is compared with some seventy; raise ``blocks`` and ``tables`` beyond ten million.
 
 Vectors that are alike in every component are one node with a count. Cells that hold one vector only are left out. A cell
 with more than CHUNK vectors is cut into chunks, and each pair of chunks is a task's work of its own, a product of two small
@@ -35,9 +35,9 @@ from starloom.llm.common import Scratch, U, key_runs, mix
 from starloom.llm.near_dedup import components
 
 COSINE = 0.95
-TABLES, BLOCKS, PROBES = 12, 3, 8
+TABLES, BLOCKS, PROBES = 16, 4, 8
 #: Lattice cells are as wide as 1 / SPREAD standard deviations of a unit vector's coordinate, times eight.
-SPREAD = 0.375
+SPREAD = 0.34
 CHUNK = 1024
 _NEAREST, _SLAB = 8, 1 << 15
 
