@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from starloom.functions import astro as A
@@ -13,6 +14,8 @@ from starloom.sources import tables as S
 
 NOW, LAT, LON = dt.datetime(2024, 1, 15, 21, 30), 46.2, 6.1
 EVENTS_FROM, EVENT_DAYS = dt.datetime(2024, 1, 1), 240
+#: Column, the Sun's altitude in degrees, and whether it goes down through it.
+TWILIGHTS = (("sunset", -0.833, True), ("sunrise", -0.833, False), ("nautical_dusk", -12.0, True), ("astronomical_dusk", -18.0, True), ("astronomical_dawn", -18.0, False))
 
 
 def _dates(s, d):
@@ -23,7 +26,30 @@ def _round(df, digits, *columns):
     return df.withColumns({c: half_up(F.col(c), digits) for c in columns})
 
 
+def m14_twilight(s, d):
+    """Sunset, sunrise, and the dusks and dawns of each day of a table, in minutes of the day."""
+    times = _dates(s, d).select(F.col("at").alias("day"), F.explode(F.sequence(F.lit(0), F.lit(288))).alias("k"))
+    at = F.timestamp_add("MINUTE", F.col("k") * 5, F.col("day"))
+    rows = A.with_sun(times.withColumn("d", A.day_number(at)))
+    alt = A.altitude(A.sidereal(F.col("d"), LON), F.col("sun_ra"), F.col("sun_dec"), LAT)
+    samples = rows.select("day", "k", alt.alias("alt")).withColumn("before", F.lag("alt").over(W.partitionBy("day").orderBy("k")))
+    edges = []
+    for name, height, down in TWILIGHTS:
+        now, before = F.col("alt") < height, F.col("before") < height
+        edges.append(F.min(F.when(~before & now if down else before & ~now, F.col("k") * 5)).alias(name))
+    return samples.groupBy("day").agg(*edges)
+
+
+def q34_upcoming_events(s, d):
+    """Events in the sky, each with the number of reports of its day."""
+    sky = K.upcoming_events(s, EVENTS_FROM, EVENT_DAYS)
+    reports = S.table(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n_reports"))
+    met = sky.join(reports, F.to_date("at") == F.col("day"), "left").drop("day")
+    return met.withColumn("n_reports", F.coalesce("n_reports", F.lit(0)))
+
+
 QUERIES = {
+    "m14_twilight": m14_twilight,
     "d01_day_numbers": lambda s, d: _round(S.observations(s, d).select("observation_id", A.day_number(F.col("observed_at")).alias("day_number"), A.julian_day(F.col("observed_at")).alias("julian_day"), A.sidereal(A.day_number(F.col("observed_at")), LON).alias("sidereal")), 5, "day_number", "julian_day", "sidereal"),
     "m09_sun": lambda s, d: _round(A.with_sun(_dates(s, d)).select("at", "sun_lon", "sun_ra", "sun_dec", "sun_dist"), 6, "sun_lon", "sun_ra", "sun_dec", "sun_dist"),
     "m10_moon": lambda s, d: _round(A.with_moon(A.with_sun(_dates(s, d))).select("at", "moon_ra", "moon_dec", "moon_dist_km", "moon_phase", "moon_illumination"), 5, "moon_ra", "moon_dec", "moon_dist_km", "moon_phase", "moon_illumination"),
@@ -32,7 +58,7 @@ QUERIES = {
     "m13_rise_and_set": lambda s, d: K.rise_and_set(S.objects(s, d), NOW.date(), LAT, LON),
     "q32_search_sky": lambda s, d: _round(K.search(S.objects(s, d), NOW, LAT, LON, max_mag=30.0, min_altitude=20.0, text="g").select("object_id", "name", "mag", "alt"), 6, "alt"),
     "q33_highlights": lambda s, d: _round(K.highlights(S.objects(s, d), NOW, LAT, LON).select("object_id", "name", "alt", "score"), 6, "alt", "score"),
-    "q34_upcoming_events": lambda s, d: K.upcoming_events(s, EVENTS_FROM, EVENT_DAYS),
+    "q34_upcoming_events": q34_upcoming_events,
 }
 
 _REV = lambda x: f"fmod(fmod({x}, 360::DOUBLE) + 360, 360::DOUBLE)"
@@ -135,5 +161,9 @@ ORACLES = {
     "q32_search_sky": f"""WITH {S.OBJECTS}, {_ALTAZ} SELECT object_id, name, mag, {_R("alt", 6)} AS alt FROM sky WHERE mag <= 30 AND alt >= 20 AND contains(lower(name), 'g') ORDER BY sky.alt DESC, object_id LIMIT 400""",
     "q33_highlights": f"""WITH {S.OBJECTS}, {_ALTAZ}, high AS (SELECT * FROM sky WHERE alt >= 15 ORDER BY alt DESC, object_id LIMIT 400), s AS (SELECT *, alt / 90 - mag / 20 + CASE WHEN kind_of_object = 'PROMO' THEN 0.6::DOUBLE ELSE 0 END AS sc FROM high)
         SELECT object_id, name, {_R("alt", 6)} AS alt, {_R("sc", 6)} AS score FROM s ORDER BY sc DESC, object_id LIMIT 12""",
-    "q34_upcoming_events": f"""WITH {_EVENTS} SELECT id, min("at") AS "at", any_value(kind) AS kind, any_value(title) AS title, arg_min(rank, "at") AS rank FROM every GROUP BY id""",
+    "q34_upcoming_events": f"""WITH {_EVENTS}, one AS (SELECT id, min("at") AS "at", any_value(kind) AS kind, any_value(title) AS title, arg_min(rank, "at") AS rank FROM every GROUP BY id), reports AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1)
+        SELECT one.*, coalesce(n, 0) AS n_reports FROM one LEFT JOIN reports ON day = CAST("at" AS DATE)""",
+    "m14_twilight": f"""WITH slots AS (SELECT row_number() OVER () AS i, day, k, day + to_minutes(k * 5) AS "at" FROM (SELECT DISTINCT o_orderdate AS day FROM orders), range(0, 289) r(k)), times AS (SELECT i, "at", {_day_sql('"at"')} AS d FROM slots), {_SUN},
+        high AS (SELECT day, k, {_alt("lst")} AS alt FROM (SELECT i, {_lst("d")} AS lst, sun_ra AS ra, sun_dec AS "dec" FROM sun) JOIN slots USING (i)), edge AS (SELECT *, lag(alt) OVER (PARTITION BY day ORDER BY k) AS before FROM high)
+        SELECT day, {", ".join(f"min(k * 5) FILTER (WHERE {f'before >= {h} AND alt < {h}' if down else f'before < {h} AND alt >= {h}'}) AS {name}" for name, h, down in TWILIGHTS)} FROM edge GROUP BY day""",
 }

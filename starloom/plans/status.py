@@ -265,25 +265,11 @@ def o03_failed_states(s, d):
     return jobs.select("job_id", F.lit("failed").alias("status"), F.when(~dead, F.col("status")).alias("retry_state"), F.when(~dead, F.timestamp_add("SECOND", delay, _now())).alias("available_at"), F.when(dead, _now()).alias("completed_at"))
 
 
-def m14_twilight(s, d):
-    """Sunset, nautical and astronomical dusk and dawn at a place over a year of days."""
-    days = s.range(120).select((F.col("id") * 3).cast("int").alias("day"))
-    times = days.select("day", F.explode(F.sequence(F.lit(0), F.lit(288))).alias("k"))
-    at = F.timestamp_add("MINUTE", F.col("day") * 1440 + F.col("k") * 5, F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz"))
-    rows = A.with_sun(times.withColumn("d", A.day_number(at)))
-    alt = A.altitude(A.sidereal(F.col("d"), 2.35), F.col("sun_ra"), F.col("sun_dec"), 46.8)
-    from pyspark.sql import Window as W
-
-    samples = rows.select("day", "k", alt.alias("alt")).withColumn("before", F.lag("alt").over(W.partitionBy("day").orderBy("k")))
-    edge = lambda h, down: F.min(F.when(((F.col("before") >= h) & (F.col("alt") < h)) if down else ((F.col("before") < h) & (F.col("alt") >= h)), F.col("k") * 5))
-    return samples.groupBy("day").agg(edge(-0.833, True).alias("sunset"), edge(-0.833, False).alias("sunrise"), edge(-12, True).alias("nautical_dusk"), edge(-18, True).alias("astronomical_dusk"), edge(-18, False).alias("astronomical_dawn"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         q36_public_status, e01_cells, e04_cancelled, e06_own_uploads, e08_answered, e09_cluster_jobs, e11_object_search, e12_merged, e13_toggled, e14_viewport, e19_payload_codes, e21_star_rows, e22_snapshot, e23_families, e26_rebuild_guard, e28_run_updates, e29_created_runs,
-        e30_pending, e31_targeted_leases, e32_spread_failures, e34_next_numbers, e36_storage_roots, e37_content_types, e43_ingestible, e45_attempted_seeds, e46_reusable, e49_current_layers, e50_backfill, o01_dispatched, o02_qualified, o03_failed_states, o04_bounded_seeds, m14_twilight,
+        e30_pending, e31_targeted_leases, e32_spread_failures, e34_next_numbers, e36_storage_roots, e37_content_types, e43_ingestible, e45_attempted_seeds, e46_reusable, e49_current_layers, e50_backfill, o01_dispatched, o02_qualified, o03_failed_states, o04_bounded_seeds,
     )
 }
 
