@@ -168,9 +168,11 @@ def p37_eligible_sources(s, d):
 
 
 def p34_seed_targets(s, d):
-    """Seed cells between two declinations, spread by a hash."""
+    """Seed cells between two declinations that hold no object yet, spread by a hash."""
+    held = M.object_cells(S.objects(s, d), (4,)).select(F.col("cell4").alias("index")).distinct()
     cells = H.with_centre(s.range(H.n_cells(4)).select(F.col("id").alias("index")), "index", 4)
-    return cells.where(F.col("centre_dec").between(-29.0, 85.0)).select("index", F.sha2(F.concat(F.lit("sky-seed-v1:4:"), F.col("index").cast("string")), 256).alias("spread"))
+    seeds = written(cells.where(F.col("centre_dec").between(-29.0, 85.0)).select("index"), "seeds")  # the optimiser can't reason about a join over so long a filter
+    return seeds.join(held, "index", "left_anti").select("index", F.sha2(F.concat(F.lit("sky-seed-v1:4:"), F.col("index").cast("string")), 256).alias("spread"))
 
 
 def q29_component_tiles(s, d):
@@ -341,9 +343,10 @@ ORACLES = {
         s AS (SELECT p_partkey, max(degrees(2 * asin(sqrt(pow(sin(radians((mdec - "dec") / 2)), 2) + cos(radians("dec")) * cos(radians(mdec)) * pow(sin(radians((mra - ra) / 2)), 2)))) * 3600) AS worst FROM q GROUP BY p_partkey) SELECT p_partkey, {_R("worst", 5)} AS worst, worst <= 0.55::DOUBLE AS agrees FROM s""",
 }
 def _seed_sql() -> str:
+    from starloom.plans.mosaic import _cell_sql
     from starloom.plans.tiling import _centre_sql
 
-    return f"""WITH src AS (SELECT i FROM range(0, 3072) r(i)), {_centre_sql(4, "src", "i")} SELECT i AS index, sha256('sky-seed-v1:4:' || i) AS spread FROM centres WHERE "dec" BETWEEN -29 AND 85"""
+    return f"""WITH {S.OBJECTS}, {_cell_sql(4)}, src AS (SELECT i FROM range(0, 3072) r(i)), {_centre_sql(4, "src", "i")} SELECT i AS index, sha256('sky-seed-v1:4:' || i) AS spread FROM centres WHERE "dec" BETWEEN -29 AND 85 AND i NOT IN (SELECT "index" FROM cell)"""
 
 
 ORACLES["p34_seed_targets"] = _seed_sql()

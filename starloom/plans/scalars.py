@@ -13,7 +13,9 @@ from starloom.functions import misc as N
 from starloom.functions import policy as P
 from starloom.functions import text as X
 from starloom.functions.maths import half_up
+from starloom.operators import mosaic as M
 from starloom.plans.astro import _MOON, _SUN, _TIMES
+from starloom.plans.mosaic import _cell_sql
 from starloom.sources import tables as S
 
 AS_OF = dt.datetime(2024, 1, 20)
@@ -64,6 +66,12 @@ def e25_queue_state(s, d):
     return j.groupBy("object_id").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(ended).alias("ended"), F.count_if(spent).alias("exhausted"), F.bool_and(ended | spent).alias("settled"))
 
 
+def h12_allsky_places(s, d):
+    """Places in the all-sky image of the tiles that objects lie in, and how many do."""
+    tiles = M.object_cells(S.objects(s, d), (3,)).groupBy(F.col("cell3").alias("index")).agg(F.count(F.lit(1)).alias("n_objects"))
+    return tiles.select("index", (F.col("index") % 27).alias("column"), F.floor(F.col("index") / 27).alias("row"), "n_objects")
+
+
 QUERIES = {
     "a22_bounding_box": lambda s, d: _rounded(S.observations(s, d).groupBy("phenomenon").agg((F.min("latitude") - 5).alias("south"), (F.max("latitude") + 5).alias("north"), (F.min("longitude") - 5).alias("west"), (F.max("longitude") + 5).alias("east")), 6, "south", "north", "west", "east"),
     "d06_mjd_times": lambda s, d: _part(s, d).select("p_partkey", N.from_mjd(50000 + F.col("p_partkey") + F.col("p_size") / 64).alias("at")),
@@ -75,7 +83,7 @@ QUERIES = {
     "f19_names": lambda s, d: S.observations(s, d).select("observation_id", N.cardinal(F.col("azimuth")).alias("cardinal")),
     "f19_phase_names": lambda s, d: A.with_moon(A.with_sun(S.table(s, d, "orders").select(F.col("o_orderdate").alias("at")).distinct().withColumn("d", A.day_number(F.col("at"))))).select("at", A.phase_name(F.col("moon_phase")).alias("phase")),
     "h08_view_orders": lambda s, d: _part(s, d).select("p_partkey", H.order_for_width(F.col("p_size") * 1.5).alias("order")),
-    "h12_allsky_places": lambda s, d: s.range(768).select(F.col("id").alias("index"), (F.col("id") % 27).alias("column"), F.floor(F.col("id") / 27).alias("row")),
+    "h12_allsky_places": h12_allsky_places,
     "m19_resolution": lambda s, d: _part(s, d).select("p_partkey", P.resolution_class(F.col("p_size") / 4 - 1).alias("class")),
     "m23_scales": lambda s, d: _rounded(_part(s, d).select("p_partkey", N.native_scale(F.col("p_size") / 10, F.col("p_partkey") % 900).alias("scale"), N.match_confidence(F.col("p_size"), F.col("p_partkey") % 30 / 10).alias("confidence")), 8, "scale", "confidence"),
     "m25_stereographic": m25_stereographic,
@@ -104,7 +112,7 @@ ORACLES = {
     "f19_names": f"WITH {S.OBSERVATIONS} SELECT observation_id, {list(N.CARDINALS)}[CAST(floor(azimuth / 22.5 + 0.5) AS INT) % 16 + 1] AS cardinal FROM observations",
     "f19_phase_names": f"WITH {_TIMES}, {_SUN}, {_MOON} SELECT \"at\", ['new', 'waxing crescent', 'first quarter', 'waxing gibbous', 'full', 'waning gibbous', 'last quarter', 'waning crescent'][CAST(floor(moon_phase * 8 + 0.5) AS INT) % 8 + 1] AS phase FROM moon",
     "h08_view_orders": "SELECT p_partkey, CASE WHEN p_size * 1.5 <= 7.5 THEN 9 WHEN p_size * 1.5 <= 15 THEN 8 WHEN p_size * 1.5 <= 30 THEN 7 WHEN p_size * 1.5 <= 60 THEN 6 END AS \"order\" FROM part",
-    "h12_allsky_places": 'SELECT i AS "index", i % 27 AS "column", i // 27 AS "row" FROM range(768) r(i)',
+    "h12_allsky_places": f'WITH {S.OBJECTS}, {_cell_sql(3)} SELECT "index", "index" % 27 AS "column", "index" // 27 AS "row", count(*) AS n_objects FROM cell GROUP BY ALL',
     "m19_resolution": "SELECT p_partkey, CASE WHEN p_size / 4 - 1 <= 0 THEN NULL WHEN p_size / 4 - 1 <= 1.5 THEN 'high-definition' WHEN p_size / 4 - 1 <= 3 THEN 'detailed' WHEN p_size / 4 - 1 <= 6 THEN 'wide-field' WHEN p_size / 4 - 1 <= 12 THEN 'discovery' END AS class FROM part",
     "m23_scales": f"SELECT p_partkey, CASE WHEN p_partkey % 900 > 0 THEN {_R('206.265::DOUBLE * (p_size / 10) / (p_partkey % 900)', 8)} END AS scale, {_R('least(p_size / 40, 1) * greatest(0, 1 - (p_partkey % 30 / 10) / 2)', 8)} AS confidence FROM part",
     "m25_stereographic": f"""WITH {S.OBSERVATIONS}, a AS (SELECT observation_id, radians(elevation) AS h, radians(azimuth - 120) AS a, radians(35::DOUBLE) AS c FROM observations), z AS (SELECT *, sin(h) * sin(c) + cos(h) * cos(c) * cos(a) AS z FROM a)
