@@ -41,6 +41,21 @@ def viewport_cells(spark: SparkSession, ra: float, dec: float, width: float, hei
     return cells.orderBy("met.row", "met.col").limit(limit).select(F.lit(order).alias("order"), "index")
 
 
+def views_cells(views: DataFrame, order: int, limit: int = 4000) -> DataFrame:
+    """(view, order, index) of many views (view, ra, dec, width, height in degrees): the cells that each meets when it is walked in
+    steps of 0.8 cells, the first limit in the order met."""
+    step = CELL_DEG[order] * 0.8
+    c = F.col
+    rows = views.select("view", c("ra").alias("mid"), "width", F.greatest(F.lit(-90.0), c("dec") - c("height") / 2 - step).alias("low"), F.least(F.lit(90.0), c("dec") + c("height") / 2 + step).alias("high"))
+    rows = rows.select("view", "mid", "width", "low", F.explode(F.sequence(F.lit(0), F.floor((c("high") - c("low")) / step).cast("int"))).alias("row"))
+    rows = rows.withColumn("dec", c("low") + c("row") * step).withColumn("step", step / F.greatest(F.lit(0.15), cosd(c("dec"))))
+    rows = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.floor((c("width") + 2 * c("step")) / c("step")).cast("int"))))
+    rows = rows.select("view", "row", "col", "dec", rev(c("mid") - c("width") / 2 - c("step") + c("col") * c("step")).alias("ra"))
+    cells = H.with_cell(rows, "ra", "dec", order, "index").groupBy("view", "index").agg(F.min(F.struct("row", "col")).alias("met"))
+    nth = F.row_number().over(W.partitionBy("view").orderBy("met"))
+    return cells.withColumn("nth", nth).where(c("nth") <= limit).select("view", F.lit(order).alias("order"), "index")
+
+
 def may_redistribute(rights: Column, provider_default: Column) -> Column:
     """By the words of the rights statement; without one, the provider's default."""
     r = F.upper(F.trim(rights))

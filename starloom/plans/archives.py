@@ -100,6 +100,12 @@ def m30_pixel_sky(s, d):
     return rows.select("l_orderkey", "x", "y", r(F.col("ra"), 8).alias("ra"), r(F.col("dec"), 8).alias("dec"), r(bx, 4).alias("back_x"), r(by, 4).alias("back_y"))
 
 
+def views(s, d):
+    """A view of two to six by one to three degrees for each supplier."""
+    k = F.col("s_suppkey")
+    return S.table(s, d, "supplier").select(k.alias("view"), (k * 37 % 360 + 0.5).alias("ra"), (k * 17 % 120 - 60.0).alias("dec"), (k % 5 + 2.0).alias("width"), (k % 3 + 1.0).alias("height"))
+
+
 QUERIES = {
     "q09_user_stats": q09_user_stats,
     "q12_status_json": q12_status_json,
@@ -113,7 +119,7 @@ QUERIES = {
     "u03_catalogue": u03_catalogue,
     "m28_target_grid": lambda s, d: V.target_grid(s, 359.99, 41.27, 60.0, 30.0, 1200).withColumns({c: steady(F.col(c), 9) for c in ("ra", "dec")}),
     "m30_pixel_sky": m30_pixel_sky,
-    "h07_viewport_cells": lambda s, d: V.viewport_cells(s, 359.0, 0.0, 10.0, 5.0, 8),
+    "h07_viewport_cells": lambda s, d: V.views_cells(views(s, d), 8),
 }
 
 _CUSTOMER = """c AS (SELECT *, 'o' || (c_custkey % 700) AS record_id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS target,
@@ -130,6 +136,12 @@ def _sky_sql(w: dict[str, float], x: str, y: str) -> tuple[str, str]:
     return ra, f"degrees(atan2({math.sin(d0)!r}::DOUBLE + {v} * {math.cos(d0)!r}::DOUBLE, sqrt({u} * {u} + {down} * {down})))"
 
 
+_VIEW_STEP = "(0.229::DOUBLE * 0.8::DOUBLE)"
+#: CTEs up to viewed(view, idx).
+VIEWED = f"""v AS (SELECT s_suppkey AS view, s_suppkey * 37 % 360 + 0.5::DOUBLE AS mid, (s_suppkey * 17 % 120 - 60)::DOUBLE AS de, (s_suppkey % 5 + 2)::DOUBLE AS w, (s_suppkey % 3 + 1)::DOUBLE AS h FROM supplier), r AS (SELECT *, greatest(-90, de - h / 2 - {_VIEW_STEP}) AS low, least(90, de + h / 2 + {_VIEW_STEP}) AS high FROM v),
+ y AS (SELECT view, mid, w, low + k * {_VIEW_STEP} AS de FROM r, range(0, 200) t(k) WHERE k <= floor((high - low) / {_VIEW_STEP})), z AS (SELECT *, {_VIEW_STEP} / greatest(0.15::DOUBLE, cos(radians(de))) AS st FROM y),
+ c AS (SELECT view, de AS "dec", fmod(fmod(mid - w / 2 - st + k * st, 360) + 360, 360) AS ra FROM z, range(0, 400) t(k) WHERE k <= floor((w + 2 * st) / st)), objects AS (SELECT row_number() OVER () AS object_id, view, ra, "dec" FROM c), {_cell_sql(8)}, viewed AS (SELECT DISTINCT view, "index" AS idx FROM cell JOIN objects USING (object_id))"""
+
 ORACLES = {
     "q09_user_stats": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "order", "index" ORDER BY "at", frame_id) AS n FROM frame_cells WHERE coverage * 100 >= 5) WHERE n = 1),
         pts AS (SELECT *, CASE "order" WHEN 6 THEN 2 WHEN 7 THEN 5 WHEN 8 THEN 10 ELSE 20 END AS points FROM won), run AS (SELECT *, sum(points) OVER (PARTITION BY frame_id ORDER BY "order" DESC, "index") AS running FROM pts),
@@ -151,7 +163,5 @@ ORACLES = {
         SELECT l_orderkey, x, y, floor(fmod(359.9::DOUBLE + degrees(atan2(u, dn)) + 360, 360::DOUBLE) * 1e8 + 0.5) / 1e8 AS ra, floor(degrees(atan2(sin(d0) + v * cos(d0), sqrt(u * u + dn * dn))) * 1e8 + 0.5) / 1e8 AS "dec", x AS back_x, y AS back_y FROM w""",
     "m28_target_grid": f"""WITH g AS (SELECT i, j, (i - 7) * 4.25::DOUBLE AS x, (j - 3.5::DOUBLE) * 4.25::DOUBLE AS y FROM range(0, 15) a(i), range(0, 8) b(j)), r AS (SELECT fmod(359.99::DOUBLE + x / (60 * {max(0.1, math.cos(math.radians(41.27)))!r}::DOUBLE) + 360, 360) AS ra, 41.27::DOUBLE + y / 60 AS "dec", x * x + y * y AS d2 FROM g)
         SELECT floor(ra * 1e9 + 0.3137) / 1e9 AS ra, floor("dec" * 1e9 + 0.3137) / 1e9 AS "dec", CAST(row_number() OVER (ORDER BY d2, "dec", ra) AS INT) AS n FROM r""",
-    "h07_viewport_cells": f"""WITH s AS (SELECT 0.229::DOUBLE * 0.8::DOUBLE AS step), r AS (SELECT step, greatest(-90, 0 - 2.5::DOUBLE - step) AS low, least(90, 0 + 2.5::DOUBLE + step) AS high FROM s), y AS (SELECT step, low + k * step AS "dec" FROM r, range(0, 200) t(k) WHERE k <= floor((high - low) / step)),
-        z AS (SELECT "dec", step / greatest(0.15::DOUBLE, cos(radians("dec"))) AS st FROM y), c AS (SELECT "dec", fmod(359 - 5 - st + k * st + 360, 360) AS ra FROM z, range(0, 400) t(k) WHERE k <= floor((10 + 2 * st) / st)), objects AS (SELECT row_number() OVER () AS object_id, ra, "dec" FROM c), {_cell_sql(8)}
-        SELECT DISTINCT 8 AS "order", "index" FROM cell""",
+    "h07_viewport_cells": f"""WITH {VIEWED} SELECT DISTINCT view, 8 AS "order", idx AS index FROM viewed""",
 }

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
 from starloom.functions import astro as A
+from starloom.operators import archives as V
 from starloom.operators import lookups as L
 from starloom.operators import mosaic as M
 from starloom.operators import rollups as R
 from starloom.operators import status as P
 from starloom.operators.jobs import TRANSITIONS
+from starloom.plans.archives import VIEWED, views
 from starloom.sources import tables as S
 
 BASE = "https://sky.example"
@@ -110,10 +113,8 @@ def e13_toggled(s, d):
 
 
 def e14_viewport(s, d):
-    """From a view to its order, its cells, and their tiles."""
-    from starloom.operators import archives as V
-
-    cells = V.viewport_cells(s, 180.0, 10.0, 12.0, 6.0, 8)
+    """From views to their cells, each once, and their tiles."""
+    cells = V.views_cells(views(s, d), 8).select("order", "index").distinct()
     return M.covered(cells, M.best_tiles(M.tiles(S.frames(s, d), S.objects(s, d)))).select("order", "index", "slug")
 
 
@@ -281,7 +282,11 @@ _OPEN = "status NOT IN ('published', 'rejected', 'duplicate', 'cancelled')"
 _PCT = lambda a, b: f"CASE WHEN {b} > 0 THEN CAST(floor(least(greatest(({a}) * 100.0::DOUBLE / {b}, 0), 100) + 0.5) AS INT) ELSE 0 END"
 _ELIGIBLE = "status IN ('approved', 'published', 'stacked') AND NOT rejected"
 
+#: The views' own cells beside those of the objects: names of the CTEs that both have begin otherwise.
+_VIEWED = re.sub(r"\b(ang|arms|caps|xy|cell|objects)\b", r"view_\1", VIEWED)
+
 ORACLES = {
+    "e14_viewport": f"""WITH {S.FRAMES}, {_BASE}, {_COVER}, {_TILES}, {_VIEWED}, asked AS (SELECT DISTINCT idx FROM viewed) SELECT 8 AS "order", idx AS index, coalesce(slug, 'uncovered') AS slug FROM asked LEFT JOIN best_tiles b ON b."order" = 8 AND b."index" = idx""",
     "q36_public_status": f"""WITH o AS (SELECT 'M' || p_partkey AS object_id, p_size * 3 AS total_lights FROM part), r AS (SELECT 'M' || o_orderkey % 150 AS object_id, (['discovering', 'complete', 'failed', 'unheard', 'building', 'cancelled'])[o_orderkey % 6 + 1] AS run_state, o_orderkey % 40 AS total, o_orderkey % 13 AS published, o_orderkey % 5 AS rejected, o_orderkey % 3 AS active
         FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 150 ORDER BY o_orderdate DESC, o_orderkey DESC) = 1), b AS (SELECT 'M' || s_suppkey * 3 AS object_id, s_suppkey % 6 AS generation, (['building', 'complete', 'odd', 'retired'])[s_suppkey % 4 + 1] AS build_state, s_suppkey % 50 AS expected_tiles, s_suppkey % 30 AS published_tiles FROM supplier),
         t AS (SELECT 'M' || l_suppkey * 3 AS object_id, least(count(*), 512) AS n_tiles FROM lineitem WHERE l_linenumber < 5 GROUP BY l_suppkey), m AS (SELECT 'M' || c_custkey AS object_id, c_custkey % 4 AS master_generation, CASE WHEN c_custkey % 3 = 0 THEN '{BASE}/storage/v1/object/public/astro-derived/masters/m' || c_custkey || '/' || c_custkey % 4 || '/a%20b.fits'
