@@ -48,6 +48,46 @@ def fits_image(data: bytes) -> tuple[dict[str, str], np.ndarray]:
     return header, np.nanmean(image, axis=0) if image.ndim == 3 else image
 
 
+def ones_sum(data: bytes) -> int:
+    """The 32-bit ones' complement sum of big-endian words."""
+    total = int(np.frombuffer(data, ">u4").sum(dtype=np.uint64))
+    while total >> 32:
+        total = (total & 0xFFFFFFFF) + (total >> 32)
+    return total
+
+
+def checksum_text(total: int) -> str:
+    """Sixteen letters and digits that, at the place of a CHECKSUM card's value, bring a sum of total to all ones.
+
+    Each byte of the complement is dealt over four characters from 0 on; pairs of these that would not be letters or digits
+    are moved apart, one up and one down. The text is turned by one, since a card's value begins one byte before a word.
+    """
+    out = bytearray(16)
+    for i, byte in enumerate((0xFFFFFFFF - total).to_bytes(4, "big")):
+        four = [byte // 4 + ord("0")] * 4
+        four[0] += byte % 4
+        for j in (0, 2):
+            while not all(chr(c).isalnum() for c in four[j : j + 2]):
+                four[j], four[j + 1] = four[j] + 1, four[j + 1] - 1
+        for j, c in enumerate(four):
+            out[4 * j + i] = c
+    return (out[-1:] + out[:-1]).decode("ascii")
+
+
+def with_checksums(image: np.ndarray, cards: dict[str, str]) -> bytes:
+    """The FITS file with DATASUM and CHECKSUM cards: the sum of all its words is all ones."""
+    plain = fits_bytes(image, cards)
+    data = plain[fits_header(plain)[1] :]
+    whole = fits_bytes(image, cards | {"CHECKSUM": "0" * 16, "DATASUM": str(ones_sum(data))})
+    return whole.replace(b"CHECKSUM= '" + b"0" * 16, b"CHECKSUM= '" + checksum_text(ones_sum(whole)).encode("ascii"), 1)
+
+
+def verified(content: bytes) -> bool:
+    """Whether a file with checksum cards is as it was written."""
+    header, at = fits_header(content)
+    return len(content) % 4 == 0 and ones_sum(content) == 0xFFFFFFFF and int(header["DATASUM"]) == ones_sum(content[at:])
+
+
 def fits_bytes(image: np.ndarray, cards: dict[str, str]) -> bytes:
     """A two-dimensional float32 image as a FITS file; equal input gives equal bytes."""
     rows = [f"{'SIMPLE':8}= {'T':>20}", f"{'BITPIX':8}= {-32:>20}", f"{'NAXIS':8}= {image.ndim:>20}", *(f"{f'NAXIS{i}':8}= {n:>20}" for i, n in enumerate(reversed(image.shape), 1))]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.sources import fits
+from starloom.plans.registry import QUERIES
+from starloom.sources import fits, readers
 from starloom.sources.readers import BLOCK, fits_bytes
 
 
@@ -55,3 +56,26 @@ def test_checksums(spark, folder):
     path, _ = folder
     got = {r.path.rpartition("/")[2]: (r.size, r.sha256) for r in fits.checksums(spark, str(path), 100).collect()}
     assert got == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in path.iterdir()}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_checksum_cards(seed):
+    """The sum of all words is all ones, whatever the pixels; a changed byte is noticed."""
+    rng = np.random.default_rng(seed)
+    image = (rng.normal(size=(rng.integers(1, 30), rng.integers(1, 30))) * 10.0 ** rng.integers(-5, 6)).astype(np.float32)
+    body = readers.with_checksums(image, {"OBJECT": f"m{seed}"})
+    assert readers.ones_sum(body) == 0xFFFFFFFF and readers.verified(body) and len(body) % BLOCK == 0
+    header, pixels = readers.fits_image(body)
+    assert np.array_equal(pixels, image) and header["OBJECT"] == f"m{seed}" and header["CHECKSUM"].isalnum() and len(header["CHECKSUM"]) == 16
+    at = int(rng.integers(BLOCK, BLOCK + image.nbytes))
+    assert not readers.verified(body[:at] + bytes([body[at] ^ 64]) + body[at + 1 :])
+    assert body == readers.with_checksums(image.copy(), {"OBJECT": f"m{seed}"})
+
+
+def test_master_query(spark, sf_dir):
+    rows = QUERIES["s18_master_files"](spark, sf_dir).collect()
+    suppliers = {r.s_suppkey for r in spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").collect()}
+    assert {r.name for r in rows} == suppliers
+    for r in rows:
+        want = readers.with_checksums(np.array([(r.name + i) % 50 for i in range(20)], np.float32).reshape(4, 5), {})
+        assert (r.bytes, r.head, r.sha256) == (len(want), "SIMPLE  =", hashlib.sha256(want).hexdigest())
