@@ -48,9 +48,16 @@ def plain_quality(rows):
     mean = b.total() / n.total()
     noise = mean * (1 - mean)
     between = (sum(n[h] * (b[h] / n[h] - mean) ** 2 for h in n) - noise * len(n)) / n.total()
-    strength = min(quality.MAX_STRENGTH, max(1.0, noise / between - 1)) if between > 0 else quality.MAX_STRENGTH
-    rate = {h: (b[h] + strength * mean) / (n[h] + strength) for h in n}
-    bad_hosts = {h for h in n if rate[h] - mean >= 0.8416 * math.sqrt(rate[h] * (1 - rate[h]) / (n[h] + strength + 1))}
+    bad_hosts = set()
+    if between > 0:
+        strength = max(1.0, noise / between - 1)
+        rate = {h: (b[h] + strength * mean) / (n[h] + strength) for h in n}
+        z = {h: (rate[h] - 1.5 * mean) / math.sqrt(rate[h] * (1 - rate[h]) / (n[h] + strength + 1)) for h in n}
+        error = {h: 1 / (1 + math.exp(1.5976 * z[h] + 0.07056 * z[h] ** 3)) for h in n}
+        ranked = sorted(error, key=error.get)
+        for k in range(1, len(ranked) + 1):  # as many as keep the mean error within 5 %
+            if sum(error[h] for h in ranked[:k]) <= 0.05 * k:
+                bad_hosts = set(ranked[:k])
     assert bad_hosts and any(bad and not gone and r[2] in bad_hosts for r, gone, bad in judged)  # hosts decide on some
     return [r for r, gone, bad in judged if not gone and not (bad and r[2] in bad_hosts)]
 
