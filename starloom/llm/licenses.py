@@ -143,10 +143,18 @@ class Templates:
             most = max(most, len(ends))
         return most / len(self.places[t])
 
-    def contained(self, words_of_block: list[int]) -> dict[int, float]:
-        """Containment of each template that reaches the threshold in the block, given as word ranks."""
+    def found(self, block: list[int]) -> dict[int, float]:
+        """Containment of each template that a block, given as word ranks in order, holds: short notices in their order."""
+        out = {}
+        for t, share in self.contained(set(block) - {-1}).items():
+            share = self.in_order(t, block) if self.runs[t] else share
+            if share * len(self.sets[t]) >= self.needed[t] - 1e-9:
+                out[t] = share
+        return out
+
+    def contained(self, block: set[int]) -> dict[int, float]:
+        """Containment of each template that reaches the threshold in the block's set of word ranks."""
         out = {}
-        block = set(words_of_block) - {-1}
         if len(block) < self.least:
             return out
         for t in {t for w in block for t in self.index.get(w, ())}:
@@ -159,9 +167,7 @@ class Templates:
                 if missed > may_miss:
                     break
             else:
-                share = self.in_order(t, words_of_block) if self.runs[t] else (len(words) - missed) / len(words)
-                if share * len(words) >= self.needed[t] - 1e-9:
-                    out[t] = share
+                out[t] = (len(words) - missed) / len(words)
         return out
 
 
@@ -177,7 +183,7 @@ def _matching_blocks(ranks: np.ndarray, first: np.ndarray, known: Templates, siz
     for d, b in wanted.T.tolist():
         start = int(first[d]) + b * half
         inside = ranks[start : min(start + size, int(first[d + 1]))].tolist()
-        for t, c in sorted(known.contained(inside).items()):
+        for t, c in sorted(known.found(inside).items()):
             yield d, {"start": b * half, "label": known.labels[t], "containment": c}
 
 
