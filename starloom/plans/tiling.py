@@ -24,15 +24,16 @@ def _round(df, digits, *columns):
 
 
 def h03_corners(s, d):
+    # of a plain posexplode Spark infers a filter on the array, which it pushes below all steps that make it, each written out in full
     cells = H.with_corners(M.object_cells(S.objects(s, d), (8,)), "cell8", 8)
-    rows = cells.select("object_id", F.posexplode("corners").alias("k", "c")).select("object_id", "k", "c.ra", "c.dec")
+    rows = cells.select("object_id", F.posexplode_outer("corners").alias("k", "c")).select("object_id", "k", "c.ra", "c.dec")
     return _round(rows, 7, "ra", "dec")
 
 
 def e15_polygons(s, d):
     """Outlines of cells on a view, as paths."""
     cells = H.with_corners(M.object_cells(S.objects(s, d), (6,)), "cell6", 6)
-    rows = cells.select("object_id", F.posexplode("corners").alias("k", "c")).select("object_id", "k", "c.ra", "c.dec")
+    rows = cells.select("object_id", F.posexplode_outer("corners").alias("k", "c")).select("object_id", "k", "c.ra", "c.dec")
     x, y = G.on_view(F.col("ra"), F.col("dec"), (180.0, 0.0), (360.0, 180.0), (1440, 720))
     point = F.concat(F.when(F.col("k") == 0, "M").otherwise("L"), F.format_string("%.2f,%.2f", half_up(steady(x, 6), 2), half_up(steady(y, 6), 2)))
     paths = rows.withColumn("p", point).groupBy("object_id").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("ps"))
