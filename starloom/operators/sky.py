@@ -15,6 +15,7 @@ from starloom.functions.maths import half_up
 
 HORIZON = -0.583
 STEP_MINUTES = 5
+AT_ONCE = 16_384
 
 #: Names, seasons, lunar phases, and meteor showers (name, month, day, hourly rate).
 LABELS = {"lune": "la Lune", "mercure": "Mercure", "venus": "Vénus", "mars": "Mars", "jupiter": "Jupiter", "saturne": "Saturne", "uranus": "Uranus", "neptune": "Neptune"}
@@ -72,14 +73,16 @@ def rise_and_set(objects: DataFrame, day: dt.date, latitude: float, longitude: f
         return A.altitude(A.sidereal(F.lit(start) + minute / 1440, longitude), F.col("ra"), F.col("dec"), latitude)
 
     n = 24 * 60 // STEP_MINUTES
-    rows = objects.select("object_id", "ra", "dec", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
+    # objects are dealt to tasks before their altitudes are taken, so that only they are shuffled and a task holds about AT_ONCE
+    dealt = objects.select("object_id", "ra", "dec").repartition(max(1, objects.count() // AT_ONCE), "object_id", "ra", "dec")
+    rows = dealt.select("object_id", "ra", "dec", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("k"))
     rows = rows.withColumns({"m": F.col("k") * float(STEP_MINUTES), "alt": alt_at(F.col("k") * float(STEP_MINUTES)), "before": F.when(F.col("k") > 0, alt_at((F.col("k") - 1) * float(STEP_MINUTES)))})
     found = rows.groupBy("object_id", "ra", "dec").agg(
         F.min(F.when((F.col("before") < horizon) & (F.col("alt") >= horizon), F.col("m"))).alias("rise_after"),
         F.min(F.when((F.col("before") >= horizon) & (F.col("alt") < horizon), F.col("m"))).alias("set_after"),
         F.max("alt").alias("highest"),
         F.min("alt").alias("lowest"),
-        F.max(F.struct(half_up(F.col("alt"), 6).alias("a"), (-F.col("m")).alias("m"))).alias("top"),
+        F.max(F.coalesce(F.floor(F.col("alt") * 1e6 + 0.5), F.lit(-(10**9))) * 2048 + (1440 - F.col("k") * STEP_MINUTES)).alias("top"),  # the highest, then the earliest; numbers aggregate without a sort
     )
 
     def refined(end: Column, rising: bool) -> Column:
@@ -96,7 +99,7 @@ def rise_and_set(objects: DataFrame, day: dt.date, latitude: float, longitude: f
         "object_id",
         half_up(refined(F.col("rise_after"), True), 2).alias("rise_minute"),
         half_up(refined(F.col("set_after"), False), 2).alias("set_minute"),
-        (-F.col("top.m")).alias("transit_minute"),
+        (1440 - F.pmod("top", F.lit(2048))).cast("double").alias("transit_minute"),
         half_up(F.col("highest"), 6).alias("highest"),
         (F.col("lowest") > horizon).alias("always_up"),
         (F.col("highest") < horizon).alias("never_up"),
