@@ -13,6 +13,7 @@ from starloom.functions.maths import cosd, half_up, rev, sind
 
 #: Size in degrees of a cell in view planning, by order.
 CELL_DEG = {6: 0.916, 7: 0.458, 8: 0.229, 9: 0.115}
+VIEWS_AT_ONCE = 1024
 OPEN_RIGHTS = ("PUBLIC", "OPEN", "CC0", "CC-BY")
 
 
@@ -46,12 +47,14 @@ def views_cells(views: DataFrame, order: int, limit: int = 4000) -> DataFrame:
     steps of 0.8 cells, the first limit in the order met."""
     step = CELL_DEG[order] * 0.8
     c = F.col
+    # a task walks about VIEWS_AT_ONCE views; what they meet is not shuffled again
+    views = views.repartition(max(1, views.count() // VIEWS_AT_ONCE), "view")
     rows = views.select("view", c("ra").alias("mid"), "width", F.greatest(F.lit(-90.0), c("dec") - c("height") / 2 - step).alias("low"), F.least(F.lit(90.0), c("dec") + c("height") / 2 + step).alias("high"))
     rows = rows.select("view", "mid", "width", "low", F.explode(F.sequence(F.lit(0), F.floor((c("high") - c("low")) / step).cast("int"))).alias("row"))
     rows = rows.withColumn("dec", c("low") + c("row") * step).withColumn("step", step / F.greatest(F.lit(0.15), cosd(c("dec"))))
     rows = rows.withColumn("col", F.explode(F.sequence(F.lit(0), F.floor((c("width") + 2 * c("step")) / c("step")).cast("int"))))
     rows = rows.select("view", "row", "col", "dec", rev(c("mid") - c("width") / 2 - c("step") + c("col") * c("step")).alias("ra"))
-    cells = H.with_cell(rows, "ra", "dec", order, "index").groupBy("view", "index").agg(F.min(F.struct("row", "col")).alias("met"))
+    cells = H.with_cell(rows, "ra", "dec", order, "index").groupBy("view", "index").agg(F.min(F.shiftleft(c("row").cast("long"), 32) + c("col")).alias("met"))
     nth = F.row_number().over(W.partitionBy("view").orderBy("met"))
     return cells.withColumn("nth", nth).where(c("nth") <= limit).select("view", F.lit(order).alias("order"), "index")
 
