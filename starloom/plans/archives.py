@@ -32,7 +32,7 @@ def q37_provider_records(s, d):
 
 def q09_user_stats(s, d):
     """Points and first cells of each contributor; none is zero."""
-    cells = M.frame_cells(S.frames(s, d), S.objects(s, d))
+    cells = M.frame_cells(M.first_frames(S.frames(s, d)), S.objects(s, d))
     paid = M.claims(cells).groupBy("user_id").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("cells"))
     users = S.table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"))
     return users.join(paid, "user_id", "left").select("user_id", F.coalesce("points", F.lit(0)).alias("points"), F.coalesce("cells", F.lit(0)).alias("cells"))

@@ -73,7 +73,7 @@ QUERIES = {
     "u01_symmetric_difference": lambda s, d: M.symmetric_difference(M.pyramid(_top(s, d), 6), _damaged(s, d), ["order", "index"]),
     "q22_violations": q22_violations,
     "q23_plan_hash": lambda s, d: M.plan_hash(M.pyramid(_top(s, d), 6)),
-    "q14_claims": lambda s, d: M.claims(_cells(s, d)),
+    "q14_claims": lambda s, d: M.claims(M.frame_cells(M.first_frames(S.frames(s, d)), S.objects(s, d))),
     "q13_best_tiles": lambda s, d: M.best_tiles(M.tiles(S.frames(s, d), S.objects(s, d))),
     "q08_requested_cells": q08_requested_cells,
     "a25_attribution": lambda s, d: _rounded(M.attribution(_cells(s, d).where(F.col("order") == 9)), "share"),
