@@ -116,16 +116,16 @@ def leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as heartbeats of users: how often each user's lease was renewed in time or had expired.
 
     A lease is a session with the lease's time as its gap: beats inside it renew it, and every session but a user's first
-    began after an expiry. State is what Spark keeps of open sessions; no Python runs.
+    began after an expiry. (Spark also merges a beat that comes just as the gap ends, so the gap ends between whole seconds.) State is what Spark keeps of open sessions; no Python runs.
     """
-    held = event_stream(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts"))).groupBy("user_id", F.session_window("ts", f"{LEASE_S + 1} seconds")).agg(F.count(F.lit(1)).alias("beats"))
+    held = event_stream(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.unix_seconds("ts"))).groupBy("user_id", F.session_window("ts", f"{LEASE_S} seconds 500 milliseconds")).agg(F.count(F.lit(1)).alias("beats"))
     each = all_sessions(held.select("user_id", F.col("session_window.start").alias("from_at"), "beats"), "leases")
     return each.groupBy("user_id").agg((F.sum("beats") - F.count(F.lit(1))).alias("renewed"), (F.count(F.lit(1)) - 1).alias("expired"))
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of each user with gaps of up to four hours, closed ones and those still open at the end."""
-    rows = event_stream(spark, sf_dir).groupBy("user_id", F.session_window("ts", "4 hours")).agg(F.count(F.lit(1)).alias("n"))
+    """Sessions of each user with gaps below four hours, closed ones and those still open at the end."""
+    rows = event_stream(spark, sf_dir).groupBy("user_id", F.session_window("ts", "3 hours 59 minutes 59 seconds 999 milliseconds 999 microseconds")).agg(F.count(F.lit(1)).alias("n"))
     flat = rows.select("user_id", F.col("session_window.start").alias("from_at"), "n")
     return all_sessions(flat, "sessions").withColumn("from_at", F.col("from_at").cast("timestamp_ntz"))
 
