@@ -3,9 +3,15 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
+import duckdb
+import numpy as np
 
-from starloom.operators import feeds
+from starloom.operators import feeds, lookups, mosaic
+from starloom.plans.registry import ORACLES, QUERIES
+from starloom.sources import fits, tables
+from starloom.sources.readers import fits_bytes
+from starloom.streaming import observations, stateful
+from tests.parity import assert_parity
 
 
 def test_clusters_without_pairs_are_those_of_pairs(spark):
@@ -20,3 +26,64 @@ def test_clusters_without_pairs_are_those_of_pairs(spark):
         got = feeds.near_clusters(df, radius_km=radius)
         assert sorted(map(tuple, want.select(got.columns).collect()), key=repr) == sorted(map(tuple, got.collect()), key=repr)
         assert got.count() > 10
+
+
+def test_corners_keep_a_small_plan(spark, sf_dir):
+    for name in ("h03_corners", "e15_polygons"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 300_000, name
+
+
+def test_places_meet_once(spark):
+    points = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(9)], "point long, px double, py double")
+    hits = spark.createDataFrame([(5, 1.0, 0.0), (4, 1.0, 0.0), (9, 40.0, 0.0), (3, -1.0, 0.0)], "hit long, x double, y double")
+    out = lookups.nearest(points, hits, 2.0)
+    assert {tuple(r) for r in out.collect()} == {(i, 3 if i % 3 == 0 else 4, (1.0, 0.0, 1.0)[i % 3]) for i in range(9)}
+    assert "[px" in out._jdf.queryExecution().optimizedPlan().toString().split("min(struct")[0].rpartition("Aggregate ")[2]
+
+
+def test_many_ranges_are_few_tasks(tmp_path):
+    (tmp_path / "a.fits").write_bytes(fits_bytes(np.zeros((4, 4), np.float32), {}))
+    parts = fits.FitsReader(str(tmp_path), [], 1).partitions()
+    assert len(parts) <= fits.TASKS
+    spans = [r[2:] for p in parts for r in p.ranges]
+    assert spans == [(i, i + 1) for i in range((tmp_path / "a.fits").stat().st_size)]
+
+
+def test_leases_and_sessions_at_the_edge(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    gaps = (21599, 21600, 21601, 21602, 14399, 14400, 14401)
+    rows = [(2 * u + k, start + dt.timedelta(seconds=k * gap), u, "view", 1.0, "") for u, gap in enumerate(gaps) for k in (0, 1)]
+    spark.createDataFrame(rows, observations.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "x"))
+    next((tmp_path / "x").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for name in ("z06_leases", "z05_sessions"):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        assert_parity(QUERIES[name](spark, str(tmp_path)), con, ORACLES[name])
+
+
+def test_rows_step_without_the_store():
+    leases, crossings = stateful.Leases(10), stateful.Crossings(50.0)
+    leases.lease = crossings.row = None
+    assert [leases.step(t, t, 0.0) for t in (0, 5, 30)] == [[], [], [("expired", 0, 5, 2)]]
+    assert [crossings.step(t, t, v) for t, v in ((0, 1.0), (1, 60.0), (2, 70.0))] == [[], [("crossing", 0, 1)], []]
+
+
+def test_extremes_aggregate_without_a_sort(spark, sf_dir):
+    for name in ("m13_rise_and_set", "h07_viewport_cells"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan, name
+
+
+def test_first_frames_claim_as_all_do(spark, sf_dir):
+    frames, objects = tables.frames(spark, sf_dir), tables.objects(spark, sf_dir)
+    few = mosaic.first_frames(frames)
+    assert few.count() < frames.count() / 2
+    want, got = (mosaic.claims(mosaic.frame_cells(f, objects)).collect() for f in (frames, few))
+    assert sorted(want) == sorted(got)
+
+
+def test_lists_and_nulls_stay_out_of_the_shuffle(spark, sf_dir):
+    assert "collect_set" not in QUERIES["x08_missing_weights"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    plan = QUERIES["q28_run_inventory"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(CASE WHEN" in plan or "NOT (l_linenumber" in plan
