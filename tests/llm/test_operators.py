@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +18,7 @@ from starloom.llm import fingerprint, fm_index, licenses, line_dedup, mixing, ne
 from starloom.llm.common import hashed_words, written
 from starloom.llm.oracles import URL_RULES as SQL_RULES
 from starloom.llm.queries import URL_RULES
+from starloom.sources.storage import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the moon rises over quiet hills while seven old boats drift past a lamp and nobody counts them because night is long".split()
@@ -470,6 +472,15 @@ def brute_measures(text):
     return len(words), sum(len(w.decode()) for w in words), sum(c in "#*$%&|<>" for c in text or ""), len(lines), len(lines) - len(set(lines)), len(covered)
 
 
+def test_quality_filter_writes_no_texts(spark):
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    rows = [(i, prose(i, 400), f"s{i % 3}") for i in range(60)]
+    held = lambda: sum(f.stat().st_size for f in root.rglob("*") if f.is_file())
+    before = held()
+    assert quality.quality_filter(table(spark, rows)).count() == 60
+    assert held() - before < sum(len(r[1]) for r in rows) / 10
+
+
 def test_quality_measures(odd, empty):
     got = quality.measured(odd).collect()
     assert Counter(tuple(r[k] for k in quality.METRICS) for r in got) == Counter(map(brute_measures, texts()))
