@@ -77,6 +77,22 @@ def with_centre(df: DataFrame, index: str, order: int) -> DataFrame:
     return df.withColumns({"centre_ra": F.degrees(phi), "centre_dec": F.degrees(F.asin(z))}).drop("_face", "_ix", "_iy", "_ring", "_nr", "_shift")
 
 
+def ring_at(dec: Column, order: int) -> Column:
+    """Number of the ring of cells at a declination (degrees), with fraction: 1 is the northernmost, 4 * 2**order - 1 the last."""
+    ns, z = 1 << order, F.sin(F.radians(dec))
+    return F.when(z > 2 / 3, ns * F.sqrt(3 * (1 - z))).when(z < -2 / 3, 4 * ns - ns * F.sqrt(3 * (1 + z))).otherwise(2 * ns - 1.5 * ns * z)
+
+
+def ring_of_cells(ring: Column, order: int) -> dict[str, Column]:
+    """Of a ring of cells: around, a quarter of its number of cells; shift, 1 where they begin at right ascension 0, not half a
+    cell after it; step, degrees from one to the next; centre_dec."""
+    ns = 1 << order
+    nr = F.when(ring < ns, ring).when(ring > 3 * ns, 4 * ns - ring).otherwise(ns)
+    shift = F.when((ring < ns) | (ring > 3 * ns), 0).otherwise((ring - ns).bitwiseAND(F.lit(1)))
+    z = F.when(ring < ns, 1 - nr * nr / (3.0 * ns * ns)).when(ring > 3 * ns, nr * nr / (3.0 * ns * ns) - 1).otherwise((2 * ns - ring) * 2 / (3.0 * ns))
+    return {"around": nr, "shift": shift, "step": 90.0 / nr, "centre_dec": F.degrees(F.asin(z))}
+
+
 def tile_path(slug: str, generation: int, order: Column, index: Column) -> Column:
     """Storage path of a tile; folders hold 10,000 tiles each."""
     return F.format_string("hips/%s/%d/Norder%d/Dir%d/Npix%d.webp", F.lit(slug), F.lit(generation), order.cast("int"), (F.floor(index / 10000) * 10000).cast("bigint"), index)

@@ -3,20 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import healpix as H
 from starloom.functions.geo import separation_deg
+from starloom.functions.maths import clamp
 from starloom.operators.archives import pixel_to_sky, sky_to_pixel
 
 LEAST_SHARE, ELIGIBLE_SHARE, LEAST_TILE = 0.01, 0.7, 0.005
 SIGMAS, LEAST_STARS = 5.0, 5
+CONES_AT_ONCE = 10_000
 
 
 def cone_cells(spark: SparkSession, ra: float, dec: float, radius: float, order: int, most: int = 4096) -> DataFrame:
@@ -38,27 +36,29 @@ def cone_cells(spark: SparkSession, ra: float, dec: float, radius: float, order:
 
 def cones_cells(cones: DataFrame, key: str, order: int) -> DataFrame:
     """(key, order, index) of many cones (key, ra, dec, radius in degrees): cells whose centre lies within the radius, and half a
-    cell around it. All cones are followed from the twelve base cells down at once, only along branches that can meet them."""
-    rows = cones.select(key, F.col("ra").alias("cone_ra"), F.col("dec").alias("cone_dec"), "radius", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("index"))
-    levels = [*range(0, order, 2), order]
-    for last, o in zip([0, *levels], levels, strict=False):
-        if o:
-            step = 4 ** (o - last)
-            rows = rows.select(key, "cone_ra", "cone_dec", "radius", F.explode(F.sequence(F.col("index") * step, (F.col("index") + 1) * step - 1)).alias("index"))
-        more = H.widest_radius(o) + (H.widest_radius(order) if o < order else 0.0)
-        rows = H.with_centre(rows, "index", o).select(key, "cone_ra", "cone_dec", "radius", "index", "centre_ra", "centre_dec")
-        rows = rows.mapInArrow(partial(_within_reach, more=more), rows.drop("centre_ra", "centre_dec").schema)
-    return rows.select(key, F.lit(order).alias("order"), "index")
-
-
-def _within_reach(batches: Iterator[pa.RecordBatch], more: float) -> Iterator[pa.RecordBatch]:
-    """Rows whose cell's centre is no farther from the cone than its radius and more. (A filter in Spark's own terms would be
-    pushed below the centres, whose long expressions it would then hold many times over.)"""
-    for batch in batches:
-        a, d, b, e = (np.radians(batch.column(c).to_numpy()) for c in ("centre_ra", "centre_dec", "cone_ra", "cone_dec"))
-        far = np.degrees(np.arccos(np.clip(np.sin(d) * np.sin(e) + np.cos(d) * np.cos(e) * np.cos(a - b), -1, 1)))
-        near = pa.array(far <= batch.column("radius").to_numpy() + more)
-        yield batch.select(batch.schema.names[:-2]).filter(near)
+    cell around it. A cone lists the rings of cells between its northern and southern end, and on each ring the cells
+    between its western and eastern end, one more on either side; the distance of these decides."""
+    ns, c = 1 << order, F.col
+    slim = cones.select(key, c("ra").alias("cone_ra"), c("dec").alias("cone_dec"), (c("radius") + H.widest_radius(order)).alias("reach"))
+    slim = slim.where(~F.isnan((c("cone_ra") + c("cone_dec")) * 0.0 + c("reach")))
+    dealt = slim.repartition(max(1, slim.count() // CONES_AT_ONCE), key, "cone_ra", "cone_dec")
+    ends = (H.ring_at(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), c("cone_dec") + s * c("reach"))), order) for s in (1, -1))
+    first, last = (F.greatest(F.lit(1), F.least(F.lit(4 * ns - 1), F.floor(end) + more)).cast("int") for end, more in zip(ends, (-1, 2), strict=True))
+    rows = dealt.withColumns({"sin_e": F.sin(F.radians("cone_dec")), "cos_e": F.cos(F.radians("cone_dec")), "first": first, "last": last})
+    rows = rows.withColumn("ring", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    rows = rows.withColumns(H.ring_of_cells(c("ring"), order)).withColumns({"sin_d": F.sin(F.radians("centre_dec")), "cos_d": F.cos(F.radians("centre_dec"))})
+    # a half width beyond the poles' sides (or of a cone at a pole, which divides by nothing) is the whole ring
+    across = c("cos_d") * c("cos_e")
+    cosine = F.when(across > 1e-9, (F.cos(F.radians("reach")) - c("sin_d") * c("sin_e")) / across).otherwise(-1.0)
+    half = F.degrees(F.acos(clamp(cosine, -1.0, 1.0))) / c("step")
+    middle = (c("cone_ra") / c("step")) + (c("shift") + 1) * 0.5
+    west, east = F.floor(middle - half) - 1, F.floor(middle + half) + 2
+    whole = (c("reach") >= 90) | (cosine <= -1) | (east - west + 1 >= 4 * c("around"))
+    rows = rows.withColumns({"west": F.when(whole, F.lit(1)).otherwise(west), "east": F.when(whole, 4 * c("around")).otherwise(east)})
+    rows = rows.withColumn("place", F.explode(F.sequence("west", "east"))).drop("west", "east")
+    rows = rows.withColumn("centre_ra", F.degrees((F.pmod(c("place") - 1, 4 * c("around")) + 1 - (c("shift") + 1) * 0.5) * (math.pi / 2 / c("around"))))
+    far = F.degrees(F.acos(clamp(c("sin_d") * c("sin_e") + c("cos_d") * c("cos_e") * F.cos(F.radians(c("centre_ra") - c("cone_ra"))), -1.0, 1.0)))
+    return H.with_cell(rows.where(far <= c("reach")).select(key, "centre_ra", "centre_dec"), "centre_ra", "centre_dec", order, "index").select(key, F.lit(order).alias("order"), "index")
 
 
 def mask_cells(pixels: DataFrame, wcs: dict[str, float], orders: tuple[int, ...] = (6, 7, 8, 9)) -> DataFrame:

@@ -6,7 +6,8 @@ import random
 import duckdb
 import numpy as np
 
-from starloom.operators import feeds, lookups, mosaic
+from starloom.functions import healpix
+from starloom.operators import feeds, lookups, mosaic, tiling
 from starloom.plans.registry import ORACLES, QUERIES
 from starloom.sources import fits, tables
 from starloom.sources.readers import fits_bytes
@@ -87,3 +88,21 @@ def test_lists_and_nulls_stay_out_of_the_shuffle(spark, sf_dir):
     assert "collect_set" not in QUERIES["x08_missing_weights"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     plan = QUERIES["q28_run_inventory"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "isnotnull(CASE WHEN" in plan or "NOT (l_linenumber" in plan
+
+
+def test_cones_list_the_cells_that_all_cells_give(spark):
+    rng, nan, inf = random.Random(5), float("nan"), float("inf")
+    odd = [(0.0, 90.0, 2.0), (10.0, -90.0, 0.5), (359.9, 0.0, 3.0), (0.0, 89.5, 1.0), (-20.0, 41.8, 0.0), (200.0, -41.8, 30.0), (90.0, 10.0, 120.0), (5.0, 5.0, inf), (5.0, 5.0, -9.0)]
+    cones = [(i, *x) for i, x in enumerate(odd + [(rng.uniform(0, 360), rng.uniform(-90, 90), rng.uniform(0, 8)) for _ in range(200)])]
+    wrong = [(900, None, 1.0, 1.0), (901, 1.0, None, 1.0), (902, 1.0, 1.0, None), (903, nan, 1.0, 1.0), (904, inf, 1.0, 1.0), (905, 1.0, nan, 1.0), (906, 1.0, 1.0, nan)]
+    out = tiling.cones_cells(spark.createDataFrame(cones + wrong, "k long, ra double, dec double, radius double"), "k", 4)
+    centres = healpix.with_centre(spark.range(healpix.n_cells(4)).withColumnRenamed("id", "index"), "index", 4).toPandas()
+    a, d = np.radians(centres["centre_ra"].to_numpy()), np.radians(centres["centre_dec"].to_numpy())
+    want = set()
+    for k, ra, dec, radius in cones:
+        b, e = np.radians(ra), np.radians(dec)
+        far = np.degrees(np.arccos(np.clip(np.sin(d) * np.sin(e) + np.cos(d) * np.cos(e) * np.cos(a - b), -1, 1)))
+        want |= {(k, 4, int(i)) for i in centres["index"][far <= radius + healpix.widest_radius(4)]}
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
