@@ -5,8 +5,9 @@ import random
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from starloom.functions import healpix
+from starloom.functions import geo, healpix
 from starloom.operators import feeds, lookups, mosaic, tiling
 from starloom.plans.registry import ORACLES, QUERIES
 from starloom.sources import fits, tables
@@ -106,3 +107,24 @@ def test_cones_list_the_cells_that_all_cells_give(spark):
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chords_decide_as_distances_do(spark):
+    rng = random.Random(9)
+    rows = [(rng.uniform(-90, 90), rng.uniform(-180, 540), rng.uniform(-90, 90), rng.uniform(-180, 540)) for _ in range(1500)]
+    step = float(np.degrees(500.0 / geo.EARTH_KM))
+    rows += [(lat, 7.0, lat + step * (1 + k * 1e-15), 7.0) for lat in (-40.0, 0.0, 43.3) for k in range(-40, 41, 4)]
+    rows += [(90.0, 0.0, 90.0, 50.0), (0.0, 0.0, 0.0, 180.0), (1.0, 1.0, 1.0, 1.0), (None, 1.0, 1.0, 1.0), (float("nan"), 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "alat double, alon double, blat double, blon double")
+    for side in "ab":
+        df = df.withColumns({side + c: v for c, v in geo.place_vector(F.col(f"{side}lat"), F.col(f"{side}lon")).items()})
+    named = lambda side: lambda c: F.col(side + {"latitude": "lat", "longitude": "lon"}.get(c, c))
+    far = geo.great_circle_km(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon"))
+    for km in (0.001, 500.0, 9000.0, 20000.0):
+        assert df.where(~geo.within_km(named("a"), named("b"), km).eqNullSafe(far <= km)).count() == 0
+    assert 0 < df.where(far <= 500).count() < df.count()
+
+
+def test_pairs_meet_by_vectors(spark, sf_dir):
+    join = QUERIES["j16_near_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
+    assert "CASE WHEN" in join and "ux" in join
