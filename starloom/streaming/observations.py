@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starloom.functions.geo import cells_around, great_circle_km, place_cell
+from starloom.functions.geo import cells_around, place_cell, place_vector, within_km
 from starloom.sources.storage import scratch
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -61,25 +61,45 @@ WINDOW_S, RADIUS_KM = 900, 500.0
 
 
 def correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of errors and purchases of different users within 15 minutes and 500 km: a stream-stream interval join.
+    """Pairs of errors and purchases of different users within 15 minutes and 500 km: an interval join, batch by batch.
 
-    State is keyed by time bucket and place cell: an error stands in its own bucket and in all cells that the radius
-    reaches, a purchase in its own cell and in three buckets, so each pair meets once and a key holds a quarter of an hour
-    of one cell.
+    Each batch is joined with itself and with what the batches before left: the rows at most two windows older than the newest,
+    one for rows that come late and one for the interval. That table is all the state, and is written anew for each batch.
+    Batches meet as tables and not in a state store, which looks up each pair that meets by itself. The join's key is time
+    bucket and place cell: an error stands in its own bucket and in all cells that the radius reaches, a purchase in its own
+    cell and in three buckets, so each pair meets once and a key holds a quarter of an hour of one cell.
     """
-    def side(kind: str, name: str) -> DataFrame:
-        s = observation_stream(spark, sf_dir).where(F.col("event_type") == kind).withWatermark("ts", "15 minutes")
-        bucket, lat, lon = F.floor(F.unix_seconds("ts") / WINDOW_S), F.col("latitude"), F.col("longitude")
-        if name == "a":
-            s = s.withColumn("bucket", bucket).withColumn("cell", F.explode(cells_around(lat, lon, RADIUS_KM)))
-        else:
-            s = s.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).withColumn("cell", place_cell(lat, lon))
-        return s.select(*(F.col(c).alias(f"{name}_{new}") for c, new in (("event_id", "id"), ("user_id", "user"), ("ts", "at"), ("bucket", "bucket"), ("cell", "cell"), ("latitude", "lat"), ("longitude", "lon"))))
-
-    a, b = side("error", "a"), side("purchase", "b")
-    near = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_cell") == F.col("b_cell")) & F.col("b_at").between(F.col("a_at") - F.expr("INTERVAL 15 MINUTES"), F.col("a_at") + F.expr("INTERVAL 15 MINUTES"))
-    met = a.join(b, near).where((F.col("a_user") != F.col("b_user")) & (great_circle_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= RADIUS_KM))
-    return drained(met.select("a_id", "b_id"), "correlated")
+    out, kept = scratch(spark, "correlated"), scratch(spark, "correlated-last")
+    bucket, lat, lon = F.floor(F.col("at") / (WINDOW_S * 1_000_000)), F.col("latitude"), F.col("longitude")
+    names = ["event_id", "user_id", "at", "fresh", "latitude", "longitude"]
+    batches: list[int] = []
+
+    def side(rows: DataFrame, kind: str, name: str, keys: dict[str, Column]) -> DataFrame:
+        own = rows.where(F.col("event_type") == kind).select(*names).withColumns(place_vector(lat, lon))
+        for key, values in keys.items():
+            own = own.withColumn(key, values)
+        return own.withColumnsRenamed({c: f"{name}_{c}" for c in own.columns})
+
+    def meet(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("event_type").isin("error", "purchase")).select("event_type", *names)
+        if batch_id:
+            before = batch.sparkSession.read.schema(rows.schema).parquet(f"{kept}/n={batch_id - 1}")
+            rows = rows.unionByName(before.withColumn("fresh", F.lit(False)))
+        a = side(rows, "error", "a", {"bucket": bucket, "cell": F.explode(cells_around(lat, lon, RADIUS_KM))})
+        b = side(rows, "purchase", "b", {"bucket": F.explode(F.array(bucket - 1, bucket, bucket + 1)), "cell": place_cell(lat, lon)})
+        keys = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_cell") == F.col("b_cell"))
+        near = (F.abs(F.col("a_at") - F.col("b_at")) <= WINDOW_S * 1_000_000) & (F.col("a_user_id") != F.col("b_user_id")) & (F.col("a_fresh") | F.col("b_fresh"))
+        # the larger part of a batch is what its pairs are, not its rows: always dealt by the key, however small the rows are
+        met = a.join(b.hint("merge"), keys & near & within_km(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), RADIUS_KM))
+        met.select(F.col("a_event_id").alias("a_id"), F.col("b_event_id").alias("b_id")).write.mode("overwrite").parquet(f"{out}/n={batch_id}")
+        newest = rows.agg(F.max("at")).first()[0]
+        rows.where(F.col("at") >= F.lit(newest).cast("long") - 2 * WINDOW_S * 1_000_000).write.mode("overwrite").parquet(f"{kept}/n={batch_id}")
+        batches.append(batch_id)
+
+    stream = observation_stream(spark, sf_dir).withColumns({"at": F.unix_micros("ts"), "fresh": F.lit(True)})
+    stream.writeStream.foreachBatch(meet).option("checkpointLocation", scratch(spark, "correlated-state")).trigger(availableNow=True).start().awaitTermination()
+    pairs = "a_id long, b_id long"
+    return spark.read.schema(pairs).parquet(f"{out}/n=*") if batches else spark.createDataFrame([], pairs)
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
