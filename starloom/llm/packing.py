@@ -17,6 +17,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,7 +29,7 @@ from starloom.llm.common import pieces, span_hashes
 
 LENGTH, END_ID = 2048, 0
 GROUP = 8192
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,8 +96,8 @@ class WordTokens:
     """Token ids of texts.
 
     With a lower-casing byte-level BPE that never looks across white space, contractions and runs of letters, digits or signs
-    of plain texts are tokenised once and kept, CACHE_WORDS at most; then it starts afresh. With any other tokenizer file all
-    texts go through the library.
+    of plain texts are tokenised once and kept, about CACHE_WORDS at most; then the later half goes, since the runs met first are
+    mostly the common ones. With any other tokenizer file all texts go through the library.
     """
 
     def __init__(self, tokenizer_file: str, cache_words: int = CACHE_WORDS):
@@ -109,13 +110,18 @@ class WordTokens:
         self.plainly = splits_plainly(tokenizer_file)
         self.limit = cache_words
         self.alphabet = _byte_alphabet()
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[int, int] = {}  # hash of a run to its number
         self.offsets, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.store, self.stored = np.zeros(1 << 18, np.uint32), 0
 
+    def _forget(self) -> None:
+        """Keeps the first runs, half of the limit, and gives back what the others took."""
+        stay = min(len(self.known), self.limit // 2)
+        self.known = dict(islice(self.known.items(), stay))
+        self.stored = int(self.sizes[:stay].sum())
+        self.offsets, self.sizes = np.resize(self.offsets[:stay], max(1 << 16, 2 * stay)), np.resize(self.sizes[:stay], max(1 << 16, 2 * stay))
+        self.store = np.resize(self.store[: self.stored], max(1 << 18, 2 * self.stored))
+
     def _learn(self, key: int, run: bytes) -> int:
         ids = [t.id for t in self.model.tokenize(run.decode() if run.isascii() else run.decode("latin-1").translate(self.alphabet))]
         n = len(self.known)

@@ -30,6 +30,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_SYMBOLS_PER_WORD, MAX_DUP_LINES, MAX_REPEAT_SHARE, WORD_LENGTH = 0.05, 0.1, 0.1, (2.5, 10.0)
 SEVERE_SYMBOLS_PER_WORD, SEVERE_DUP_LINES = 0.2, 0.6
 LIFT, FALSE_SHARE = 1.5, 0.05
+PIECE_BYTES = 1 << 18  # of text measured at once: its arrays take some forty times as much
 STEPS = 2000  # errors are ordered by so many steps
 #: The normal distribution's tail, to 0.0002: 1 / (1 + exp(a z + b z ** 3)).
 TAIL = (1.5976, 0.07056)
@@ -74,7 +75,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in pieces(batch, text):
+            for part, texts in pieces(batch, text, PIECE_BYTES):
                 got = measures(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(got[k]) for k in METRICS)], [*part.schema.names, *METRICS])
 

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -640,6 +641,21 @@ def test_packing_spreads_a_hot_id(spark):
     assert max(Counter(r.sequence_id >> 32 for r in got).values()) < 30
 
 
+def test_token_cache_keeps_the_first_runs_and_stays_small():
+    file = public_tokenizers.path("word_bpe_49k.json")
+    words, library = packing.WordTokens(file), Tokenizer.from_file(file)
+    texts = [" ".join(f"{'abcdefghij'[n % 10]}{'klmnopqrst'[n // 10 % 10]}{'uvwxyzabcd'[n // 100 % 10]}{'efghijklmn'[n // 1000 % 10]}{'opqrstuvwx'[n // 10000 % 10]}{'yzabcdefgh'[n // 100000 % 10]}" for n in range(at, at + 50_000)) for at in range(0, 300_000, 50_000)]
+    for text in texts:
+        words.encode([text])
+        assert len(words.known) <= 200_000
+    first = set(islice(words.known, 50_000))
+    for text in (texts[0][:70_000], texts[5][-70_000:]):
+        assert words.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    fresh = packing.WordTokens(file)
+    fresh.encode(texts[:1])
+    assert first == set(fresh.known)  # the runs met first are still known
+
+
 def test_tokens_equal_the_library():
     file = public_tokenizers.path("word_bpe_49k.json")
     words, library = packing.WordTokens(file, cache_words=500), Tokenizer.from_file(file)
