@@ -128,3 +128,61 @@ def test_chords_decide_as_distances_do(spark):
 def test_pairs_meet_by_vectors(spark, sf_dir):
     join = QUERIES["j16_near_pairs"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[1].split("\n")[0]
     assert "CASE WHEN" in join and "ux" in join
+
+
+def _shuffled(node):
+    """Rows that a plan's exchanges have written."""
+    kind = node.getClass().getSimpleName()
+    if kind.startswith("ShuffleExchange"):
+        own = node.metrics().apply("shuffleRecordsWritten").value()
+    else:
+        own = 0
+    if kind == "AdaptiveSparkPlanExec":
+        below = [node.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        below = [node.plan()]
+    else:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+    return own + sum(map(_shuffled, below))
+
+
+def _scattered(n, seconds):
+    rng = random.Random(16)
+    places = [(90.0, 3.0), (89.9, 183.0), (-90.0, 0.0), (60.0, 359.9), (60.0, -0.1), (30.0, 30.0), (29.9, 29.9), (0.0, 540.0), (2.0, 181.0), (float("nan"), 1.0), (None, 1.0), (float("inf"), 1.0)]
+    rows = [(i, i % 5, rng.choice(["a", "a", "b", None]), dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rng.randrange(seconds)), *rng.choice(places), 1.0, 2.0, 3.0, rng.choice(["pending", "pending", "rejected", None])) for i in range(n)]
+    rows += [(n + i, 1, "a", dt.datetime(2024, 1, 1) + dt.timedelta(seconds=900 * (i % 9)), rng.uniform(-90, 90), rng.uniform(-180, 540), 1.0, 2.0, 3.0, "pending") for i in range(n)]
+    return rows + [(2 * n, 1, "a", None, 1.0, 1.0, 1.0, 2.0, 3.0, "pending")]
+
+
+def _near(rows, km):
+    ok = [r for r in rows if r[9] == "pending" and r[2] and r[3] and r[4] is not None and abs(r[4]) < 1e9]
+    lat, lon = np.radians([r[4] for r in ok]), np.radians([r[5] for r in ok])
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat)[:, None] * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    met = 2 * geo.EARTH_KM * np.arcsin(np.minimum(1, np.sqrt(h))) <= km
+    return sorted((ok[i][0], ok[j][0]) for i, j in zip(*np.nonzero(met), strict=True) if ok[i][2] == ok[j][2] and abs((ok[i][3] - ok[j][3]).total_seconds()) <= 900)
+
+
+OBSERVED = "observation_id long, user_id long, phenomenon string, observed_at timestamp_ntz, latitude double, longitude double, altitude_m double, azimuth double, elevation double, status string"
+
+
+def test_pairs_are_all_that_is_near(spark, monkeypatch):
+    rows = _scattered(150, 4000)
+    df = spark.createDataFrame(rows, OBSERVED)
+    for deal, km in ((feeds.DEAL, 4000.0), (8, 500.0)):  # crowded groups are cut into chunks
+        monkeypatch.setattr(feeds, "DEAL", deal)
+        pairs = feeds.near_pairs(df, radius_km=km)
+        assert sorted((r.observation_id, r.other_id) for r in pairs.select("observation_id", "other_id").collect()) == _near(rows, km)
+    assert "other_chunk" in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_shuffle_few_copies_and_no_vectors(spark, sf_dir):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = QUERIES["j16_near_pairs"](spark, sf_dir)
+        rows = out._jdf.queryExecution().executedPlan()
+        out._jdf.collectToPython()
+        usable = tables.observations(spark, sf_dir).where("status <> 'rejected'").count()
+        assert usable <= _shuffled(rows) <= 4 * usable
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
